@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rainledger.llm.incremental import rejected_articles
 from rainledger.llm.near_duplicates import near_duplicate_groups
-from rainledger.storage import table
+from rainledger.storage import Workspace, table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id_a, article_id_b): every rejected article with the accepted one it repeats, smaller id first."""
+    articles = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("features.source_zip").alias("source_zip"), F.col("features.clean_text").alias("text"))
+    rejected = rejected_articles(articles, table(spark, sf_dir, "archive_batches"), Workspace(spark, "history"))
+    a, b = (F.col("id") % (1 << 32)).cast("int"), (F.col("match") % (1 << 32)).cast("int")
+    return rejected.select(F.least(a, b).alias("article_id_a"), F.greatest(a, b).alias("article_id_b"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +24,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(texts).select(F.col("group_id").cast("int").alias("group_id"), F.col("id").cast("int").alias("article_id"))
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
 
 ORACLES: dict[str, str] = {}
