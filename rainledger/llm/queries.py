@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rainledger.llm.canonical import map_values
+from rainledger.llm.encoding import encode
 from rainledger.llm.incremental import rejected_articles
 from rainledger.llm.near_duplicates import near_duplicate_groups
+from rainledger.llm.page_lines import repeated_lines
 from rainledger.storage import Workspace, table
 
 
@@ -18,12 +21,38 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.select(F.least(a, b).alias("article_id_a"), F.greatest(a, b).alias("article_id_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, line_no): lines of clean_text that stand in many articles of their source."""
+    texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("meta.source").alias("source"), F.col("features.clean_text").alias("text"))
+    return repeated_lines(texts).select(F.col("id").alias("article_id"), "line_no")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every document by byte_bpe_50k."""
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, field, ref_id): the entry of place_list that each typed location and nuts3_name means, `-` if none."""
+    points = table(spark, sf_dir, "impacts_geocoded_points")
+    return map_values(points, "row_id", {"location": False, "nuts3_name": True}, table(spark, sf_dir, "place_list"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_id, article_id): groups of articles of 3-word similarity 0.7 or more in text_content."""
     texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("text_content").alias("text"))
     return near_duplicate_groups(texts).select(F.col("group_id").cast("int").alias("group_id"), F.col("id").cast("int").alias("article_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p2_found": """
+        WITH a AS (SELECT DISTINCT features.article_id AS article_id, meta.source AS source, features.clean_text AS t FROM sample_impacts WHERE meta.source IS NOT NULL AND trim(meta.source) <> ''),
+        s AS (SELECT source, count(*) AS size FROM a GROUP BY source),
+        p AS (SELECT article_id, source, string_split(t, chr(10)) AS parts FROM a WHERE t IS NOT NULL),
+        l AS (SELECT article_id, source, CAST(i - 1 AS INT) AS line_no, trim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+        k AS (SELECT article_id, source, line_no, regexp_replace(regexp_replace(lower(line), '\\p{Nd}+', '#D#', 'g'), '[ \\t\\r]+', ' ', 'g') AS like_line FROM l WHERE line <> ''),
+        c AS (SELECT source, like_line, count(DISTINCT article_id) AS n FROM k GROUP BY source, like_line)
+        SELECT k.article_id, k.line_no FROM k JOIN c USING (source, like_line) JOIN s USING (source) WHERE c.n >= 5 AND c.n >= 0.1 * s.size""",
+}
