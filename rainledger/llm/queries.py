@@ -10,6 +10,7 @@ from rainledger.llm.encoding import encode
 from rainledger.llm.incremental import rejected_articles
 from rainledger.llm.near_duplicates import near_duplicate_groups
 from rainledger.llm.page_lines import repeated_lines
+from rainledger.llm.residue import residue_documents
 from rainledger.storage import Workspace, table
 
 
@@ -44,7 +45,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(texts).select(F.col("group_id").cast("int").alias("group_id"), F.col("id").cast("int").alias("article_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents with unfilled fields or filler, or an error page or script notice in place of the article."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return residue_documents(texts).select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """
