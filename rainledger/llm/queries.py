@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rainledger.llm.canonical import map_values
 from rainledger.llm.encoding import encode
 from rainledger.llm.incremental import rejected_articles
+from rainledger.llm.language import mislabelled_lines
 from rainledger.llm.near_duplicates import near_duplicate_groups
 from rainledger.llm.page_lines import repeated_lines
 from rainledger.llm.residue import residue_documents
@@ -28,6 +29,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(texts).select(F.col("id").alias("article_id"), "line_no")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, line_no, lang): lines of text_content in another language than the article's label names."""
+    texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("text_content").alias("text"))
+    labels = table(spark, sf_dir, "article_labels").select(F.col("article_id").alias("id"), "lang_label")
+    return mislabelled_lines(texts, labels).select(F.col("id").alias("article_id"), "line_no", "lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode(table(spark, sf_dir, "documents"))
@@ -51,7 +59,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(texts).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """
