@@ -9,6 +9,7 @@ from rainledger.llm.canonical import map_values
 from rainledger.llm.encoding import encode
 from rainledger.llm.incremental import rejected_articles
 from rainledger.llm.language import mislabelled_lines
+from rainledger.llm.mixing import mix_documents
 from rainledger.llm.near_duplicates import near_duplicate_groups
 from rainledger.llm.page_lines import repeated_lines
 from rainledger.llm.residue import residue_documents
@@ -53,13 +54,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(texts).select(F.col("group_id").cast("int").alias("group_id"), F.col("id").cast("int").alias("article_id"))
 
 
+def _mixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return mix_documents(texts, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reached beside wanted share, tokens, documents and most repeats of every source of every mix."""
+    return _mixes(spark, sf_dir)[1]
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mix_id, doc_id, source, tokens, repeats): the documents of every mix."""
+    return _mixes(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id): documents with unfilled fields or filler, or an error page or script notice in place of the article."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     return residue_documents(texts).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """
