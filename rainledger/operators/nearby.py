@@ -155,3 +155,30 @@ def points_near_sites(points: DataFrame, sites: DataFrame, key: str, lat: str, l
     at = at.withColumns({"__cx": F.pmod(column(F.col("__x")), F.lit(columns)), "__cy": F.floor((F.col("__y") + 90.0) / size)})
     apart = great_circle_m(F.col("__y"), F.col("__x"), F.col("__sy"), F.col("__sx"))
     return at.join(_maybe_broadcast(cells), ["__cx", "__cy"]).withColumn("metres", apart).where(F.col("metres") <= metres).select(F.col("__key").alias(key), F.col("__site").alias(site_id), "metres")
+
+
+def nearest_region(points: DataFrame, regions: DataFrame, key: str, lat: str, lon: str, region_id: str, rings: str, metres: float) -> DataFrame:
+    """(key, region_id, metres): the region whose outline comes nearest, within the given distance (ties: the smaller id).
+
+    Outlines are edges, an edge is copied to the grid cells it can reach, and a point lies in one cell; distances
+    are metric on the plane that touches the sphere at the point. Meant for points outside all regions.
+    """
+    size = max(0.05, 2 * math.degrees(metres / EARTH_RADIUS_M))
+    edge = regions.select(F.col(region_id).alias("__r"), F.explode(rings).alias("ring"))
+    edge = edge.select("__r", F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("p"), F.slice("ring", 2, F.size("ring") - 1).alias("q"))).alias("e"))
+    edge = edge.select("__r", *[F.col(f"e.{p}.{c}").alias(f"{c}{i}") for i, p in ((1, "p"), (2, "q")) for c in "xy"])
+    reach_y = math.degrees(metres / EARTH_RADIUS_M)
+    reach_x = F.lit(reach_y) / F.cos(F.radians(F.least(F.greatest(F.abs("y1"), F.abs("y2")) + reach_y, F.lit(89.0))))
+    steps = lambda low, high: F.sequence(F.floor(low / size), F.floor(high / size))
+    cells = edge.withColumn("__cx", F.explode(steps(F.least("x1", "x2") - reach_x, F.greatest("x1", "x2") + reach_x))).withColumn("__cy", F.explode(steps(F.least("y1", "y2") - reach_y, F.greatest("y1", "y2") + reach_y)))
+    at = points.select(F.col(key).alias("__key"), F.col(lat).alias("__y"), F.col(lon).alias("__x")).where(valid_point(F.col("__y"), F.col("__x")))
+    at = at.withColumns({"__cx": F.floor(F.col("__x") / size), "__cy": F.floor(F.col("__y") / size)})
+    k = math.radians(1) * EARTH_RADIUS_M
+    flat = lambda x, y: ((F.col(x) - F.col("__x")) * k * F.cos(F.radians("__y")), (F.col(y) - F.col("__y")) * k)
+    (ax, ay), (bx, by) = flat("x1", "y1"), flat("x2", "y2")
+    met = at.join(_maybe_broadcast(cells), ["__cx", "__cy"]).withColumns({"ax": ax, "ay": ay, "dx": bx - ax, "dy": by - ay})
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")) / F.nullif(F.col("dx") ** 2 + F.col("dy") ** 2, F.lit(0.0))))
+    t = F.coalesce(t, F.lit(0.0))
+    apart = F.sqrt((F.col("ax") + t * F.col("dx")) ** 2 + (F.col("ay") + t * F.col("dy")) ** 2)
+    near = met.withColumn("metres", apart).where(F.col("metres") <= metres)
+    return near.groupBy("__key").agg(F.min(F.struct("metres", F.col("__r").alias("r"))).alias("m")).select(F.col("__key").alias(key), F.col("m.r").alias("region_id"), F.col("m.metres").alias("metres"))
