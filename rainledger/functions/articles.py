@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainledger.functions.dates import bottom_date, top_date
-from rainledger.functions.text import first_line, lines
+from rainledger.functions.text import first_line, let, lines, strip
 
 SHORT_RATIO, LONG_RATIO, LEAST_RATIO = 0.25, 0.95, 0.30
 # Marks of the file format, in lower case.
@@ -27,17 +27,30 @@ def body_text(c: Column) -> Column:
     the first `classification` line after the start, else before the first other end mark. Runs of blank lines are
     one blank line. A null gives null.
     """
-    rows = F.transform(lines(c), lambda x: F.struct(F.trim(x).alias("line"), F.lower(F.trim(x)).alias("low")))
-    low = F.transform(rows, lambda r: r["low"])
-    position = lambda test, start: F.coalesce(F.get(F.filter(F.transform(low, lambda x, i: F.when(test(x) & (i >= start), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(-1))
-    starts = [position(lambda x, m=m: x.startswith(m), F.lit(0)) for m in _STARTS]
-    highlight = starts[0] >= 0
-    start = F.coalesce(*[F.when(s >= 0, s + 1) for s in starts], F.lit(0))
-    end = F.coalesce(*[F.when(e >= 0, e) for e in (position(lambda x: x.startswith("classification"), start), position(lambda x: _begins(x, _ENDS), start))], F.size(rows))
-    inline = F.when(highlight, F.trim(F.regexp_replace(F.get(F.transform(rows, lambda r: r["line"]), starts[0]), "^[^:]*:", ""))).otherwise("")
-    kept = F.filter(rows, lambda r, i: (i >= start) & (i < end) & ~r["low"].startswith("highlight:") & ~r["low"].startswith("body") & (highlight | ~_begins(r["low"], _METADATA)))
-    text = F.array_join(F.concat(F.when(inline != "", F.array(inline)).otherwise(F.array().cast("array<string>")), F.transform(kept, lambda r: r["line"])), "\n")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    rows = F.transform(lines(c), lambda x: F.struct(strip(x).alias("line"), F.lower(strip(x)).alias("low")))
+    return let(rows, _body_of)
+
+
+def _body_of(rows: Column) -> Column:
+    def position(test, start) -> Column:
+        hits = F.filter(F.transform(rows, lambda r, i: F.when(test(r["low"]) & (i >= start), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.get(hits, F.lit(0)), F.lit(-1))
+
+    marks = F.struct(*[position(lambda x, m=m: x.startswith(m), F.lit(0)).alias(f"s{i}") for i, m in enumerate(_STARTS)])
+    return let(marks, lambda m: let(F.coalesce(*[F.when(m[f"s{i}"] >= 0, m[f"s{i}"] + 1) for i in range(len(_STARTS))], F.lit(0)), lambda start: _from(rows, m["s0"], start, position)))
+
+
+def _from(rows: Column, mark: Column, start: Column, position) -> Column:
+    highlight = mark >= 0
+    ends = [position(lambda x: x.startswith("classification"), start), position(lambda x: _begins(x, _ENDS), start)]
+    inline = F.when(highlight, F.trim(F.regexp_replace(F.get(rows, mark)["line"], "^[^:]*:", ""))).otherwise("")
+
+    def text(end: Column) -> Column:
+        kept = F.filter(rows, lambda r, i: (i >= start) & (i < end) & ~r["low"].startswith("highlight:") & ~r["low"].startswith("body") & (highlight | ~_begins(r["low"], _METADATA)))
+        joined = F.array_join(F.concat(F.when(inline != "", F.array(inline)).otherwise(F.array().cast("array<string>")), F.transform(kept, lambda r: r["line"])), "\n")
+        return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+    return let(F.coalesce(*[F.when(e >= 0, e) for e in ends], F.size(rows)), text)
 
 
 def enrich_articles(articles: DataFrame, text_col: str = "text", id_col: str = "article_id") -> DataFrame:
@@ -45,7 +58,7 @@ def enrich_articles(articles: DataFrame, text_col: str = "text", id_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = articles.withColumns({"title": first_line(text), "top_date": top_date(text), "bottom_date": bottom_date(text), "body": body_text(text)})
     out = out.withColumn("publication_date", F.coalesce("top_date", "bottom_date"))
-    ratio = F.char_length(F.col("body")) / F.greatest(F.char_length(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(1))
+    ratio = F.char_length(F.col("body")) / F.greatest(F.char_length(strip(text)), F.lit(1))
     dated = F.concat(F.lit("Publication date: "), F.col("publication_date").cast("string"))
     return out.withColumns({
         "clean_text_ratio": F.round(ratio, 4),

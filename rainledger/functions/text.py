@@ -10,6 +10,16 @@ _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where body uses it inside lambda functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -47,9 +57,13 @@ def words(c: Column) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """Distinct runs of k tokens; a shorter text is one shingle, an empty one has none."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(runs))
+
+    def runs(t: Column) -> Column:
+        n = F.size(t)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(t.isNull(), None).when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return let(tokens, runs)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
@@ -64,7 +78,7 @@ def lines(c: Column) -> Column:
 
 def first_line(c: Column) -> Column:
     """The first line that isn't blank, trimmed; an empty string if there is none."""
-    return F.coalesce(F.get(F.filter(F.transform(lines(c), F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(lines(c), strip), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def without_extension(c: Column) -> Column:

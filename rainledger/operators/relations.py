@@ -52,12 +52,9 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def multiset_match(gold: DataFrame, predicted: DataFrame, keys: list[str], within: str) -> DataFrame:
     """(within, n_gold, n_predicted, n_match): matches of two bags, each row at most once. Bags are compared by counts."""
-    g = gold.groupBy(within, *keys).agg(F.count("*").alias("g"))
-    p = predicted.groupBy(within, *keys).agg(F.count("*").alias("p"))
-    same = F.lit(True)
-    for k in [within, *keys]:
-        same = same & g[k].eqNullSafe(p[k])
-    both = g.join(p, same, "full").select(F.coalesce(g[within], p[within]).alias(within), F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
+    cols = [within, *keys]
+    bag = gold.select(*cols, F.lit(1).alias("g"), F.lit(0).alias("p")).unionAll(predicted.select(*cols, F.lit(0), F.lit(1)))
+    both = bag.groupBy(*cols).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))  # null keys are equal in a group
     return both.groupBy(within).agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"), F.sum(F.least("g", "p")).alias("n_match"))
 
 

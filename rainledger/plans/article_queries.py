@@ -158,6 +158,10 @@ _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
 _FOLD = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 ORACLES = {
+    "text_clean_features": """
+        SELECT doc_id, coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x)), lambda x: x <> '')[1], '') AS title,
+               CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS INT) AS n_words, md5(trim(regexp_replace(lower(text), '[\\s\\x0b\\x85\\p{Z}]+', ' ', 'g'))) AS fingerprint,
+               round(CAST(length(trim(text)) AS DOUBLE) / greatest(length(text), 1), 4) AS ratio FROM documents WHERE text IS NOT NULL""",
     "shingle_counts": f"""
         WITH w AS (SELECT doc_id, {_W} AS w FROM documents WHERE text IS NOT NULL),
         s AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) AS r FROM w)
