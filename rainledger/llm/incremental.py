@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainledger.llm.pairs import bands_of, bucket_pairs, components, first_of_copies, small
+from rainledger.llm.pairs import bands_of, bucket_pairs, first_of_copies, small
 from rainledger.llm.shingles import sketch, verify
+from rainledger.operators.graph import components
 from rainledger.storage import Workspace
 
 #: 120 coordinates, bands of 5, two shufflings: 48 blocking keys, of which a pair must share two.

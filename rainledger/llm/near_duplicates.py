@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainledger.llm.pairs import bands_of, bucket_pairs, components, first_of_copies
+from rainledger.llm.pairs import bucket_pairs, first_of_copies
 from rainledger.llm.shingles import sketch, verify
+from rainledger.operators.graph import components
 from rainledger.storage import Workspace
 
 #: 200 coordinates, bands of 5, two shufflings: 80 bands, of which a pair must share two. A pair of

@@ -1,4 +1,4 @@
-"""Candidate pairs from banded signatures and connected components, without hot groups in one task."""
+"""Candidate pairs from banded signatures, without hot groups in one task."""
 
 from __future__ import annotations
 
@@ -47,29 +47,3 @@ def bucket_pairs(ws: Workspace, sketches: DataFrame, least_bands: int) -> tuple[
         if rows.where(F.col("n") > SMALL_BUCKET).limit(1).count():
             hot = rows.where(F.col("n") > SMALL_BUCKET).select("key", "id", "lead")
     return ws.write("pairs", pairs.groupBy("a", "b").agg(F.count("*").alias("bands")).where(F.col("bands") >= least_bands)), hot
-
-
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of the edges (a, b): root is the smallest id it is linked to by way of any others.
-
-    Alternating large-star and small-star contraction (Kiveris et al., 2014): a few rounds of
-    aggregates and joins, each written to the shared folder; no neighbourhood is collected.
-    """
-    now = ws.write("edges_0", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
-    for turn in range(1, 60):
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        after = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = ws.write(f"edges_{turn}", after)
-        seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        ws.drop(f"edges_{turn - 1}")
-        now = after
-        if seen == mark:
-            break
-        mark = seen
-    roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
