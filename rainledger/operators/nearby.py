@@ -140,16 +140,14 @@ def points_near_sites(points: DataFrame, sites: DataFrame, key: str, lat: str, l
     join is an equi-join on the cell and each pair meets once. Null coordinates match nothing.
     """
     reach = math.degrees(metres / EARTH_RADIUS_M)
-    size = max(reach, 1e-4)
-    columns = math.ceil(360 / size)
+    columns = max(1, math.floor(360 / max(reach, 1e-4)))
+    size = 360 / columns  # the circle of longitude is cut evenly, so it closes at the date line
     site = sites.select(F.col(site_id).alias("__site"), F.col(site_lat).cast("double").alias("__sy"), F.col(site_lon).cast("double").alias("__sx")).where(valid_point(F.col("__sy"), F.col("__sx")))
     polar = F.abs("__sy") + reach >= 89.9
     spread = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(reach)) / F.cos(F.radians("__sy"))))) + 1e-9
     column = lambda v: F.floor((v + 180.0) / size)
     xs = F.when(polar | (spread >= 180), F.sequence(F.lit(0), F.lit(columns - 1))).otherwise(F.array_distinct(F.transform(F.sequence(column(F.col("__sx") - spread), column(F.col("__sx") + spread)), lambda c: F.pmod(c, F.lit(columns)))))
     ys = F.sequence(F.floor((F.col("__sy") - reach - 1e-9 + 90.0) / size), F.floor((F.col("__sy") + reach + 1e-9 + 90.0) / size))
-    # the last column is narrower than the others: a circle that reaches over the date line also takes the column beside it
-    xs = F.when(F.abs("__sx") + spread >= 180.0 - size, F.array_union(xs.cast("array<bigint>"), F.array(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint")))).otherwise(xs.cast("array<bigint>"))
     cells = site.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
     at = points.select(F.col(key).alias("__key"), F.col(lat).alias("__y"), F.col(lon).alias("__x")).where(valid_point(F.col("__y"), F.col("__x")))
     at = at.withColumns({"__cx": F.pmod(column(F.col("__x")), F.lit(columns)), "__cy": F.floor((F.col("__y") + 90.0) / size)})
