@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rainledger.operators.interval_nesting import answer_nodes, nodes_of, within
 from rainledger.operators.nearby import points_in_regions, points_near_sites
-from rainledger.storage import table
+from rainledger.storage import Workspace, table
 
 NEAR_M = 5_000.0
 
@@ -26,7 +26,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extraction_id, event_pos, impact_pos): every impact by interval containment, -1 for an event without one."""
-    nodes = answer_nodes(table(spark, sf_dir, "drought_extractions"), "extraction_id", "payload")
+    # written once: the event and the impact table are read from it, so no answer is parsed twice
+    nodes = Workspace(spark, "answers").write("nodes", answer_nodes(table(spark, sf_dir, "drought_extractions"), "extraction_id", "payload"))
     linked = within(nodes_of(nodes, "impact"), nodes_of(nodes, "event"), "right")
     return linked.select(
         F.col("answer_id").alias("extraction_id"), F.col("outer_pos").alias("event_pos"), F.coalesce("pos", F.lit(-1)).alias("impact_pos")
