@@ -63,4 +63,12 @@ ORACLES = {
         SELECT article_id, model_name, event_pos, location, impact_pos, impact.classification AS classification, impact.severity AS severity, impact.confidence AS confidence FROM x
         UNION ALL
         SELECT article_id, model_name, event_pos, event.location, -1, NULL, NULL, NULL FROM k WHERE event.impacts IS NULL OR len(event.impacts) = 0""",
+    "p6_found": """
+        WITH p AS (SELECT row_id, geocoded_latitude AS y, geocoded_longitude AS x FROM impacts_geocoded_points WHERE geocoded_latitude BETWEEN -90 AND 90 AND geocoded_longitude BETWEEN -180 AND 180),
+        r AS (SELECT nuts_id, unnest(rings) AS ring FROM nuts_regions WHERE level = 3),
+        e AS (SELECT nuts_id, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2 FROM (SELECT nuts_id, ring, unnest(range(1, len(ring))) AS i FROM r)),
+        d AS (SELECT row_id, nuts_id FROM p JOIN e ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+        s AS (SELECT row_id, staid FROM p JOIN cdd_stations t ON abs(p.y - t.latitude) < 0.05
+              WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(t.latitude - y) / 2), 2) + cos(radians(y)) * cos(radians(t.latitude)) * pow(sin(radians(t.longitude - x) / 2), 2)))) <= 5000)
+        SELECT row_id, 'region' AS ref_kind, nuts_id AS ref_id FROM d UNION ALL SELECT row_id, 'station', CAST(staid AS VARCHAR) FROM s""",
 }
