@@ -86,4 +86,13 @@ ORACLES = {
         k AS (SELECT article_id, source, line_no, regexp_replace(regexp_replace(lower(line), '\\p{Nd}+', '#D#', 'g'), '[ \\t\\r]+', ' ', 'g') AS like_line FROM l WHERE line <> ''),
         c AS (SELECT source, like_line, count(DISTINCT article_id) AS n FROM k GROUP BY source, like_line)
         SELECT k.article_id, k.line_no FROM k JOIN c USING (source, like_line) JOIN s USING (source) WHERE c.n >= 5 AND c.n >= 0.1 * s.size""",
+    "p4_found": """
+        WITH RECURSIVE a AS (SELECT DISTINCT features.article_id AS id, regexp_extract_all(lower(text_content), '[\\p{L}\\p{N}]+') AS w FROM sample_impacts WHERE text_content IS NOT NULL),
+        g AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS s FROM a WHERE len(w) >= 20)),
+        n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+        c AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE CAST(k AS DOUBLE) / (p.n + q.n - k) >= 0.7),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+        SELECT CAST(min(least(id, other)) AS INT) AS group_id, CAST(id AS INT) AS article_id FROM r GROUP BY id""",
 }
