@@ -1,7 +1,7 @@
 import math
 import random
 
-from rainledger.operators.nearby import nearest_region, points_in_regions, points_near_sites
+from rainledger.operators.nearby import nearest_region, overlay_areas, points_in_regions, points_near_sites
 
 RINGS = "rid string, rings array<array<struct<x:double,y:double>>>, row_id string"
 
@@ -65,3 +65,12 @@ def test_nearest_region_within_distance(spark):
     got = {r["row_id"]: (r["region_id"], r["metres"]) for r in nearest_region(points, regions, "row_id", "lat", "lon", "rid", "rings", 25_000.0).collect()}
     assert set(got) == {1, 2, 3} and got[1][0] == "A" and got[2][0] == "A" and got[3][0] == "B"
     assert abs(got[1][1] - 0.1 * math.pi / 180 * 6_371_008.8 * math.cos(math.radians(51.5))) < 1
+
+
+def test_overlay_areas(spark):
+    a = spark.createDataFrame([("A", [square(4.0, 51.0, 1.0)], "z")], RINGS)
+    b = spark.createDataFrame([("L", [square(3.0, 50.5, 1.5)], "z"), ("R", [[(4.5, 51.0), (6.0, 51.0), (6.0, 52.0), (4.5, 52.0), (4.5, 51.0)]], "z")], RINGS).withColumnRenamed("rid", "bid")
+    got = {r["bid"]: r for r in overlay_areas(a, b, "rid", "bid", step=0.02).collect()}
+    k = math.radians(1) * 6371.0088
+    assert abs(got["R"]["area_km2"] - 0.5 * k * k * math.cos(math.radians(51.5))) < 20 and abs(got["L"]["share"] + got["R"]["share"] - 1) < 1e-9
+    assert abs(got["L"]["area_km2"] - 0.5 * k * k * math.cos(math.radians(51.5))) < 3200

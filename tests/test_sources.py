@@ -101,3 +101,18 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sum(got) == events.count()
     batch = runs.windowed_counts(events, "ts", "event_type")
     assert batch.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_asking_retries_and_resumes(spark):
+    from rainledger.sources import answers
+
+    def ask(text):
+        if text == "slecht":
+            raise ValueError("nee")
+        return text.upper()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "slecht"), (3, None), (4, "b")], "id int, text string")
+    done = spark.createDataFrame([(4, "klaar"), (9, "weg")], "id int, answer string")
+    out = answers.resume(rows, done, ask, base=0.0)
+    assert {tuple(r) for r in out.collect()} == {(1, "A"), (2, "Error: nee"), (3, None), (4, "klaar")}
+    assert tuple(answers.usage_totals(out).first()) == (4, 1, 6)
