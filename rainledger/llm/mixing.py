@@ -16,6 +16,8 @@ from rainledger.storage import Workspace
 BLOCKS = 10_000
 #: Documents of a source that one shard holds about.
 SHARD_ROWS = 20_000
+#: Shards of a source at most: their sizes come to the driver. Beyond that shards grow, which a window's sort bears.
+MOST_SHARDS = 4_096
 #: Rows (mix, source) up to which targets are apportioned on the driver.
 MOST_TARGETS = 100_000
 
@@ -87,11 +89,11 @@ def mix_documents(texts: DataFrame, targets: DataFrame, seed: int = 1, blocks: i
     total = sized.agg(F.sum("tokens")).first()[0] or 0
     quotas = _apportion(wanted, sizes, total, blocks)
 
-    shards = spark.createDataFrame([(s, -(-counts[s] // SHARD_ROWS)) for s in counts], "source string, shards int")
+    shards = spark.createDataFrame([(s, min(MOST_SHARDS, -(-counts[s] // SHARD_ROWS))) for s in counts], "source string, shards int")
     spot = F.xxhash64(F.lit(seed), "id")
     placed = sized.join(F.broadcast(shards), "source").withColumn("spot", spot).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")).cast("int"))
     shard_sizes: dict[str, dict[int, int]] = {}
-    for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect():  # a row per SHARD_ROWS documents
+    for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect():  # at most MOST_SHARDS rows a source
         shard_sizes.setdefault(r["source"], {})[r["shard"]] = r["tokens"]
     parts = []
     for q in quotas:
