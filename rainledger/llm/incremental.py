@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rainledger.llm.pairs import bands_of, bucket_pairs, first_of_copies, small
@@ -95,7 +96,7 @@ class IncrementalDeduper:
             texts = texts.unionAll(history.select("id", "text"))
         # a set less than `at_least` as large as the other can't be that similar
         links = at.write("links", self._check(scored.where(F.col("ratio") >= self.at_least), texts).join(scored.select("a", "b", "score"), ["a", "b"], "left"))
-        verdicts, links = self._decide(at, copies, links, hot, texts)
+        verdicts, links = self._decide(at, copies, sketches, links, hot, texts)
         rejected = self._matches(at, sketches, copies, verdicts, links)
         out = ws.write(f"store/rejected/{turn}", rejected)
         gone = out.select("id")
@@ -152,31 +153,50 @@ class IncrementalDeduper:
         wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         return verify(pairs, texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), self.k_words, self.at_least)
 
-    def _decide(self, at: Workspace, copies: DataFrame, links: DataFrame, hot: DataFrame | None, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, state) of the linked ids of this batch, state 1 accepted or -1 rejected; and all links found.
+    def _hot_links(self, at: Workspace, name: str, star: DataFrame, sketches: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+        """The links with those among the pairs (a, b) of hot buckets: at least two shared keys, sizes near enough, not linked yet."""
+        a, b = (sketches.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"), F.col("words").alias(f"n_{x}")) for x in "ab")
+        both = star.distinct().join(links, ["a", "b"], "left_anti").join(a, "a").join(b, "b")
+        near = both.where((F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= self.at_least) & (F.size(F.array_intersect("keys_a", "keys_b")) >= LEAST_BANDS))
+        near = at.write(f"near_{name}", near.select("a", "b"))
+        more = self._check(near, texts).withColumn("score", F.lit(None).cast("double"))
+        links = at.write(f"links_{name}", links.select("a", "b", "sim", "score").unionAll(more))
+        at.drop(f"near_{name}")
+        return links
+
+    def _decide(self, at: Workspace, copies: DataFrame, sketches: DataFrame, links: DataFrame, hot: DataFrame | None, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, state, turn) of the linked ids of this batch, state 1 accepted or -1 rejected in that round; and all links found.
 
         In each round a set is accepted if no earlier undecided or accepted set is linked to it, and
         rejected if an accepted one is. Rounds go on until all are decided; their number is the length of
         the longest alternating chain, not that of the data. Within a hot bucket only the first undecided
-        set is compared with the rest, so a family of near copies costs one comparison each.
+        set is compared with the rest, so a family of near copies costs one comparison each; what is
+        rejected before an accepted set of its bucket has been compared with it is compared afterwards.
         """
         new = copies.select(F.col("rep").alias("id"))
         # a is always the earlier of a pair; ids of earlier ingests are accepted already
         linked = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id")))
         if hot is not None:
             linked = linked.unionAll(hot.select("id"))
-        state = at.write("state_0", new.join(linked.distinct(), "id", "left_semi").withColumn("state", F.lit(0)))
+            # led: the round in which the set was compared with all undecided later ones of the bucket, 0 if not yet
+            hot = at.write("hot_0", hot.select("key", "id", F.lit(0).alias("led")))
+        state = at.write("state_0", new.join(linked.distinct(), "id", "left_semi").select("id", F.lit(0).alias("state"), F.lit(0).alias("turn")))
         for turn in range(1, 1000):
             if not state.where("state = 0").limit(1).count():
                 break
             behind = None
             if hot is not None:
-                live = hot.select("key", "id").join(state.where("state = 0"), "id")
-                lead = live.groupBy("key").agg(F.min("id").alias("a"))
-                star = live.select("key", F.col("id").alias("b")).join(lead, "key").where("a < b").select("a", "b").distinct()
-                more = at.write(f"hot_{turn}", self._check(star.join(links, ["a", "b"], "left_anti"), texts).withColumn("score", F.lit(None).cast("double")))
-                links = at.write(f"links_{turn}", links.select("a", "b", "sim", "score").unionAll(more))
-                behind = live.join(lead, "key").where("id > a").select("id").distinct()
+                open_ = state.where("state = 0").select("id")
+                live = hot.join(open_, "id", "left_semi")
+                place = F.row_number().over(W.partitionBy("key").orderBy("id"))
+                block = live.where("led = 0").withColumn("place", place).where(F.col("place") <= 1)
+                block = at.write(f"block_{turn}", block.select("key", F.col("id").alias("a")))
+                if block.limit(1).count():
+                    star = live.select("key", F.col("id").alias("b")).join(small(block), "key").where("a < b").select("a", "b")
+                    links = self._hot_links(at, str(turn), star, sketches, links, texts)
+                    now = block.select("key", F.col("a").alias("id"), F.lit(turn).alias("now"))
+                    hot = at.write(f"hot_{turn}", hot.join(now, ["key", "id"], "left").select("key", "id", F.coalesce("now", "led").alias("led")))
+                    behind = hot.where("led = 0").join(open_, "id", "left_semi").select("id").distinct()
             earlier = links.join(state.select(F.col("id").alias("a"), F.col("state").alias("at_a")), "a", "left").select(F.col("b").alias("id"), F.coalesce("at_a", F.lit(1)).alias("at_a"))
             seen = earlier.groupBy("id").agg(F.max(F.when(F.col("at_a") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("at_a") == 0, 1).otherwise(0)).alias("wait"))
             judged = state.join(seen, "id", "left")
@@ -184,10 +204,27 @@ class IncrementalDeduper:
             if behind is not None:
                 judged = judged.join(behind.withColumn("behind", F.lit(1)), "id", "left")
                 wait = F.greatest(wait, F.coalesce("behind", F.lit(0)))
-            judged = judged.select("id", F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, -1).when(wait == 0, 1).otherwise(0).alias("state"))
+            verdict = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, -1).when(wait == 0, 1).otherwise(0)
+            judged = judged.select("id", verdict.alias("state"), F.when((F.col("state") == 0) & (verdict != 0), turn).otherwise(F.col("turn")).alias("turn"))
             state = at.write(f"state_{turn}", judged)
+        if hot is not None:
+            links = self._hot_links(at, "after", self._uncompared(at, copies, hot, state), sketches, links, texts)
         return state, links
 
+    @staticmethod
+    def _uncompared(at: Workspace, copies: DataFrame, hot: DataFrame, state: DataFrame) -> DataFrame:
+        """Pairs (a, b) of an accepted and a rejected set of a hot bucket that no round has compared.
+
+        A set is compared with the later ones that are undecided when it leads. Accepted sets after the
+        rejected one matter only to copies of it that come later still.
+        """
+        kept = at.write("kept", hot.join(state.where("state = 1").select("id", "turn"), "id").select("key", F.col("id").alias("kept"), F.col("led").alias("led_k"), F.col("turn").alias("turn_k")))
+        lost = hot.join(state.where("state = -1").select("id", "turn"), "id").join(copies.select(F.col("rep").alias("id"), "copies"), "id")
+        lost = lost.select("key", F.col("id").alias("lost"), F.col("led").alias("led_l"), F.col("turn").alias("turn_l"), "copies")
+        before = (F.col("kept") < F.col("lost")) & (F.col("led_k") > F.col("turn_l"))
+        after = (F.col("kept") > F.col("lost")) & (F.col("copies") > 1) & ((F.col("led_l") == 0) | (F.col("led_l") > F.col("turn_k")))
+        return lost.join(small(kept), "key").where(before | after).select(F.least("kept", "lost").alias("a"), F.greatest("kept", "lost").alias("b"))
+
     def _matches(self, at: Workspace, sketches: DataFrame, copies: DataFrame, verdicts: DataFrame, links: DataFrame) -> DataFrame:
         """Every rejected id with the most similar accepted one before it (the smaller article id if equal)."""
         both = links.select(F.col("b").alias("rep"), F.col("a").alias("match"), "sim", "score").unionAll(links.select(F.col("a").alias("rep"), F.col("b").alias("match"), "sim", "score"))

@@ -103,6 +103,25 @@ def test_rejections_equal_a_walk_for_any_number_of_ingests(spark, monkeypatch):
         assert got == want, (ingests, bucket)
 
 
+def marked(base, *places):
+    """The text with the words at these places replaced."""
+    words = base.split()
+    for p in places:
+        words[p] = f"anders{p}"
+    return " ".join(words)
+
+
+def test_hot_family_of_two_accepted_texts(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL_BUCKET", 4)
+    base, places = text(5, 600), range(20, 580, 40)
+    near = [marked(base, *[p for p in places if p != gone]) for gone in places]
+    # 1 and 40 are accepted, all others are more like 40 than like 1; 3 comes before 40, its copy 70 after it
+    rows = [(1, base), (40, marked(base, *places)), (70, near[0])] + [(3 + i + 40 * (i > 9), x) for i, x in enumerate(near)]
+    batch = spark.createDataFrame([(i, 1, "z", x) for i, x in rows], "id int, batch_no int, source_zip string, text string")
+    got = {r["id"] % 2**32: r["match"] % 2**32 for r in IncrementalDeduper(Workspace(spark, "t")).ingest(batch).collect()}
+    assert got == rejected_by_force([(i, "z", x) for i, x in rows], {"z": 1}) and got[3] == 1 and got[70] == got[53] == 40
+
+
 def test_history_is_not_read_again_and_mapping_follows(spark):
     d = IncrementalDeduper(Workspace(spark, "t"))
     a = text(1)
