@@ -9,6 +9,8 @@ touched. What was accepted before is never sketched or paired again.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -168,10 +170,12 @@ class IncrementalDeduper:
         """(id, state, turn) of the linked ids of this batch, state 1 accepted or -1 rejected in that round; and all links found.
 
         In each round a set is accepted if no earlier undecided or accepted set is linked to it, and
-        rejected if an accepted one is. Rounds go on until all are decided; their number is the length of
-        the longest alternating chain, not that of the data. Within a hot bucket only the first undecided
-        set is compared with the rest, so a family of near copies costs one comparison each; what is
-        rejected before an accepted set of its bucket has been compared with it is compared afterwards.
+        rejected if an accepted one is. Rounds go on until all are decided: the first undecided set always
+        can be. Within a hot bucket the first undecided sets not yet compared with the rest are, one in
+        the first round and twice as many in each further one: a family of near copies costs one
+        comparison each, and sets that are all accepted take as many rounds as the logarithm of their
+        number. Beyond that the rounds are those of the longest alternating chain. What is rejected before
+        an accepted set of its bucket has been compared with it is compared afterwards.
         """
         new = copies.select(F.col("rep").alias("id"))
         # a is always the earlier of a pair; ids of earlier ingests are accepted already
@@ -181,7 +185,7 @@ class IncrementalDeduper:
             # led: the round in which the set was compared with all undecided later ones of the bucket, 0 if not yet
             hot = at.write("hot_0", hot.select("key", "id", F.lit(0).alias("led")))
         state = at.write("state_0", new.join(linked.distinct(), "id", "left_semi").select("id", F.lit(0).alias("state"), F.lit(0).alias("turn")))
-        for turn in range(1, 1000):
+        for turn in count(1):
             if not state.where("state = 0").limit(1).count():
                 break
             behind = None
@@ -189,13 +193,14 @@ class IncrementalDeduper:
                 open_ = state.where("state = 0").select("id")
                 live = hot.join(open_, "id", "left_semi")
                 place = F.row_number().over(W.partitionBy("key").orderBy("id"))
-                block = live.where("led = 0").withColumn("place", place).where(F.col("place") <= 1)
+                block = live.where("led = 0").withColumn("place", place).where(F.col("place") <= 1 << min(turn - 1, 20))
                 block = at.write(f"block_{turn}", block.select("key", F.col("id").alias("a")))
                 if block.limit(1).count():
                     star = live.select("key", F.col("id").alias("b")).join(small(block), "key").where("a < b").select("a", "b")
                     links = self._hot_links(at, str(turn), star, sketches, links, texts)
                     now = block.select("key", F.col("a").alias("id"), F.lit(turn).alias("now"))
                     hot = at.write(f"hot_{turn}", hot.join(now, ["key", "id"], "left").select("key", "id", F.coalesce("now", "led").alias("led")))
+                    at.drop(f"hot_{turn - 1}", f"links_{turn - 1}")
                     behind = hot.where("led = 0").join(open_, "id", "left_semi").select("id").distinct()
             earlier = links.join(state.select(F.col("id").alias("a"), F.col("state").alias("at_a")), "a", "left").select(F.col("b").alias("id"), F.coalesce("at_a", F.lit(1)).alias("at_a"))
             seen = earlier.groupBy("id").agg(F.max(F.when(F.col("at_a") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("at_a") == 0, 1).otherwise(0)).alias("wait"))
@@ -207,6 +212,7 @@ class IncrementalDeduper:
             verdict = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, -1).when(wait == 0, 1).otherwise(0)
             judged = judged.select("id", verdict.alias("state"), F.when((F.col("state") == 0) & (verdict != 0), turn).otherwise(F.col("turn")).alias("turn"))
             state = at.write(f"state_{turn}", judged)
+            at.drop(f"state_{turn - 1}", f"block_{turn}")
         if hot is not None:
             links = self._hot_links(at, "after", self._uncompared(at, copies, hot, state), sketches, links, texts)
         return state, links

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,9 +51,9 @@ def keep_greedily(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, kept_id, sim): visiting ids upwards, an id is dropped for its most similar kept neighbour before it (the
     smaller id if equal); kept ones have a null kept_id. Decided in rounds, as many as the longest alternating chain."""
     ws = Workspace(ids.sparkSession, "greedy")
-    pairs = ws.write("pairs", pairs)
+    pairs = ws.write("pairs", pairs.where("a < b"))
     state = ws.write("state_0", ids.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for turn in range(1, 1000):
+    for turn in count(1):  # the smallest undecided id is decided in any round
         earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.max(F.col("ka").isNull()).alias("wait"))
         judged = state.join(earlier, "id", "left").select("id", F.coalesce("kept", F.when(F.col("hit"), False).when(~F.coalesce("wait", F.lit(False)), True)).alias("kept"))
         state = ws.write(f"state_{turn}", judged)

@@ -122,6 +122,17 @@ def test_hot_family_of_two_accepted_texts(spark, monkeypatch):
     assert got == rejected_by_force([(i, "z", x) for i, x in rows], {"z": 1}) and got[3] == 1 and got[70] == got[53] == 40
 
 
+def test_rounds_of_a_hot_bucket_do_not_follow_its_size(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL_BUCKET", 4)
+    base, names, write = text(6, 1000), [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, name, *a: names.append(name) or write(self, name, *a))
+    rows = [(i, edited(base, i, 15)) for i in range(24)]
+    assert not rejected_by_force([(i, "z", x) for i, x in rows], {})
+    batch = spark.createDataFrame([(i, 1, "z", x) for i, x in rows], "id int, batch_no int, source_zip string, text string")
+    assert IncrementalDeduper(Workspace(spark, "t")).ingest(batch).count() == 0
+    assert 2 < sum(n.startswith("state_") for n in names) <= 7
+
+
 def test_history_is_not_read_again_and_mapping_follows(spark):
     d = IncrementalDeduper(Workspace(spark, "t"))
     a = text(1)

@@ -15,6 +15,13 @@ def test_greedy_keeps_the_far_end_of_a_chain(spark):
     assert got == {1: None, 2: 1, 3: None, 4: None, 5: 4, 6: 4, 7: None}
 
 
+def test_greedy_rounds_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "range", lambda *a: range(1, 3), raising=False)
+    chain = spark.range(1, 7).selectExpr("id a", "id + 1 b", "0.9D sim")
+    got = {r["id"]: r["kept_id"] for r in similarity.keep_greedily(chain, spark.range(1, 8).toDF("id")).collect()}
+    assert got == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 5, 7: None}
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(40)) for _ in range(20)]
