@@ -114,7 +114,10 @@ class IncrementalDeduper:
 
     def mapping(self) -> DataFrame:
         """(id, representative) of every clustered id: the newest row written for it."""
-        parts = [self.ws.spark.read.parquet(self.ws.path(f"store/mapping/{t}")).withColumn("turn", F.lit(t)) for t in range(self.turn)]
+        return self._newest(self.turn)
+
+    def _newest(self, turns: int) -> DataFrame:
+        parts = [self.ws.spark.read.parquet(self.ws.path(f"store/mapping/{t}")).withColumn("turn", F.lit(t)) for t in range(turns)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionAll(part)
@@ -248,11 +251,15 @@ class IncrementalDeduper:
         edges = rejected.select(F.col("id").alias("a"), F.col("match").alias("b"))
         gone = rejected.select(F.col("id").alias("b"))
         edges = edges.unionAll(links.join(gone, "b", "left_semi").select("a", "b"))
-        if self.turn > 1:
-            old = self.ws.spark.read.parquet(*[self.ws.path(f"store/mapping/{t}") for t in range(self.turn - 1)])
-            touched = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
-            edges = edges.unionAll(old.join(touched, "id", "left_semi").select(F.col("id").alias("a"), F.col("representative").alias("b")))
-        return components(at, edges).select("id", F.col("root").alias("representative"))
+        if self.turn == 1:
+            return components(at, edges).select("id", F.col("root").alias("representative"))
+        # every member of a touched cluster comes in: its representative changes if another cluster's is smaller
+        old = at.write("mapping", self._newest(self.turn - 1))
+        touched = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
+        clusters = old.join(touched, "id", "left_semi").select("representative").distinct()
+        members = old.join(clusters, "representative", "left_semi").select(F.col("id").alias("a"), F.col("representative").alias("b"))
+        now = components(at, edges.unionAll(members)).select("id", F.col("root").alias("representative"))
+        return now.join(old, ["id", "representative"], "left_anti")
 
 
 def rejected_articles(articles: DataFrame, batches: DataFrame, ws: Workspace, ingests: int = 3) -> DataFrame:

@@ -144,6 +144,16 @@ def test_history_is_not_read_again_and_mapping_follows(spark):
     assert d.ingest(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_batch_that_bridges_two_clusters_moves_all_their_members(spark):
+    d, a = IncrementalDeduper(Workspace(spark, "t")), text(8)
+    b = marked(a, 20, 60)
+    schema = "id int, batch_no int, source_zip string, text string"
+    d.ingest(spark.createDataFrame([(1, 1, "z", a), (2, 1, "z", b), (3, 1, "z", marked(a, 40)), (4, 1, "z", marked(b, 40))], schema))
+    assert {r["id"] % 2**32: r["representative"] % 2**32 for r in d.mapping().collect()} == {1: 1, 3: 1, 2: 2, 4: 2}
+    d.ingest(spark.createDataFrame([(5, 2, "z", marked(a, 20))], schema))
+    assert {r["id"] % 2**32: r["representative"] % 2**32 for r in d.mapping().collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
 def test_learned_weights_rise_with_agreement():
     w = learn_weights([((0, 1, 0), 5000), ((1, 1, 0), 300), ((3, 3, 0), 80), ((4, 3, 0), 300), ((4, 3, 1), 20)])
     assert w[(4, 3, 0)] > w[(3, 3, 0)] > w[(0, 1, 0)] and learn_weights([]) == {}
