@@ -13,6 +13,9 @@ from rainledger.storage import table
 
 START, END = "2018-01-01", "2023-12-01"
 CLASSES = ["Irrigation Shortage", "Wildfire Occurrence", "Social Impacts"]
+#: The months of the whole panel; those it is made over, for the first lag and the last targets.
+FIRST, LAST = "2018-01-01", "2025-12-01"
+BEFORE, AFTER = "2017-12-01", "2026-03-01"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,16 @@ def panel_lag_lead(spark, sf_dir):
     return _panel(spark, sf_dir)
 
 
+def panel_all_classes(spark, sf_dir):
+    """The whole panel: 96 months, every class (class_<i> in the order of domain.THEMES) with flag, lag and targets.
+    Lags and targets are made on a grid one month longer before and three after, so that trimming costs none."""
+    regions = table(spark, sf_dir, "nuts_regions").where("level = 3").select(F.col("nuts_id").alias("nuts3_id"))
+    classes = list(domain.THEMES)
+    rows = panel.labelled(panel.grid(regions, "nuts3_id", BEFORE, AFTER), _events(spark, sf_dir), "nuts3_id", classes)
+    wide = panel.with_lag_and_targets(rows, "nuts3_id", ["has_impact", *[f"class_{i}" for i in range(len(classes))]])
+    return wide.where(F.col("year_month").between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date")))
+
+
 def panel_complete(spark, sf_dir):
     """Complete rows of the panel by year."""
     whole = panel.complete(_panel(spark, sf_dir), ["has_impact_lag1", *[f"has_impact_h{h}" for h in range(4)]])
@@ -168,7 +181,7 @@ def logit_binary_relevance(spark, sf_dir):
     return learning.fit_and_score(rows, ["has_impact_lag1", "class_0_lag1", "month_sin", "month_cos"], ["class_0", "class_1", "class_2"])
 
 
-QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, zonal_stats, region_cascade, metric_points, bbox_clip, logit_binary_relevance)}
+QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_all_classes, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, zonal_stats, region_cascade, metric_points, bbox_clip, logit_binary_relevance)}
 
 _GRID = f"""
     e AS (SELECT nuts3_id, CAST(date_trunc('month', publication_date) AS DATE) AS year_month, max(CASE WHEN classification = 'Irrigation Shortage' THEN 1 ELSE 0 END) AS c0, max(CASE WHEN classification = 'Wildfire Occurrence' THEN 1 ELSE 0 END) AS c1,
@@ -193,7 +206,24 @@ def _scores(keys: str) -> str:
     z AS (SELECT r.*, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, CASE WHEN n_pos >= 5 THEN a.ap END AS ap, CASE WHEN n_pos >= 5 THEN a.ap END - prevalence AS skill FROM r JOIN a USING ({keys}))"""
 
 
+_ALL = ["has_impact", *[f"class_{i}" for i in range(len(domain.THEMES))]]
+
+
+def _all_classes() -> str:
+    """By joins with the months before and after, no window."""
+    flags = ", ".join("max(CASE WHEN classification = '" + c.replace("'", "''") + f"' THEN 1 ELSE 0 END) AS class_{i}" for i, c in enumerate(domain.THEMES))
+    shifts = {"": 0, "_lag1": -1} | {f"_h{h}": h for h in range(4)}
+    joins = " ".join(f"LEFT JOIN e AS e{s} ON e{s}.nuts3_id = g.nuts3_id AND e{s}.year_month = g.year_month + to_months({n})" for s, n in shifts.items())
+    cols = ", ".join(f"coalesce(e{s}.{c}, 0) AS {c}{s}" for c in _ALL for s in shifts)
+    return f"""
+        WITH e AS (SELECT nuts3_id, CAST(date_trunc('month', publication_date) AS DATE) AS year_month, 1 AS has_impact, {flags} FROM impacts_geocoded_points WHERE nuts3_id IS NOT NULL AND publication_date IS NOT NULL AND recency_in_months = 0 GROUP BY 1, 2),
+        m AS (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 MONTH)) AS DATE) AS year_month),
+        g AS (SELECT DISTINCT nuts_id AS nuts3_id, m.year_month FROM nuts_regions, m WHERE level = 3)
+        SELECT g.nuts3_id, g.year_month, {cols} FROM g {joins}"""
+
+
 ORACLES = {
+    "panel_all_classes": _all_classes(),
     "panel_lag_lead": f"WITH {_GRID} SELECT * FROM f",
     "panel_complete": f"WITH {_GRID} SELECT CAST(year(year_month) AS INT) AS year, count(*) AS n, CAST(sum(has_impact) AS BIGINT) AS n_impact FROM f WHERE has_impact_lag1 IS NOT NULL AND has_impact_h0 IS NOT NULL AND has_impact_h1 IS NOT NULL AND has_impact_h2 IS NOT NULL AND has_impact_h3 IS NOT NULL GROUP BY 1",
     "panel_waves": f"WITH m AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS year_month) SELECT year_month, round(sin(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_sin, round(cos(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_cos FROM m",
