@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(id, root) of every node of the edges (a, b): root is the smallest id it is linked to by way of any others.
 
     Alternating large-star and small-star contraction (Kiveris et al., 2014): a few rounds of
-    aggregates and joins, each written to the shared folder; no neighbourhood is collected.
+    aggregates and joins, each written to the shared folder; no neighbourhood is collected. Rounds go
+    on until one changes nothing.
     """
     now = ws.write("edges_0", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
-    for turn in range(1, 60):
+    for turn in count(1):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
