@@ -1,8 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from rainledger.operators import learning, metrics, panel, places, relations, similarity
+from rainledger.operators import graph, learning, metrics, panel, places, relations, similarity
 from rainledger.operators.extraction import parse_answers
 from rainledger.operators.graph import components
 from rainledger.storage import Workspace
@@ -37,7 +39,9 @@ def test_similar_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df).collect()} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", one_task)
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 51), (51, 52), (52, 50), (7, 7)]
     got = {r["id"]: r["root"] for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 31)} | {50: 50, 51: 50, 52: 50}
