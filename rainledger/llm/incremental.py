@@ -1,161 +1,217 @@
 """New batches against all accepted history, by persisted blocking keys and representative mappings.
 
-The store of a deduper holds, one directory per ingest: `keys` (blocking key, accepted id), `accepted`
-(id, text), `rejected` (id, match, sim, score), `mapping` (id, representative) and the pattern counts
-from which the field weights are learned. An ingest sketches only its own texts, probes `keys` with
-them, reads back only the accepted texts that were hit, and writes the mapping rows of the clusters it
-touched. What was accepted before is never sketched or paired again.
+A store is a folder. Each ingest adds one part (turn=N) to its tables and then a commit file, so a store can
+be opened again by another session, and an ingest that died halfway is not seen:
+
+* `keys` (key, id, words, zip): blocking keys of accepted texts, with the fields that pairs are scored on;
+* `docs` (id, article, source_zip, text): accepted texts, partitioned by ingest, so a check reads only parts that were hit;
+* `rejected` (id, article, match, sim, score) and `mapping` (id, representative): changed rows only;
+* `commits/N`: parameters and pattern counts from which the field weights are learned.
+
+An ingest sketches its own texts only. Its keys are sent to the stored ones (the history is scanned in two narrow
+columns, never sketched, paired or shuffled again), pairs that the learned weights leave in doubt get the exact
+check, and only clusters that the batch touched get new mapping rows.
 """
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
 from itertools import count
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rainledger.llm.pairs import bands_of, bucket_pairs, first_of_copies, small
+from rainledger.llm.pairs import BROADCAST_ROWS, bands_of, bucket_pairs, first_of_copies, small
 from rainledger.llm.shingles import sketch, verify
 from rainledger.operators.graph import components
-from rainledger.storage import Workspace
+from rainledger.storage import Folder, Workspace
 
 #: 120 coordinates, bands of 5, two shufflings: 48 blocking keys, of which a pair must share two.
 #: A pair of similarity 0.8 is missed with probability below 1e-6.
 DARTS, ROWS, ROUNDS, LEAST_BANDS = 120, 5, 2, 2
-_BAND_STEPS, _RATIO_STEPS = (5, 10, 20, 32), (0.8, 0.9, 0.97)
+_BAND_STEPS, _RATIO_STEPS = (3, 5, 8, 12, 20, 32), (0.8, 0.85, 0.9, 0.97)
+_LEVELS = (len(_BAND_STEPS) + 1, len(_RATIO_STEPS) + 1, 2)
+#: Share of all matches that may lie, by the learned model, in patterns whose pairs are not checked.
+LOSS = 1e-6
 _SHIFT = 1 << 32
-
-
-def learn_weights(patterns: list[tuple[tuple[int, int, int], int]], rounds: int = 60) -> dict[tuple[int, int, int], float]:
-    """Fellegi-Sunter match weights (log2 m/u, summed over the fields) of each pattern, by EM on pattern counts.
-
-    patterns: (levels of shared keys, size ratio and same archive; number of pairs). At most 5 x 4 x 2
-    patterns exist whatever the number of pairs. Levels are smoothed by half a pair each.
+_LAST = 0x7FFFFFFF
+_TABLES = {
+    "keys": "key bigint, id bigint, words int, zip bigint",
+    "docs": "id bigint, article bigint, source_zip string, text string",
+    "rejected": "id bigint, article bigint, match bigint, sim double, score double",
+    "mapping": "id bigint, representative bigint",
+}
+
+
+def learn_weights(patterns: dict[tuple[int, int, int], list[int]], loss: float = LOSS) -> tuple[dict[tuple[int, int, int], float], float]:
+    """Fellegi-Sunter match weights (log2 m/u, summed over the fields) of all patterns, and the least weight to check.
+
+    patterns: (levels of shared keys, size ratio and same archive) -> [pairs, pairs that the exact check confirmed].
+    m and u of a level are its shares among confirmed and other pairs, smoothed by half a pair. The least weight is
+    the highest one below which the model expects at most `loss` of all matches; without confirmed pairs everything
+    is checked.
     """
-    if not patterns:
-        return {}
-    levels = np.array([p for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
-    sizes = (len(_BAND_STEPS) + 1, len(_RATIO_STEPS) + 1, 2)
-    match = np.clip(levels[:, 0] / (sizes[0] - 1), 0.05, 0.95)
-    for _ in range(rounds):
-        m, u = [], []
-        for f, size in enumerate(sizes):
-            one = np.eye(size)[levels[:, f]]
-            hit, miss = one.T @ (n * match) + 0.5, one.T @ (n * (1 - match)) + 0.5
-            m.append(hit / hit.sum())
-            u.append(miss / miss.sum())
-        share = float(np.clip((n * match).sum() / n.sum(), 1e-6, 1 - 1e-6))
-        odds = sum(np.log(m[f][levels[:, f]] / u[f][levels[:, f]]) for f in range(3)) + np.log(share / (1 - share))
-        match = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-    weight = sum(np.log2(m[f][levels[:, f]] / u[f][levels[:, f]]) for f in range(3))
-    return {tuple(int(x) for x in p): float(w) for (p, _), w in zip(patterns, weight)}
+    m, u = [], []
+    for f, size in enumerate(_LEVELS):
+        hit, miss = np.full(size, 0.5), np.full(size, 0.5)
+        for levels, (n, links) in patterns.items():
+            hit[levels[f]] += links
+            miss[levels[f]] += n - links
+        m.append(hit / hit.sum())
+        u.append(miss / miss.sum())
+    grid = np.indices(_LEVELS).reshape(3, -1).T
+    weight = sum(np.log2(m[f][grid[:, f]] / u[f][grid[:, f]]) for f in range(3))
+    weights = {tuple(int(x) for x in g): float(w) for g, w in zip(grid, weight)}
+    if not any(links for _, links in patterns.values()):
+        return weights, -np.inf
+    order = np.argsort(weight)
+    mass = np.cumsum(np.prod([m[f][grid[order, f]] for f in range(3)], axis=0))
+    return weights, float(weight[order[min(np.searchsorted(mass, loss, side="right"), len(order) - 1)]])
 
 
 class IncrementalDeduper:
-    """Accepts or rejects texts batch by batch.
+    """Accepts or rejects texts batch by batch; `path` is a new folder or a store of an earlier session.
 
     `ingest(batch)` takes rows (id int, batch_no int, source_zip, text) of one archive or of several;
     the outcome is that of going through them by batch_no, then id: a text is rejected if its k-word
     similarity to some text accepted before is `at_least` or more. Null ids and texts are ignored, texts
     of fewer than 20 words are accepted and match nothing, a null batch_no comes after all others, an id
-    that comes again counts once with its smallest batch_no (its rows are expected to hold the same text).
-    """
+    that comes again, in this ingest or a later one, counts once with its smallest batch_no (its rows are
+    expected to hold the same text). Batches must be ingested in the order of their numbers.
 
-    def __init__(self, ws: Workspace, k_words: int = 5, at_least: float = 0.8):
-        self.ws, self.k_words, self.at_least, self.turn = ws, k_words, at_least, 0
-        self.patterns: dict[tuple[int, int, int], int] = {}
-        self.weights: dict[tuple[int, int, int], float] = {}
+    Ids in the tables are batch_no * 2^32 + id, the order of the walk; `article` is the id itself.
+    """
 
-    def _all(self, name: str) -> DataFrame | None:
+    def __init__(self, spark: SparkSession, path: str, k_words: int = 5, at_least: float = 0.8):
+        self.spark, self.store = spark, Folder(spark, path)
+        self.k_words, self.at_least = k_words, at_least
+        self.patterns: dict[tuple[int, int, int], list[int]] = {}
+        done = [int(n) for n in self.store.names("commits") if n.isdigit()]
+        self.turn = max(done, default=-1) + 1
+        if done:
+            state = json.loads(self.store.read_text(f"commits/{self.turn - 1}"))
+            if (state["k_words"], state["at_least"]) != (k_words, at_least):
+                raise ValueError(f"the store was made with {state['k_words']} words and {state['at_least']}")
+            self.patterns = {tuple(p): [n, links] for p, n, links in state["patterns"]}
+
+    def _all(self, name: str, with_turn: bool = False) -> DataFrame | None:
+        """The committed rows of a table; None before the first ingest."""
         if not self.turn:
             return None
-        return self.ws.spark.read.parquet(*[self.ws.path(f"store/{name}/{t}") for t in range(self.turn)])
+        rows = self.spark.read.schema(f"{_TABLES[name]}, turn int").option("basePath", self.store.path(name)).parquet(*[self.store.path(f"{name}/turn={t}") for t in range(self.turn)])
+        return rows if with_turn else rows.drop("turn")
+
+    def _add(self, name: str, rows: DataFrame) -> DataFrame:
+        return self.store.write(f"{name}/turn={self.turn}", rows)
+
+    def accepted(self) -> DataFrame:
+        """(id, article, source_zip, text) of the accepted texts of at least 20 words, without copies."""
+        return self._all("docs")
+
+    def rejected(self) -> DataFrame:
+        """(id, article, match, sim, score) of all rejected ids with the accepted one they are most similar to."""
+        return self._all("rejected")
+
+    def mapping(self) -> DataFrame:
+        """(id, representative) of every clustered id: the newest row written for it."""
+        return self._all("mapping", True).groupBy("id").agg(F.max_by("representative", "turn").alias("representative"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Rejected rows (id, match, sim, score) of the batch; the store then also holds its accepted texts."""
-        ws, turn = self.ws, self.turn
-        at = Workspace(ws.spark, f"ingest-{turn}")
-        order = F.coalesce(F.col("batch_no"), F.lit(0x7FFFFFFF)).cast("bigint") * _SHIFT + F.col("id").cast("bigint")
+        """Rejected rows (id, article, match, sim, score) of the batch; the store then also holds its accepted texts."""
+        at = Workspace(self.spark, f"ingest-{self.turn}")
+        order = F.coalesce(F.col("batch_no"), F.lit(_LAST)).cast("bigint") * _SHIFT + F.col("id").cast("bigint")
         rows = batch.where("id is not null and text is not null").select(order.alias("id"), "source_zip", "text")
-        sketches = at.write("sketches", self._one_row(sketch(rows, self.k_words, DARTS, ROWS, ROUNDS)))
-        copies = at.write("copies", first_of_copies(sketches))
-        firsts = sketches.join(copies.select("print", F.col("rep").alias("id")), ["print", "id"], "left_semi")
+        rows = self._unseen(rows)
+        sketches = at.write("sketches", self._one_row(sketch(rows, self.k_words, DARTS, ROWS, ROUNDS, ("source_zip",))))
+        copies = first_of_copies(sketches)
+        firsts = at.write("firsts", sketches.join(copies.withColumnRenamed("rep", "id"), ["print", "id"]).withColumn("zip", F.xxhash64("source_zip")))
+        copies = firsts.select("print", F.col("id").alias("rep"), "copies")
         pairs, hot = bucket_pairs(at, firsts, LEAST_BANDS)
-        found = pairs.select("a", "b", "bands")
-        keys = self._all("keys")
-        if keys is not None:
-            probe = bands_of(firsts).select("key", F.col("id").alias("b")).join(keys.select("key", F.col("id").alias("a")), "key")
-            found = found.unionAll(probe.groupBy("a", "b").agg(F.count("*").alias("bands")).where(F.col("bands") >= LEAST_BANDS))
-        scored = at.write("scored", self._levels(found, sketches, rows))
-        self._learn(scored)
-        scored = self._score(scored)
+        scored = at.write("scored", self._candidates(pairs, firsts))
         texts = rows.select("id", "text")
-        history = self._all("accepted")
-        if history is not None:
-            texts = texts.unionAll(history.select("id", "text"))
-        # a set less than `at_least` as large as the other can't be that similar
-        links = at.write("links", self._check(scored.where(F.col("ratio") >= self.at_least), texts).join(scored.select("a", "b", "score"), ["a", "b"], "left"))
-        verdicts, links = self._decide(at, copies, sketches, links, hot, texts)
-        rejected = self._matches(at, sketches, copies, verdicts, links)
-        out = ws.write(f"store/rejected/{turn}", rejected)
-        gone = out.select("id")
-        kept = firsts.join(gone, "id", "left_anti")
-        ws.write(f"store/keys/{turn}", bands_of(kept).select("key", "id"))
-        ws.write(f"store/sizes/{turn}", kept.select("id", "words"))
-        accepted = rows.join(gone, "id", "left_anti").join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"])
-        ws.write(f"store/accepted/{turn}", accepted.select("id", "source_zip", "text"))
+        links = at.write("links", self._links(scored, texts))
+        with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other
+            counted = pool.submit(self._count, scored, links)
+            verdicts, every = self._decide(at, copies, sketches, links.drop("pattern"), hot, texts)
+            out = self._add("rejected", self._matches(sketches, copies, verdicts, every))
+            kept = firsts.join(out.select("id"), "id", "left_anti")
+            one = rows.join(kept.select("id"), "id", "left_semi").groupBy("id").agg(F.min("source_zip").alias("source_zip"), F.min("text").alias("text"))
+            parts = {
+                "keys": bands_of(kept, "words", "zip").select("key", "id", "words", "zip"),
+                "docs": one.select("id", (F.col("id") % _SHIFT).alias("article"), "source_zip", "text"),
+            }
+            done = [pool.submit(self._add, name, part) for name, part in parts.items()]
+            self._add("mapping", self._mapping(at, out, every))
+            for job in [counted, *done]:
+                job.result()
+        state = {"k_words": self.k_words, "at_least": self.at_least, "patterns": [[list(p), *n] for p, n in sorted(self.patterns.items())]}
+        self.store.write_text(f"commits/{self.turn}", json.dumps(state))
         self.turn += 1
-        ws.write(f"store/mapping/{turn}", self._mapping(at, out, links))
-        at.drop("sketches", "copies", "buckets", "crowded", "crowded_rows", "pairs", "scored")
+        at.clear()
         return out
 
-    def mapping(self) -> DataFrame:
-        """(id, representative) of every clustered id: the newest row written for it."""
-        return self._newest(self.turn)
-
-    def _newest(self, turns: int) -> DataFrame:
-        parts = [self.ws.spark.read.parquet(self.ws.path(f"store/mapping/{t}")).withColumn("turn", F.lit(t)) for t in range(turns)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionAll(part)
-        return out.groupBy("id").agg(F.max_by("representative", "turn").alias("representative"))
+    def _unseen(self, rows: DataFrame) -> DataFrame:
+        """Without the articles that an earlier ingest has taken or rejected."""
+        if not self.turn:
+            return rows
+        old = self._all("docs").select("article").unionAll(self._all("rejected").select("article"))
+        ids = rows.select((F.col("id") % _SHIFT).alias("article")).distinct()
+        # the narrow history meets the batch's ids where it is read; what comes back is at most the batch
+        again = old.join(ids, "article", "left_semi").distinct()
+        return rows.withColumn("article", F.col("id") % _SHIFT).join(again, "article", "left_anti").drop("article")
 
     @staticmethod
     def _one_row(sketches: DataFrame) -> DataFrame:
         """An article id counts once: the row with its smallest order number."""
-        return sketches.withColumn("article", F.col("id") % _SHIFT).groupBy("article").agg(F.min_by(F.struct("id", "print", "words", "keys"), "id").alias("s")).select("s.*")
+        return sketches.groupBy((F.col("id") % _SHIFT).alias("article")).agg(F.min_by(F.struct("id", "print", "words", "keys", "source_zip"), "id").alias("s")).select("article", "s.*")
 
-    def _levels(self, found: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
-        """Compares the fields of each candidate pair: shared keys, sizes of the texts, source_zip."""
-        sizes = sketches.select("id", "words")
-        zips = rows.select("id", "source_zip")
-        old, accepted = self._all("sizes"), self._all("accepted")
-        if old is not None:
-            sizes, zips = sizes.unionAll(old), zips.unionAll(accepted.select("id", "source_zip"))
-        fields = sizes.join(zips.dropDuplicates(["id"]), "id")
-        a, b = (fields.select(F.col("id").alias(x), F.col("words").alias(f"n_{x}"), F.col("source_zip").alias(f"zip_{x}")) for x in "ab")
-        joined = found.join(a, "a").join(b, "b")
+    def _candidates(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+        """(a, b, pattern, ratio) of the pairs that share keys, a earlier than b, within the batch and with the history.
+
+        The batch's keys are broadcast if their number allows it, and the history's keys are then paired in the tasks
+        that read them: a key that many stored texts hold is spread over its files, and counted there before it moves.
+        Beyond that size both sides are shuffled, and adaptive execution splits a hot key. Stored texts under one key
+        are accepted ones, so none is similar to another: copies never crowd a stored key.
+        """
+        own = {x: firsts.select(F.col("id").alias(x), F.col("words").alias(f"n_{x}"), F.col("zip").alias(f"zip_{x}")) for x in "ab"}
+        found = pairs.join(own["a"], "a").select("a", "b", "bands", "n_a", "zip_a")
+        stored = self._all("keys")
+        if stored is not None:
+            new = bands_of(firsts.select("id", "keys")).select("key", F.col("id").alias("b"))
+            new = F.broadcast(new) if firsts.count() * (DARTS // ROWS * ROUNDS) <= BROADCAST_ROWS else new
+            met = stored.select("key", F.col("id").alias("a"), F.col("words").alias("n_a"), F.col("zip").alias("zip_a")).join(new, "key")
+            found = found.unionByName(met.groupBy("a", "b").agg(F.count("*").alias("bands"), F.min("n_a").alias("n_a"), F.min("zip_a").alias("zip_a")).where(F.col("bands") >= LEAST_BANDS))
+        both = found.join(own["b"], "b")
         ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
         step = lambda c, steps: sum((F.when(c >= s, 1).otherwise(0) for s in steps), F.lit(0))
-        return joined.select("a", "b", ratio.alias("ratio"), step(F.col("bands"), _BAND_STEPS).alias("f_bands"), step(ratio, _RATIO_STEPS).alias("f_ratio"), F.col("zip_a").eqNullSafe(F.col("zip_b")).cast("int").alias("f_zip"))
-
-    def _learn(self, scored: DataFrame) -> None:
-        for r in scored.groupBy("f_bands", "f_ratio", "f_zip").count().collect():  # at most 40 patterns
-            key = (r["f_bands"], r["f_ratio"], r["f_zip"])
-            self.patterns[key] = self.patterns.get(key, 0) + r["count"]
-        self.weights = learn_weights(sorted(self.patterns.items()))
-
-    def _score(self, scored: DataFrame) -> DataFrame:
-        if not self.weights:
-            return scored.withColumn("score", F.lit(0.0))
-        table = F.create_map(*[F.lit(x) for (i, j, k), w in self.weights.items() for x in (i * 100 + j * 10 + k, w)])
-        return scored.withColumn("score", table[F.col("f_bands") * 100 + F.col("f_ratio") * 10 + F.col("f_zip")])
+        pattern = step(F.col("bands"), _BAND_STEPS) * 100 + step(ratio, _RATIO_STEPS) * 10 + F.col("zip_a").eqNullSafe(F.col("zip_b")).cast("int")
+        return both.select("a", "b", pattern.alias("pattern"), ratio.alias("ratio"))
+
+    def _links(self, scored: DataFrame, texts: DataFrame) -> DataFrame:
+        """(a, b, sim, pattern, score) of the pairs that the exact check confirms. Checked are those whose weight reaches the
+        least one and whose sizes allow the similarity: a set less than `at_least` as large as the other can't be that similar."""
+        weights, least = learn_weights(self.patterns)
+        score = F.create_map(*[F.lit(x) for (i, j, k), w in weights.items() for x in (i * 100 + j * 10 + k, w)])[F.col("pattern")]
+        pairs = scored.where(F.col("ratio") >= self.at_least).select("a", "b", "pattern", score.alias("score")).where(F.col("score") >= F.lit(least))
+        return self._check(pairs, texts).join(pairs, ["a", "b"])
+
+    def _count(self, scored: DataFrame, links: DataFrame) -> None:
+        """Adds the batch's pairs and confirmed pairs to the pattern counts."""
+        seen = scored.select("pattern", F.lit(1).alias("n"), F.lit(0).alias("links")).unionAll(links.select("pattern", F.lit(0), F.lit(1)))
+        for r in seen.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("links").alias("links")).collect():  # at most 7 x 5 x 2 patterns
+            p = (r["pattern"] // 100, r["pattern"] // 10 % 10, r["pattern"] % 10)
+            old = self.patterns.get(p, [0, 0])
+            self.patterns[p] = [old[0] + r["n"], old[1] + r["links"]]
 
     def _check(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = texts.select("id", "text")
+        docs = self._all("docs")
+        if docs is not None:
+            texts = texts.unionAll(docs.select("id", "text"))
         return verify(pairs, texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), self.k_words, self.at_least)
 
     def _hot_links(self, at: Workspace, name: str, star: DataFrame, sketches: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
@@ -177,8 +233,9 @@ class IncrementalDeduper:
         can be. Within a hot bucket the first undecided sets not yet compared with the rest are, one in
         the first round and twice as many in each further one: a family of near copies costs one
         comparison each, and sets that are all accepted take as many rounds as the logarithm of their
-        number. Beyond that the rounds are those of the longest alternating chain. What is rejected before
-        an accepted set of its bucket has been compared with it is compared afterwards.
+        number. Beyond that the rounds are those of the longest alternating chain; where no bucket is hot, two of
+        them are one job. What is rejected before an accepted set of its bucket has been compared with it is compared
+        afterwards.
         """
         new = copies.select(F.col("rep").alias("id"))
         # a is always the earlier of a pair; ids of earlier ingests are accepted already
@@ -187,10 +244,10 @@ class IncrementalDeduper:
             linked = linked.unionAll(hot.select("id"))
             # led: the round in which the set was compared with all undecided later ones of the bucket, 0 if not yet
             hot = at.write("hot_0", hot.select("key", "id", F.lit(0).alias("led")))
-        state = at.write("state_0", new.join(linked.distinct(), "id", "left_semi").select("id", F.lit(0).alias("state"), F.lit(0).alias("turn")))
+        state = new.join(linked.distinct(), "id", "left_semi").select("id", F.lit(0).alias("state"), F.lit(0).alias("turn"))
+        if hot is not None:
+            state = at.write("state_0", state)
         for turn in count(1):
-            if not state.where("state = 0").limit(1).count():
-                break
             behind = None
             if hot is not None:
                 open_ = state.where("state = 0").select("id")
@@ -205,21 +262,27 @@ class IncrementalDeduper:
                     hot = at.write(f"hot_{turn}", hot.join(now, ["key", "id"], "left").select("key", "id", F.coalesce("now", "led").alias("led")))
                     at.drop(f"hot_{turn - 1}", f"links_{turn - 1}")
                     behind = hot.where("led = 0").join(open_, "id", "left_semi").select("id").distinct()
-            earlier = links.join(state.select(F.col("id").alias("a"), F.col("state").alias("at_a")), "a", "left").select(F.col("b").alias("id"), F.coalesce("at_a", F.lit(1)).alias("at_a"))
-            seen = earlier.groupBy("id").agg(F.max(F.when(F.col("at_a") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("at_a") == 0, 1).otherwise(0)).alias("wait"))
-            judged = state.join(seen, "id", "left")
-            wait = F.coalesce("wait", F.lit(0))
-            if behind is not None:
-                judged = judged.join(behind.withColumn("behind", F.lit(1)), "id", "left")
-                wait = F.greatest(wait, F.coalesce("behind", F.lit(0)))
-            verdict = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, -1).when(wait == 0, 1).otherwise(0)
-            judged = judged.select("id", verdict.alias("state"), F.when((F.col("state") == 0) & (verdict != 0), turn).otherwise(F.col("turn")).alias("turn"))
-            state = at.write(f"state_{turn}", judged)
+            judged = self._judged(state, links, turn, behind)
+            state = at.write(f"state_{turn}", self._judged(judged, links, turn, None) if hot is None else judged)
             at.drop(f"state_{turn - 1}", f"block_{turn}")
+            if state.where("state = 0").isEmpty():
+                break
         if hot is not None:
             links = self._hot_links(at, "after", self._uncompared(at, copies, hot, state), sketches, links, texts)
         return state, links
 
+    @staticmethod
+    def _judged(state: DataFrame, links: DataFrame, turn: int, behind: DataFrame | None) -> DataFrame:
+        """State after one round; `behind` are ids of hot buckets that can't be accepted yet."""
+        earlier = links.join(state.select(F.col("id").alias("a"), F.col("state").alias("at_a")), "a", "left").select(F.col("b").alias("id"), F.coalesce("at_a", F.lit(1)).alias("at_a"))
+        seen = earlier.groupBy("id").agg(F.max(F.when(F.col("at_a") == 1, 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("at_a") == 0, 1).otherwise(0)).alias("wait"))
+        judged, wait = state.join(seen, "id", "left"), F.coalesce("wait", F.lit(0))
+        if behind is not None:
+            judged = judged.join(behind.withColumn("behind", F.lit(1)), "id", "left")
+            wait = F.greatest(wait, F.coalesce("behind", F.lit(0)))
+        verdict = F.when(F.col("state") != 0, F.col("state")).when(F.col("hit") == 1, -1).when(wait == 0, 1).otherwise(0)
+        return judged.select("id", verdict.alias("state"), F.when((F.col("state") == 0) & (verdict != 0), turn).otherwise(F.col("turn")).alias("turn"))
+
     @staticmethod
     def _uncompared(at: Workspace, copies: DataFrame, hot: DataFrame, state: DataFrame) -> DataFrame:
         """Pairs (a, b) of an accepted and a rejected set of a hot bucket that no round has compared.
@@ -234,48 +297,70 @@ class IncrementalDeduper:
         after = (F.col("kept") > F.col("lost")) & (F.col("copies") > 1) & ((F.col("led_l") == 0) | (F.col("led_l") > F.col("turn_k")))
         return lost.join(small(kept), "key").where(before | after).select(F.least("kept", "lost").alias("a"), F.greatest("kept", "lost").alias("b"))
 
-    def _matches(self, at: Workspace, sketches: DataFrame, copies: DataFrame, verdicts: DataFrame, links: DataFrame) -> DataFrame:
+    @staticmethod
+    def _matches(sketches: DataFrame, copies: DataFrame, verdicts: DataFrame, links: DataFrame) -> DataFrame:
         """Every rejected id with the most similar accepted one before it (the smaller article id if equal)."""
         both = links.select(F.col("b").alias("rep"), F.col("a").alias("match"), "sim", "score").unionAll(links.select(F.col("a").alias("rep"), F.col("b").alias("match"), "sim", "score"))
         lost = verdicts.where("state = -1").select(F.col("id").alias("match"))
         both = both.join(lost, "match", "left_anti")
         reps = copies.join(verdicts.select(F.col("id").alias("rep"), "state"), "rep", "left").where("copies > 1 or state = -1")
-        members = sketches.select("id", "print").join(reps, "print")
-        same = members.where("id <> rep and coalesce(state, 1) = 1").select("id", F.col("rep").alias("match"), F.lit(1.0).alias("sim"), F.lit(None).cast("double").alias("score"))
-        near = members.where("state = -1").join(both, "rep").where("match < id").select("id", "match", "sim", "score")
+        members = sketches.select("id", "article", "print").join(reps, "print")
+        same = members.where("id <> rep and coalesce(state, 1) = 1").select("id", "article", F.col("rep").alias("match"), F.lit(1.0).alias("sim"), F.lit(None).cast("double").alias("score"))
+        near = members.where("state = -1").join(both, "rep").where("match < id").select("id", "article", "match", "sim", "score")
         best = F.struct((-F.col("sim")).alias("s"), (F.col("match") % _SHIFT).alias("m"), "match", "sim", "score")
-        return same.unionAll(near).groupBy("id").agg(F.min(best).alias("best")).select("id", "best.match", "best.sim", "best.score")
+        return same.unionAll(near).groupBy("id", "article").agg(F.min(best).alias("best")).select("id", "article", "best.match", "best.sim", "best.score")
 
     def _mapping(self, at: Workspace, rejected: DataFrame, links: DataFrame) -> DataFrame:
-        """Union-find step: joins the clusters that the batch touched and gives their changed rows only."""
-        edges = rejected.select(F.col("id").alias("a"), F.col("match").alias("b"))
+        """Union-find step over the clusters that the batch touched; gives their changed rows only.
+
+        Every rejected id stands between accepted ones, whose clusters it unites. Representatives are looked up for the
+        touched ids alone; ids between two clusters are the edges of a small graph over representatives, and only
+        members of clusters that lose theirs get a new row.
+        """
         gone = rejected.select(F.col("id").alias("b"))
-        edges = edges.unionAll(links.join(gone, "b", "left_semi").select("a", "b"))
-        if self.turn == 1:
-            return components(at, edges).select("id", F.col("root").alias("representative"))
-        # every member of a touched cluster comes in: its representative changes if another cluster's is smaller
-        old = at.write("mapping", self._newest(self.turn - 1))
-        touched = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).distinct()
-        clusters = old.join(touched, "id", "left_semi").select("representative").distinct()
-        members = old.join(clusters, "representative", "left_semi").select(F.col("id").alias("a"), F.col("representative").alias("b"))
-        now = components(at, edges.unionAll(members)).select("id", F.col("root").alias("representative"))
-        return now.join(old, ["id", "representative"], "left_anti")
-
-
-def rejected_articles(articles: DataFrame, batches: DataFrame, ws: Workspace, ingests: int = 3) -> DataFrame:
-    """(id, match, sim, score) over a whole archive: its batches go in by batch_no, in `ingests` runs of batches.
-
-    articles: (id, source_zip, text); batches: (source_zip, batch_no), one row per archive. The result is
-    the same for any number of ingests.
+        edges = rejected.select("id", "match").unionAll(links.join(gone, "b", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("match")).join(gone.withColumnRenamed("b", "match"), "match", "left_anti").select("id", "match"))
+        edges = edges.distinct()
+        old = None
+        if self.turn:
+            touched = edges.select(F.col("match").alias("id")).distinct()
+            old = self._all("mapping", True).join(touched, "id", "left_semi").groupBy("id").agg(F.max_by("representative", "turn").alias("representative"))
+            edges = edges.join(old.select(F.col("id").alias("match"), "representative"), "match", "left").select("id", "match", F.coalesce("representative", "match").alias("rep"))
+        else:
+            edges = edges.select("id", "match", F.col("match").alias("rep"))
+        edges = at.write("cluster_edges", edges)
+        least = edges.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
+        bridges = edges.join(least.where("least < most"), "id").where("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+        if least.where("least < most").isEmpty():
+            return edges.select("id", F.col("rep").alias("representative")).unionAll(edges.select(F.col("match").alias("id"), F.col("rep").alias("representative"))).distinct()
+        roots = at.write("roots", components(at, at.write("bridges", bridges)))
+        moved = edges.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", "match", F.coalesce("root", "rep").alias("representative"))
+        out = moved.select("id", "representative").unionAll(moved.select(F.col("match").alias("id"), "representative"))
+        if old is not None:
+            changed = roots.where("id <> root").select(F.col("id").alias("representative"), "root")
+            members = self.mapping().join(changed, "representative").select("id", F.col("root").alias("representative"))
+            out = out.unionAll(members)
+        return out.distinct()
+
+
+def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 10) -> DataFrame:
+    """(id, article, match, sim, score) over a whole archive: its batches go in by batch_no, `archives` of them an ingest.
+
+    articles: (id, source_zip, text); batches: (source_zip, batch_no), one row per archive; path: the store. The
+    result is the same for any number of archives an ingest. Articles of no listed archive come last.
     """
-    deduper = IncrementalDeduper(ws)
-    placed = articles.join(small(batches.groupBy("source_zip").agg(F.min("batch_no").alias("batch_no"))), "source_zip", "left")
-    cuts = batches.groupBy().agg(F.percentile_approx("batch_no", [i / ingests for i in range(1, ingests)], 10_000).alias("cuts")).first()["cuts"] or []
-    edges = [None, *sorted(set(cuts)), None]
-    out = None
-    for low, high in zip(edges, edges[1:]):
-        number = F.coalesce(F.col("batch_no"), F.lit(0x7FFFFFFF))
-        run = placed.where((F.lit(True) if low is None else number > low) & (F.lit(True) if high is None else number <= high))
-        part = deduper.ingest(run)
-        out = part if out is None else out.unionAll(part)
-    return out
+    spark, at = articles.sparkSession, Workspace(articles.sparkSession, "arrivals")
+    numbers = batches.where("source_zip is not null").groupBy("source_zip").agg(F.min("batch_no").alias("batch_no"))
+    # a manifest has one row per archive; equal numbers fall into one ingest
+    place = F.floor((F.dense_rank().over(W.orderBy(F.col("batch_no").asc_nulls_last())) - 1) / archives).cast("int")
+    numbers = at.write("numbers", numbers.withColumn("run", F.when(F.col("batch_no").isNotNull(), place)))
+    runs = numbers.agg(F.max("run")).first()[0]
+    runs = 1 if runs is None else runs + 1
+    arrivals = articles.join(small(numbers), "source_zip", "left").withColumn("run", F.coalesce("run", F.lit(runs - 1)))
+    # articles as they lie in the archives of each ingest: an ingest reads its own
+    arrivals.select("id", "source_zip", "text", "batch_no", "run").write.option("compression", "zstd").partitionBy("run").parquet(at.path("arrivals"))
+    there = spark.read.schema("id int, source_zip string, text string, batch_no int, run int").parquet(at.path("arrivals"))
+    deduper = IncrementalDeduper(spark, path)
+    for run in range(runs):
+        deduper.ingest(there.where(F.col("run") == run).drop("run"))
+    at.clear()
+    return deduper.rejected()

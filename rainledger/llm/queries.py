@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rainledger.llm.canonical import map_values
 from rainledger.llm.encoding import encode
-from rainledger.llm.incremental import rejected_articles
+from rainledger.llm.incremental import IncrementalDeduper, rejected_articles
 from rainledger.llm.language import mislabelled_lines
 from rainledger.llm.mixing import mix_documents
 from rainledger.llm.near_duplicates import near_duplicate_groups
@@ -16,12 +16,24 @@ from rainledger.llm.residue import residue_documents
 from rainledger.storage import Workspace, table
 
 
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The rejected articles of all archives, and the store they were rejected by."""
+    articles = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("features.source_zip").alias("source_zip"), F.col("features.clean_text").alias("text"))
+    store = Workspace(spark, "history").path("store")
+    return rejected_articles(articles, table(spark, sf_dir, "archive_batches"), store), store
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id_a, article_id_b): every rejected article with the accepted one it repeats, smaller id first."""
-    articles = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("features.source_zip").alias("source_zip"), F.col("features.clean_text").alias("text"))
-    rejected = rejected_articles(articles, table(spark, sf_dir, "archive_batches"), Workspace(spark, "history"))
-    a, b = (F.col("id") % (1 << 32)).cast("int"), (F.col("match") % (1 << 32)).cast("int")
-    return rejected.select(F.least(a, b).alias("article_id_a"), F.greatest(a, b).alias("article_id_b"))
+    a, b = F.col("article").cast("int"), (F.col("match") % (1 << 32)).cast("int")
+    return _history(spark, sf_dir)[0].select(F.least(a, b).alias("article_id_a"), F.greatest(a, b).alias("article_id_b"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, cluster): the representative of every article in a cluster of accepted articles and what repeats them,
+    read from the store by a deduper that did not write it."""
+    rows = IncrementalDeduper(spark, _history(spark, sf_dir)[1]).mapping()
+    return rows.select((F.col("id") % (1 << 32)).cast("int").alias("article_id"), (F.col("representative") % (1 << 32)).cast("int").alias("cluster"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +87,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(texts).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """

@@ -177,11 +177,8 @@ def band_keys(signatures: np.ndarray, plan: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SKETCH_SCHEMA = "id bigint, print bigint, words int, keys array<bigint>"
-
-
-def sketch(texts: DataFrame, k_words: int, darts: int, rows: int, rounds: int) -> DataFrame:
-    """(id, print, words, keys) of each row (id, text) of at least LEAST_WORDS words; other rows are left out.
+def sketch(texts: DataFrame, k_words: int, darts: int, rows: int, rounds: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, print, words, keys, *keep) of each row (id, text, *keep) of at least LEAST_WORDS words; other rows are left out.
 
     print is a hash of the shingle set, equal for equal sets; words is the size of the set.
     """
@@ -189,25 +186,27 @@ def sketch(texts: DataFrame, k_words: int, darts: int, rows: int, rounds: int) -
 
     def run(batches):
         shingler, hasher = Shingler(k_words), DartMinHash(darts)
-        schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("words", pa.int32()), ("keys", pa.list_(pa.int64()))])
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                made = [(i, s) for i, s in zip(part.column(0).to_pylist(), shingler.batch(part.column(1).to_pylist())) if len(s)]
-                sets = [s for _, s in made]
+                made = [(n, s) for n, s in enumerate(shingler.batch(part.column(1).to_pylist())) if len(s)]
+                sets, at = [s for _, s in made], pa.array([n for n, _ in made], pa.int64())
                 keys = band_keys(hasher(sets), plan)
                 offsets = np.arange(0, (len(sets) + 1) * len(plan), len(plan), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i for i, _ in made], pa.int64()),
+                        part.column(0).take(at),
                         pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel() if len(sets) else np.empty(0, np.int64))),
+                        *[c.take(at) for c in part.columns[2:]],
                     ],
-                    schema=schema,
+                    names=["id", "print", "words", "keys", *keep],
                 )
 
-    return texts.where("id is not null and text is not null").select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(run, SKETCH_SCHEMA)
+    more = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    rows_in = texts.where("id is not null and text is not null").select(F.col("id").cast("bigint").alias("id"), "text", *keep)
+    return rows_in.mapInArrow(run, f"id bigint, print bigint, words int, keys array<bigint>{more}")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k_words: int, at_least: float) -> DataFrame:

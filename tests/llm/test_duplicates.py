@@ -10,6 +10,14 @@ from rainledger.llm.shingles import DartMinHash, Shingler, mix, similarity
 from rainledger.storage import Workspace
 
 
+def fresh(spark):
+    return Workspace(spark, "t").path("store")
+
+
+def deduper(spark):
+    return IncrementalDeduper(spark, fresh(spark))
+
+
 def corpus():
     rows = []
     for f in range(12):
@@ -97,10 +105,10 @@ def test_rejections_equal_a_walk_for_any_number_of_ingests(spark, monkeypatch):
     articles = spark.createDataFrame([(i, z, x, 1) for i, z, x in rows], "id int, source_zip string, text string, batch_no_x int")
     batches = spark.createDataFrame(list(order.items()), "source_zip string, batch_no int")
     want = rejected_by_force(rows, order)
-    for ingests, bucket in ((1, 64), (3, 64), (2, 4)):
+    for archives, bucket in ((9, 64), (1, 64), (2, 4)):
         monkeypatch.setattr(pairs, "SMALL_BUCKET", bucket)
-        got = {r["id"] % 2**32: r["match"] % 2**32 for r in rejected_articles(articles, batches, Workspace(spark, "t"), ingests).collect()}
-        assert got == want, (ingests, bucket)
+        got = {r["id"] % 2**32: r["match"] % 2**32 for r in rejected_articles(articles, batches, fresh(spark), archives).collect()}
+        assert got == want, (archives, bucket)
 
 
 def marked(base, *places):
@@ -118,7 +126,7 @@ def test_hot_family_of_two_accepted_texts(spark, monkeypatch):
     # 1 and 40 are accepted, all others are more like 40 than like 1; 3 comes before 40, its copy 70 after it
     rows = [(1, base), (40, marked(base, *places)), (70, near[0])] + [(3 + i + 40 * (i > 9), x) for i, x in enumerate(near)]
     batch = spark.createDataFrame([(i, 1, "z", x) for i, x in rows], "id int, batch_no int, source_zip string, text string")
-    got = {r["id"] % 2**32: r["match"] % 2**32 for r in IncrementalDeduper(Workspace(spark, "t")).ingest(batch).collect()}
+    got = {r["id"] % 2**32: r["match"] % 2**32 for r in deduper(spark).ingest(batch).collect()}
     assert got == rejected_by_force([(i, "z", x) for i, x in rows], {"z": 1}) and got[3] == 1 and got[70] == got[53] == 40
 
 
@@ -129,12 +137,12 @@ def test_rounds_of_a_hot_bucket_do_not_follow_its_size(spark, monkeypatch):
     rows = [(i, edited(base, i, 15)) for i in range(24)]
     assert not rejected_by_force([(i, "z", x) for i, x in rows], {})
     batch = spark.createDataFrame([(i, 1, "z", x) for i, x in rows], "id int, batch_no int, source_zip string, text string")
-    assert IncrementalDeduper(Workspace(spark, "t")).ingest(batch).count() == 0
+    assert deduper(spark).ingest(batch).count() == 0
     assert 2 < sum(n.startswith("state_") for n in names) <= 7
 
 
 def test_history_is_not_read_again_and_mapping_follows(spark):
-    d = IncrementalDeduper(Workspace(spark, "t"))
+    d = deduper(spark)
     a = text(1)
     schema = "id int, batch_no int, source_zip string, text string"
     assert d.ingest(spark.createDataFrame([(1, 1, "z", a), (2, 1, "z", text(2))], schema)).count() == 0
@@ -145,7 +153,7 @@ def test_history_is_not_read_again_and_mapping_follows(spark):
 
 
 def test_a_batch_that_bridges_two_clusters_moves_all_their_members(spark):
-    d, a = IncrementalDeduper(Workspace(spark, "t")), text(8)
+    d, a = deduper(spark), text(8)
     b = marked(a, 20, 60)
     schema = "id int, batch_no int, source_zip string, text string"
     d.ingest(spark.createDataFrame([(1, 1, "z", a), (2, 1, "z", b), (3, 1, "z", marked(a, 40)), (4, 1, "z", marked(b, 40))], schema))
@@ -154,6 +162,42 @@ def test_a_batch_that_bridges_two_clusters_moves_all_their_members(spark):
     assert {r["id"] % 2**32: r["representative"] % 2**32 for r in d.mapping().collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1}
 
 
-def test_learned_weights_rise_with_agreement():
-    w = learn_weights([((0, 1, 0), 5000), ((1, 1, 0), 300), ((3, 3, 0), 80), ((4, 3, 0), 300), ((4, 3, 1), 20)])
-    assert w[(4, 3, 0)] > w[(3, 3, 0)] > w[(0, 1, 0)] and learn_weights([]) == {}
+def test_learned_weights_rise_with_agreement_and_leave_out_hopeless_patterns():
+    w, least = learn_weights({(0, 1, 0): [500_000, 0], (1, 1, 0): [300, 2], (5, 3, 0): [8_000_000, 7_999_000], (6, 4, 0): [30_000_000, 30_000_000], (6, 4, 1): [2_000_000, 2_000_000]})
+    assert w[(6, 4, 0)] > w[(5, 3, 0)] > w[(0, 1, 0)] and w[(0, 1, 0)] < least <= w[(5, 3, 0)]
+    assert learn_weights({})[1] == learn_weights({(0, 0, 0): [9, 0]})[1] == float("-inf")
+
+
+SCHEMA = "id int, batch_no int, source_zip string, text string"
+
+
+def ids(df):
+    return sorted((r["id"] % 2**32, r["match"] % 2**32) for r in df.collect())
+
+
+def test_a_store_is_continued_by_another_deduper_and_unfinished_ingests_are_not_seen(spark):
+    path, a = fresh(spark), text(1)
+    IncrementalDeduper(spark, path).ingest(spark.createDataFrame([(1, 1, "z", a), (2, 1, "z", text(2))], SCHEMA))
+    second = IncrementalDeduper(spark, path)
+    second.store.write("keys/turn=1", spark.createDataFrame([(1, 1, 1, 1)], "key long, id long, words int, zip long"))  # died before its commit
+    assert second.turn == 1 and ids(second.ingest(spark.createDataFrame([(3, 2, "y", edited(a, 1, 1)), (4, 2, "y", text(4))], SCHEMA))) == [(3, 1)]
+    third = IncrementalDeduper(spark.newSession(), path)
+    assert third.turn == 2 and third.patterns == second.patterns and sum(n for _, n in third.patterns.values()) == 1
+    assert {r["id"] % 2**32: r["representative"] % 2**32 for r in third.mapping().collect()} == {1: 1, 3: 1} and third.accepted().count() == 3
+
+
+def test_an_article_that_comes_again_later_is_neither_a_copy_of_itself_nor_taken_twice(spark):
+    d = deduper(spark)
+    d.ingest(spark.createDataFrame([(1, 1, "z1", text(1)), (2, 1, "z1", edited(text(1), 3, 1))], SCHEMA))
+    assert d.ingest(spark.createDataFrame([(1, 2, "z2", text(1)), (2, 2, "z2", edited(text(1), 3, 1)), (3, 2, "z2", text(3))], SCHEMA)).count() == 0
+    assert ids(d.rejected()) == [(2, 1)] and sorted(r["article"] for r in d.accepted().collect()) == [1, 3]
+
+
+def test_clusters_merge_by_way_of_a_later_batch(spark):
+    d, a = deduper(spark), text(8)
+    b = marked(a, 20, 60)
+    d.ingest(spark.createDataFrame([(1, 1, "z", a), (2, 1, "z", b)], SCHEMA))
+    d.ingest(spark.createDataFrame([(7, 2, "z", marked(a, 20, 60, 70))], SCHEMA))
+    assert {r["id"] % 2**32: r["representative"] % 2**32 for r in d.mapping().collect()} == {2: 2, 7: 2}
+    d.ingest(spark.createDataFrame([(9, 3, "z", marked(a, 20))], SCHEMA))
+    assert {r["id"] % 2**32: r["representative"] % 2**32 for r in d.mapping().collect()} == {1: 1, 2: 1, 7: 1, 9: 1}
