@@ -1,25 +1,31 @@
-"""Template residue, filler and error pages: normalised segments grouped across sources, then phrase rules."""
+"""Template residue, filler and error pages: masked segments grouped by hash across sources, then judged once each.
+
+Documents are cut into segments in one pass. Only segments that hold a piece of some rule go on; they are
+normalised (numbers, addresses and dates masked), grouped by the hash of what is left, and the phrase and
+placeholder rules run over each distinct segment once, whatever the number of documents that carry it. The
+verdicts meet the documents again by an equi-join on the hash.
+"""
 
 from __future__ import annotations
 
-from re import _parser
+import re
 
+import ahocorasick
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rainledger.functions.text import let
-from rainledger.llm.pairs import BROADCAST_ROWS
+from rainledger.llm.pairs import small
 from rainledger.storage import Workspace
 
 #: Words that may stand beside the messages of an error page: a headline or a short teaser.
 HEADLINE_WORDS = 24
-#: A short segment with a cue word is taken for a message if it stands in so many sources.
+#: A segment with a cue word is taken for a message of unknown wording if it stands in so many sources.
 LEAST_SOURCES = 3
-MESSAGE_WORDS = 8
 
 # Notations of unfilled fields, in any case unless noted.
 _FIELDS = r"""(?i:\{\{|\{%|%\}|<%|%>|\$\{|\$[a-z_]{3,}\$|@@\w+@@|__[a-z_]{2,}__|<<\w+>>|\[\[\w+\]\]|&lt;[a-z_]{3,}&gt;|<[a-z_]+ (?:hier|here|ici)>|(?<![\w^\\])\{(?:[a-z_]{3,}|\d)\}|\[vul hier [^\]\n]{0,40}\]|\[insert [^\]\n]{0,40}\]|\[[^\]\n]{0,40} einf[üu]gen\]|\[[àa] compl[ée]ter[^\]\n]{0,40}\]|\([\w ]{1,40} invullen\)|\bXX-XX-20XX\b|\bundefined\b|\[object object\])|\bNaN\b|\bTODO\b|%[A-Z][A-Z_]{2,}%|#[A-Z][A-Z_]{2,}#|(?<![\w%])%[sSdD](?!\w)|\[(?!SIC\]|RED|NOOT|NVDR)[A-Z][A-Z_]{2,}\]"""
-_FIELD_SIGNS = r"[{}<%$@_#\[&]|NaN|TODO|XX-|(?i:undefined|invullen|xx-xx)"
 # Filler in the four languages.
 _FILLER = r"""(?i)(?<![\p{L}\p{N}])(?:asdf|qwer\b|bla,? bla\b|x{3,} x{3,}|lorem ipsum\b|tekst tekst\b|test test\b|alinea zonder inhoud|inleiding volgt( nog)?\b|tekst volgt( nog)?\b|hier komt (de|het) (tekst|kop|artikel|inleiding|bericht)|voorbeeldtekst|(dummy|op)?vultekst\b|dummytekst|plaatshoudertekst|nog te vervangen\b|(body|headline|placeholder|dummy|sample) (copy|text)\b|(copy|text|headline) goes here|replace before publishing|blindtext|platzhalter|beispieltext|mustertext|hier (steht|kommt) der (text|artikel)|text folgt\b|absatz ohne inhalt|texte provisoire|texte? à remplacer|faux texte|texte d'exemple|texte à venir|ici vient le texte|paragraphe sans contenu|tussenkop tussenkop)|(^|\n)[ \t\r]*(tussenkop|zwischentitel|intertitre|crosshead)[ \t\r]*(\n|$)"""
 # Beginnings of the words of the usual Latin filler.
@@ -58,50 +64,108 @@ _JSON_MESSAGE = r"\{\s*\"error\"[^\n]{0,80}?\}\}"
 _START = r"(?<![\p{L}\p{N}])"
 # What surrounds messages on such pages and is no content either.
 _FRAME = r"\b(home|nieuws|weer|start|nachrichten|wetter|news|weather|accueil|infos|météo) ?\| ?[\p{L} |]{0,60}\b(contact|kontakt)\b|\bray id 0\b|\breference: ?0\b|\brequest-id=0\b|\btrace=0\b|\bserver port 0\b|\bcopyright 0\b|\bv0\.0\.0\b"
-_CUE = r"\b(pagina|page|seite|site|website|browser|navigateur|server|serveur|fout|error|fehler|erreur|scripts?|skripte|javascript|sessie|session|sitzung|robot|roboter|toegang|access|zugriff|accès|netwerk|network|netzwerk|réseau|offline|link|lien|login|database|databank|datenbank)\b"
+# Words of messages of unknown wording.
+_CUE_WORDS = "pagina page seite site website browser navigateur server serveur fout error fehler erreur script scripts skripte javascript sessie session sitzung robot roboter toegang access zugriff accès netwerk network netzwerk réseau offline link lien login database databank datenbank".split()
+# Pieces of the phrase rules, at least one of which any message holds (lower case, one blank between words).
+_MESSAGE_PIECES = (
+    "niet gevonden|not found|nicht gefunden|introuvable|gezochte|gevraagde|door u gekozen|page you|article you|link you|story you|angeforderte|gewünschte|gesuchte|aufgerufene|page recherch|page demand|page choisi|page souhait|"
+    "deze link werkt|vinden niets op|link is broken|there is nothing|nothing could be|dieser link|nichts zu|hier nichts|ce lien ne|il n'y a rien|nous ne trouvons rien|iets mis|iets fout|iets verkeerd|something has gone|something went|something is|fehler aufgetreten|etwas schief|une erreur|s'est mal pass|"
+    "het later|kom straks|kom later|ververs de|again later|come back|refresh th|reload th|es später|laden sie die|sie später|veuillez r|veuillez actualiser|storing in de|onbekende fout|interne |internal server|unknown error|database error|database fail|database fault|serverfehler|serverfout|unbekannter fehler|erreur interne|erreur inconnue|datenbank|base de donn|"
+    "traceback:|.js:|warning: |ora-|healthy upstream|bad gateway|gateway time|service unavailable|forbidden|kon niet worden|could not be|konnte nicht|kann nicht|pas pu être|toegang|niet bevoegd|geen rechten|geen toestemming|access denied|access refused|you are not a|you do not have|zugriff|nicht berechtigt|keine rechte|keine berechtigung|accès interdit|accès refus|pas autoris|n'avez pas l|"
+    "te veel verzoeken|te veel aanvragen|too many|zu viele|trop de|uw sessie|uw aanmelding|your session|your login|your sign-in|ihre sitzung|ihre anmeldung|votre session|votre connexion|niet bereikbaar|niet beschikbaar|offline|unavailable| down|not available|nicht erreichbar|nicht verfügbar|indisponible|geen robot|not a robot|kein roboter|pas un robot|"
+    'uw browser|your browser|ihr browser|votre navigateur|zonder scripts|without scripts|ohne skripte|sans scripts|javascript|engine for scripts|zet scripts|sta scripts|schakel scripts|allow scripts|enable scripts|turn on scripts|skripte|les scripts|"error"'
+).split("|") + [f"{word} {n}" for word in ("fout", "error", "fehler", "erreur", "http", "code", "code:", "état", "état:", "foutcode:") for n in range(10)]
+# Pieces of the filler rules (lower case) and of the field rules (as written).
+_FILLER_PIECES = (
+    "asdf|qwer|bla bla|bla, bla|xxx|lorem ipsum|tekst tekst|test test|alinea zonder|inleiding volgt|tekst volgt|hier komt|voorbeeldtekst|vultekst|dummytekst|plaatshouder|te vervangen|body copy|body text|headline copy|headline text|placeholder|dummy copy|dummy text|sample copy|sample text|goes here|before publishing|blindtext|platzhalter|"
+    "beispieltext|mustertext|hier steht|hier kommt|text folgt|absatz ohne|texte provisoire|à remplacer|faux texte|texte d'exemple|texte à venir|ici vient|paragraphe sans|tussenkop|zwischentitel|intertitre|crosshead|undefined|[object object]|invullen)| hier>| here>| ici>|[vul hier|[insert|einfügen]|einfugen]|[à compl|[a compl|xx-xx"
+).split("|")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_FIELD_PIECES = ["{{", "{%", "%}", "<%", "%>", "${", "@@", "__", "<<", "[[", "&lt;", "NaN", "TODO"] + [f"{sign}{c}" for sign in "%${[#" for x in _LETTERS + "_0123456789" for c in {x, x.upper()}]
+_LATIN_STEMS = re.search(r"\((.*)\)", _LATIN).group(1).split("|")
 _MARK = "\u0002"
 
+_WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|['’\u0300-\u036f])*")
+#: Ends of segments: bars, ends of sentences that stand in no bracket, dashes between blanks.
+_CUT = re.compile(r"\||(?<=[.!?])\s+(?![^\[\]{}]{0,80}[\]}])|\s[-–—]\s")
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+")
+_NUMBER = re.compile(r"\b(?=[a-f]*[0-9])[0-9a-f]{6,}\b|\d+")
+_DATE = re.compile(r"\b0([-/.:]0)+")
+_FRAMED = re.compile(_FRAME.replace(r"\p{L}", "[^\\W\\d_]").replace("[[^\\W\\d_] |]", "(?:[^\\W\\d_]|[ |])"))
+_FRAME_PIECES = ("|", "ray id", "reference", "request-id", "trace=", "server port", "copyright", "v0", "v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8", "v9")
+_LATIN_WORD, _MESSAGE, _UNKNOWN, _FILL = 1, 2, 3, 4
+
+
+def masked(text: str) -> str:
+    """Lower case; addresses, dates, names of runs and numbers masked."""
+    return _DATE.sub("0", _NUMBER.sub("0", _ADDRESS.sub("§", text.lower())))
+
 
-def masked(text: Column) -> Column:
-    """Lower case; addresses, names of runs, dates and numbers masked; runs of blanks one blank, line feeds kept."""
-    text = F.regexp_replace(F.lower(text), r"https?://\S+|www\.\S+|\S+@\S+\.\w+", "§")
-    text = F.regexp_replace(text, r"\b(?=[a-f]*[0-9])[0-9a-f]{6,}\b|\p{Nd}+", "0")
-    return F.regexp_replace(F.regexp_replace(text, r"\b0([-/.:]0)+\b", "0"), r"[ \t\r\u00a0]+", " ")
-
-
-def _first_letters(parsed) -> tuple[set[str], bool]:
-    """Letters a parsed pattern can begin with, and whether it can be empty."""
-    begin: set[str] = set()
-    for op, arg in parsed:
-        name = str(op)
-        if name == "LITERAL":
-            return begin | {chr(arg)}, False
-        if name == "IN":
-            for kind, value in arg:
-                begin |= {chr(value)} if str(kind) == "LITERAL" else {chr(c) for c in range(value[0], value[1] + 1)} if str(kind) == "RANGE" else set("abcdefghijklmnopqrstuvwxyz")
-            return begin, False
-        if name in ("SUBPATTERN", "BRANCH"):
-            each = [_first_letters(x) for x in ([arg[3]] if name == "SUBPATTERN" else arg[1])]
-            begin |= set().union(*(b for b, _ in each))
-            if not any(empty for _, empty in each):
-                return begin, False
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            more, empty = _first_letters(arg[2])
-            begin |= more
-            if arg[0] and not empty:
-                return begin, False
-    return begin, True
-
-
-def one_of(patterns: list[str]) -> str:
-    """An alternation of patterns, sorted by first letter so that only those that can match are tried at a place."""
-    by: dict[str, list[str]] = {}
-    for p in patterns:
-        letters, empty = _first_letters(_parser.parse(p))
-        assert letters and not empty, p
-        for letter in letters:
-            by.setdefault(letter, []).append(p)
-    return "|".join(f"(?={letter})(?:{'|'.join(f'(?:{p})' for p in by[letter])})" for letter in sorted(by))
+class Segmenter:
+    """Cuts a text into segments and tells which of them the rules have to see.
+
+    The pieces are searched for by one automaton over the whole text (Aho and Corasick), so the pass
+    is linear in the text and does not grow with the rules.
+    """
+
+    def __init__(self):
+        self.lower, self.exact = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for kind, pieces in ((_LATIN_WORD, _LATIN_STEMS), (_UNKNOWN, _CUE_WORDS), (_MESSAGE, _MESSAGE_PIECES), (_FILL, _FILLER_PIECES)):
+            for piece in pieces:
+                self.lower.add_word(piece, (self.lower.get(piece, ((), 0))[0] + (kind,), len(piece)))
+        for piece in _FIELD_PIECES:
+            self.exact.add_word(piece, True)
+        self.lower.make_automaton()
+        self.exact.make_automaton()
+
+    def _kinds(self, segment: str, low: str) -> tuple[bool, bool]:
+        """Whether field or filler rules, and whether message rules have to see a segment."""
+        fill = next(self.exact.iter(segment), None) is not None
+        latin, message = 0, False
+        for end, (kinds, size) in self.lower.iter(low):
+            for kind in kinds:
+                if kind == _FILL:
+                    fill = True
+                elif kind == _MESSAGE:
+                    message = True
+                else:
+                    start = end - size + 1
+                    begins = not (start and low[start - 1].isalnum())
+                    if kind == _LATIN_WORD:
+                        latin += begins
+                    else:
+                        message = message or begins and not (end + 1 < len(low) and low[end + 1].isalnum())
+        return fill or latin > 1, message
+
+    def __call__(self, text: str) -> tuple[int, list[tuple[int, str, int, bool]]]:
+        """(words, segments): words of the text without the frame of a page; (hash, segment, words, masked) of what the rules have to see.
+
+        Segments for the field and filler rules are kept as written, those for the message rules masked. If more than
+        HEADLINE_WORDS words stand in other segments than the latter, the document is no error page, and they are left out.
+        """
+        words, rest, out, messages = 0, 0, [], []
+        for line in text.split("\n"):
+            line = " ".join(line.split())
+            if not line:
+                continue
+            low = line.lower()
+            if any(piece in low for piece in _FRAME_PIECES) and _FRAMED.search(framed := masked(line)):
+                line = _FRAMED.sub(" ", framed)
+            for segment in _CUT.split(line):
+                segment = segment.strip()
+                if not segment:
+                    continue
+                n = len(_WORD.findall(segment))
+                fill, message = self._kinds(segment, segment.lower())
+                words += n
+                if fill:
+                    out.append((xxhash.xxh3_64_intdigest(segment) - (1 << 63), segment, n, False))
+                if message:
+                    plain = masked(segment)
+                    messages.append((xxhash.xxh3_64_intdigest(plain, 1) - (1 << 63), plain, n, True))
+                else:
+                    rest += n
+        return words, out + messages if rest <= HEADLINE_WORDS else out
 
 
 def _words(text: Column) -> Column:
@@ -109,9 +173,43 @@ def _words(text: Column) -> Column:
 
 
 def _latin_filler(text: Column) -> Column:
-    """Whether a sentence of at least four words is half made of Latin filler."""
-    sentences = F.split(F.lower(text), r"[.!?\n]+")
-    return (F.regexp_count(F.lower(text), F.lit(_LATIN)) >= 2) & F.exists(sentences, lambda s: (_words(s) >= 4) & (F.regexp_count(s, F.lit(_LATIN)) >= 0.5 * _words(s)))
+    """Whether a segment of at least four words is half made of Latin filler."""
+    n = F.regexp_count(F.lower(text), F.lit(_LATIN))
+    return (n >= 2) & (_words(text) >= 4) & (n >= 0.5 * _words(text))
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    """(row, id, source, words, segments) of the documents with at least one segment that the rules have to see."""
+
+    def run(batches):
+        cut = Segmenter()
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("text", pa.string()), ("words", pa.int32()), ("masked", pa.bool_())]))
+        for batch in batches:
+            made = [(i, *cut(t)) for i, t in enumerate(batch.column(3).to_pylist())]
+            made = [m for m in made if m[2]]
+            at = pa.array([i for i, *_ in made], pa.int64())
+            segments = [[dict(zip(("hash", "text", "words", "masked"), s)) for s in own] for *_, own in made]
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[:3]], pa.array([n for _, n, _ in made], pa.int32()), pa.array(segments, kind)], names=["row", "id", "source", "words", "segments"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("row", "id", "source", "text").mapInArrow(run, f"row bigint, id {kind}, source string, words int, segments array<struct<hash:bigint,text:string,words:int,masked:boolean>>")
+
+
+def judged_segments(segments: DataFrame) -> DataFrame:
+    """(hash, masked, kind, left) of the distinct segments (hash, masked, text, words, sources) that a rule holds for.
+
+    kind is `field`, `filler` or `message`; left are the words of the segment that stand outside the message. A masked
+    segment with a message of the phrase rules is one wherever it stands; one with a cue word if it recurs in LEAST_SOURCES sources.
+    """
+    messages = f"{_START}(?:{'|'.join(_MESSAGES)})|{_JSON_MESSAGE}"
+    text = F.col("text")
+    bare = F.regexp_replace(text, messages, _MARK)
+    fill = F.when(text.rlike(_FIELDS), "field").when(text.rlike(_FILLER) | _latin_filler(text), "filler")
+    cue = text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_CUE_WORDS)})(?![\p{{L}}\p{{N}}])")
+    told = F.contains("bare", F.lit(_MARK))
+    kind = F.when(~F.col("masked"), fill).when(told | cue & (F.col("sources") >= LEAST_SOURCES), "message")
+    left = F.when(told, _words(F.regexp_replace("bare", _FRAME, " "))).otherwise(0)
+    return segments.withColumn("bare", F.when(F.col("masked"), bare)).select("hash", "masked", kind.alias("kind"), left.alias("left")).where("kind is not null")
 
 
 def residue_documents(texts: DataFrame) -> DataFrame:
@@ -121,32 +219,21 @@ def residue_documents(texts: DataFrame) -> DataFrame:
     judged row by row. A document with an unfilled field or filler anywhere is residue. A document is an error
     page or a script notice if it holds a message and little else: at most a headline's worth of words after
     the messages and the frame of the page are taken out, so a full article that mentions or carries a
-    message stays. Messages are those of the phrase rules and, beyond them, short masked segments with a cue
-    word whose hash recurs over LEAST_SOURCES sources (a null source counts as one).
+    message stays. Messages are the segments that the phrase rules hold for and, beyond them, masked segments with a
+    cue word whose hash recurs over LEAST_SOURCES sources (a null source counts as one), however long they are and
+    however often a page repeats them.
     """
     ws = Workspace(texts.sparkSession, "residue")
-    messages = f"{_START}(?:{one_of(_MESSAGES)})|{_JSON_MESSAGE}"
-    rows = texts.where("text is not null and trim(text) <> ''").select("id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    plain = masked(F.col("text"))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, messages, _MARK), r"0([-/.:]0)+", "0"), _FRAME, " ")
-
-    def read(text: Column) -> Column:
-        segments = F.transform(F.split(text, rf"[\n{_MARK}|]+|(?<=[.!?;])\s+|\s[-–—]\s"), F.trim)
-        cues = F.transform(F.filter(segments, lambda s: s.rlike(_CUE) & (_words(s) <= MESSAGE_WORDS)), lambda s: F.struct(F.xxhash64(s).alias("hash"), _words(s).alias("words")))
-        marks = F.length(text) - F.length(F.replace(text, F.lit(_MARK), F.lit("")))
-        return F.struct(marks.alias("messages"), _words(text).alias("words"), F.array_distinct(cues).alias("cues"))
-
-    kind = F.when(F.col("text").rlike(_FIELD_SIGNS) & F.col("text").rlike(_FIELDS), "field").when(F.col("text").rlike(_FILLER) | _latin_filler(F.col("text")), "filler")
-    judged = rows.select("id", "source", F.struct(kind.alias("kind"), let(rest, read).alias("page")).alias("r"), F.monotonically_increasing_id().alias("row"))
-    judged = judged.select("id", "source", "row", "r.kind", "r.page.messages", "r.page.words", "r.page.cues")
-    # only short documents or documents with a kind go on: the rest can't be residue whatever the cues say
-    judged = ws.write("judged", judged.where(F.col("kind").isNotNull() | (F.col("words") <= HEADLINE_WORDS + 10 * MESSAGE_WORDS)))
-    cues = judged.select("row", "source", F.explode("cues").alias("cue")).select("row", "source", "cue.hash", "cue.words")
-    wide = ws.write("wide", cues.groupBy("hash", "source").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("sources")).where(F.col("sources") >= LEAST_SOURCES).select("hash"))
-    found = cues.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, "hash").groupBy("row").agg(F.sum("words").alias("more_words"), F.count("*").alias("more"))
-    out = judged.join(found, "row", "left").withColumn("left", F.col("words") - F.coalesce("more_words", F.lit(0)))
-    page = (F.col("messages") + F.coalesce("more", F.lit(0)) > 0) & (F.col("left") <= HEADLINE_WORDS)
-    return out.select("id", F.coalesce("kind", F.when(page, "message")).alias("kind")).where("kind is not null")
+    rows = texts.where("text is not null and trim(text) <> ''").select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    seen = ws.write("segments", _segments(rows))
+    each = seen.select("row", "source", F.explode("segments").alias("s")).select("row", "source", "s.*")
+    # by source first, so a segment that a third of all documents carry costs a row a task and source
+    by = each.groupBy("hash", "masked", "source").agg(F.min("text").alias("text")).groupBy("hash", "masked").agg(F.min("text").alias("text"), F.count("*").alias("sources"))
+    judged = ws.write("judged", judged_segments(by))
+    met = each.join(small(judged), ["hash", "masked"])
+    found = met.groupBy("row").agg(F.min(F.when(F.col("kind") != "message", F.col("kind"))).alias("kind"), F.count_if(F.col("kind") == "message").alias("n"), F.sum(F.when(F.col("kind") == "message", F.col("words") - F.col("left"))).alias("gone"))
+    page = (F.col("n") > 0) & (F.col("words") - F.col("gone") <= HEADLINE_WORDS)
+    return seen.select("row", "id", "words").join(found, "row").select("id", F.coalesce("kind", F.when(page, "message")).alias("kind")).where("kind is not null")
 
 
 def without_residue(texts: DataFrame) -> DataFrame:

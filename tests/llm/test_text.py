@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies
 
+from rainledger.llm import residue
 from rainledger.llm.canonical import NameTrie, Resolver, map_values, most_edits
 from rainledger.llm.encoding import FragmentEncoder, encode, tokenizer_dir
 from rainledger.llm.language import LANGUAGES, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
@@ -213,6 +215,33 @@ def test_residue(spark, text, kind):
     assert [r["kind"] for r in residue_documents(df).collect()] == ([kind] if kind else [])
 
 
+def test_pages_of_recurring_notices_only_have_no_word_limit(spark):
+    notices = [f"Deze site toont {word} nu geen onderdeel van {word}." for word in ("alfa", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi")]
+    rows = [(i, f"s{i}", "\n".join(notices)) for i in range(5)] + [(9, "s9", "\n".join([notices[0]] * 40))]
+    assert sorted(r["id"] for r in residue_documents(spark.createDataFrame(rows, "id int, source string, text string")).collect()) == [0, 1, 2, 3, 4, 9]
+
+
+@pytest.mark.parametrize("pattern", residue._MESSAGES)
+def test_every_message_holds_a_piece(pattern):
+    cut = residue.Segmenter()
+
+    @settings(max_examples=60, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(strategies.from_regex(pattern, fullmatch=True, alphabet=strategies.characters(codec="latin-1", exclude_categories=["Cc", "Lu"])))
+    def check(message):
+        message = " ".join(message.split())
+        if residue.re.fullmatch(pattern, message):
+            shown = message.replace("0", "7")
+            assert cut._kinds(shown, shown)[1], shown
+
+    check()
+
+
+@pytest.mark.parametrize("text", ["{{ naam }}", "${x}", "$NAME$", "@@naam@@", "__naam__", "<<naam>>", "[[naam]]", "&lt;naam&gt;", "<naam hier>", "{naam}", "{0}", "[VUL HIER DE NAAM. IN]", "[Insert the. name]", "[Namen einfügen]", "[à compléter]", "(naam invullen)", "XX-XX-20XX", "undefined", "[object Object]", "NaN", "TODO", "%NAME%", "#NAME#", "%s", "[NAAM]", "asdf", "Qwer", "bla, bla", "xxx xxx", "Tekst volgt nog", "Hier komt de tekst", "sample text", "Copy goes here", "Tussenkop", "Lorem dolor sit amet."])
+def test_every_field_and_filler_is_seen(spark, text):
+    rows = spark.createDataFrame([(1, "s", ARTICLE + "\n" + text)], "id int, source string, text string")
+    assert residue_documents(rows).count() == 1
+
+
 def test_recurring_messages_of_unknown_wording(spark):
     rows = [(i, f"s{i % 5}" if i % 5 else None, f"Kop {i}\nDeze site slaapt momenteel diep") for i in range(10)]
     df = spark.createDataFrame(rows, "id int, source string, text string")
