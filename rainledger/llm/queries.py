@@ -11,7 +11,7 @@ from rainledger.llm.incremental import IncrementalDeduper, rejected_articles
 from rainledger.llm.language import mislabelled_lines
 from rainledger.llm.mixing import mix_documents
 from rainledger.llm.near_duplicates import near_duplicate_groups
-from rainledger.llm.page_lines import repeated_lines
+from rainledger.llm.page_lines import page_templates, repeated_lines
 from rainledger.llm.residue import residue_documents
 from rainledger.storage import Workspace, table
 
@@ -36,10 +36,18 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("id") % (1 << 32)).cast("int").alias("article_id"), (F.col("representative") % (1 << 32)).cast("int").alias("cluster"))
 
 
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("meta.source").alias("source"), F.col("features.clean_text").alias("text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, line_no): lines of clean_text that stand in many articles of their source."""
-    texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("meta.source").alias("source"), F.col("features.clean_text").alias("text"))
-    return repeated_lines(texts).select(F.col("id").alias("article_id"), "line_no")
+    return repeated_lines(_sourced(spark, sf_dir)).select(F.col("id").alias("article_id"), "line_no")
+
+
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, template, documents, forms): templates with learned slots that cover many articles of their source."""
+    return page_templates(_sourced(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(texts).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_templates": p2_templates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """

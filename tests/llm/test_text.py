@@ -8,7 +8,7 @@ from rainledger.llm.canonical import NameTrie, Resolver, map_values, most_edits
 from rainledger.llm.encoding import FragmentEncoder, encode, tokenizer_dir
 from rainledger.llm.language import LANGUAGES, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
 from rainledger.llm.mixing import mix_documents, sainte_lague
-from rainledger.llm.page_lines import TokenTrees, repeated_lines, without_lines
+from rainledger.llm.page_lines import TokenTrees, page_templates, repeated_lines, without_lines
 from rainledger.llm.residue import residue_documents, without_residue
 
 
@@ -32,12 +32,23 @@ def test_a_tenth_of_the_source_is_needed(spark):
     assert repeated_lines(spark.createDataFrame(rows, "id int, source string, text string")).count() == 0
 
 
-def test_trees_give_back_every_template():
-    lines = ["a", "a b", "a b c", "a b c d", "x \u0001", "x \u0001 y", "a  b".replace("  ", " ")]
+def test_trees_give_back_every_form_and_learn_word_slots():
+    lines = ["a", "a b", "a b c", "a b c d", "x \u0001", "x \u0001 y", "een bericht van anna bij de krant", "een bericht van piet bij de krant", "een bericht van anna bij de krant", "een bericht uit een heel ander dorp"]
     trees = TokenTrees()
     for line in lines:
         trees.add("s", line)
-    assert sorted((t, n) for _, t, n in trees.templates()) == sorted((t, lines.count(t)) for t in set(lines))
+    found = {f: (t, n) for _, t, _, f, n in trees.templates()}
+    assert {f: n for f, (_, n) in found.items()} == {t: lines.count(t) for t in set(lines)}
+    assert found[lines[6]][0] == found[lines[7]][0] == "een bericht van \u0003 bij de krant" and found[lines[9]][0] == lines[9]
+
+
+def test_a_word_that_varies_is_a_slot(spark):
+    names = ["anna", "piet", "jan", "els", "kees", "mien", "bert", "loes"]
+    rows = [(i, "A", f"Eigen {'abcdefgh'[i]} zin hier\nTekst van onze verslaggever {names[i]} voor de krant") for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, source string, text string").repartition(3)
+    assert repeated_lines(df).count() == 0
+    assert sorted(tuple(r) for r in repeated_lines(df.coalesce(1), word_slots=True).collect()) == [(i, 1) for i in range(8)]
+    assert [tuple(r) for r in page_templates(df.coalesce(1)).collect()] == [("A", "tekst van onze verslaggever * voor de krant", 8, 8)]
 
 
 # names
