@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rainledger.llm.pairs import BROADCAST_ROWS, bands_of, bucket_pairs, first_of_copies, small
+from rainledger.llm.pairs import bands_of, bucket_pairs, first_of_copies, small
 from rainledger.llm.shingles import sketch, verify
 from rainledger.operators.graph import components
 from rainledger.storage import Folder, Workspace
@@ -36,6 +36,8 @@ _BAND_STEPS, _RATIO_STEPS = (3, 5, 8, 12, 20, 32), (0.8, 0.85, 0.9, 0.97)
 _LEVELS = (len(_BAND_STEPS) + 1, len(_RATIO_STEPS) + 1, 2)
 #: Share of all matches that may lie, by the learned model, in patterns whose pairs are not checked.
 LOSS = 1e-6
+#: Keys of a batch up to which they are broadcast to the stored ones.
+PROBE_KEYS = 150_000
 _SHIFT = 1 << 32
 _LAST = 0x7FFFFFFF
 _TABLES = {
@@ -181,7 +183,7 @@ class IncrementalDeduper:
         stored = self._all("keys")
         if stored is not None:
             new = bands_of(firsts.select("id", "keys")).select("key", F.col("id").alias("b"))
-            new = F.broadcast(new) if firsts.count() * (DARTS // ROWS * ROUNDS) <= BROADCAST_ROWS else new
+            new = F.broadcast(new) if firsts.count() * (DARTS // ROWS * ROUNDS) <= PROBE_KEYS else new
             met = stored.select("key", F.col("id").alias("a"), F.col("words").alias("n_a"), F.col("zip").alias("zip_a")).join(new, "key")
             found = found.unionByName(met.groupBy("a", "b").agg(F.count("*").alias("bands"), F.min("n_a").alias("n_a"), F.min("zip_a").alias("zip_a")).where(F.col("bands") >= LEAST_BANDS))
         both = found.join(own["b"], "b")
@@ -194,7 +196,9 @@ class IncrementalDeduper:
         """(a, b, sim, pattern, score) of the pairs that the exact check confirms. Checked are those whose weight reaches the
         least one and whose sizes allow the similarity: a set less than `at_least` as large as the other can't be that similar."""
         weights, least = learn_weights(self.patterns)
-        score = F.create_map(*[F.lit(x) for (i, j, k), w in weights.items() for x in (i * 100 + j * 10 + k, w)])[F.col("pattern")]
+        listed = F.split(F.lit(",".join(repr(w) for w in weights.values())), ",")  # in the order of the levels
+        place = F.floor(F.col("pattern") / 100) * (_LEVELS[1] * _LEVELS[2]) + F.floor(F.col("pattern") / 10) % 10 * _LEVELS[2] + F.col("pattern") % 10
+        score = F.get(listed, place.cast("int")).cast("double")
         pairs = scored.where(F.col("ratio") >= self.at_least).select("a", "b", "pattern", score.alias("score")).where(F.col("score") >= F.lit(least))
         return self._check(pairs, texts).join(pairs, ["a", "b"])
 
@@ -342,7 +346,7 @@ class IncrementalDeduper:
         return out.distinct()
 
 
-def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 10) -> DataFrame:
+def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 15) -> DataFrame:
     """(id, article, match, sim, score) over a whole archive: its batches go in by batch_no, `archives` of them an ingest.
 
     articles: (id, source_zip, text); batches: (source_zip, batch_no), one row per archive; path: the store. The
