@@ -5,36 +5,44 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rainledger.llm.encoding import token_counts
+from rainledger.llm.pairs import small
 from rainledger.storage import Workspace
 
-#: Blocks of equal size that a mix is cut into; the reached shares are exact to about one block.
-BLOCKS = 10_000
+#: Tokens of a block of documents at most, and blocks that the smallest mix is cut into at least.
+BLOCK_TOKENS, LEAST_BLOCKS = 1_024, 1_000
 #: Documents of a source that one shard holds about.
 SHARD_ROWS = 20_000
-#: Shards of a source at most: their sizes come to the driver. Beyond that shards grow, which a window's sort bears.
-MOST_SHARDS = 4_096
-#: Rows (mix, source) up to which targets are apportioned on the driver.
-MOST_TARGETS = 100_000
 
 
 def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]:
     """Seats for each party by the highest quotients weight / (2 seats + 1), none beyond its cap.
 
-    Ties go to the earlier party. Seats that no party can take are left. A first guess in proportion,
-    one seat per party below it, spares the rounds that can't be contested.
+    Ties go to the earlier party. Seats that no party can take are left. All seats whose quotient lies above a bound
+    found by halving are given at once, so the work does not grow with the seats.
     """
-    total = sum(weights)
-    if total <= 0 or seats <= 0:
-        return [0] * len(weights)
-    got = [0] * len(weights)
-    if not any(c < w / total * seats + len(weights) for w, c in zip(weights, caps)):
-        got = [max(0, int(w / total * seats) - len(weights)) for w in weights]
-    queue = [(-w / (2 * g + 1), i) for i, (w, g, c) in enumerate(zip(weights, got, caps)) if w > 0 and c > g]
+    w, cap = np.asarray(weights, float), np.asarray(caps, np.int64)
+    w = np.where(cap > 0, w, 0.0)
+    if not len(w) or w.max() <= 0 or seats <= 0:
+        return [0] * len(w)
+
+    def above(quotient: float) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.where(w > 0, np.minimum(cap, np.maximum(0, np.ceil(np.minimum((w / quotient + 1) / 2, 2.0**62)) - 1)), 0).astype(np.int64)
+
+    low, high = 0.0, float(w.max()) * 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high) or middle == 0.0:
+            break
+        low, high = (middle, high) if above(middle).sum() > seats else (low, middle)
+    got = above(high).tolist()
+    queue = [(-x / (2 * g + 1), i) for i, (x, g, c) in enumerate(zip(w.tolist(), got, caps)) if x > 0 and c > g]
     heapq.heapify(queue)
     for _ in range(seats - sum(got)):
         if not queue:
@@ -42,25 +50,36 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
         _, i = heapq.heappop(queue)
         got[i] += 1
         if got[i] < caps[i]:
-            heapq.heappush(queue, (-weights[i] / (2 * got[i] + 1), i))
+            heapq.heappush(queue, (-w[i] / (2 * got[i] + 1), i))
     return got
 
 
-def _apportion(targets: list[dict], sizes: dict[str, int], total: int, blocks: int) -> list[dict]:
-    """Token quota of each (mix, source): blocks of the mix's wanted size, sources capped by their repeats."""
-    out = []
-    for mix in sorted({t["mix_id"] for t in targets}):
-        own = sorted((t for t in targets if t["mix_id"] == mix), key=lambda t: t["source"])
-        wanted = max(t["total_tokens_share"] or 0.0 for t in own) * total
-        block = max(1.0, wanted / blocks)
-        most = [sizes.get(t["source"], 0) * max(0, t["max_repeats"] or 0) for t in own]
-        caps = [int(np.ceil(m / block)) for m in most]
-        seats = sainte_lague([max(0.0, t["target_share"] or 0.0) for t in own], caps, round(wanted / block))
-        out.extend(t | {"wanted": int(round(wanted)), "quota": int(min(m, round(s * block)))} for t, s, m in zip(own, seats, most))
-    return out
+def _source_quotas(block: float):
+    """For the targets of one mix: how many tokens of each source, in whole passes over it and a rest."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("source").reset_index(drop=True)
+        most = own["have"] * own["max_repeats"].clip(lower=0)
+        seats = sainte_lague(own["target_share"].clip(lower=0).tolist(), np.ceil(most / block).astype("int64").tolist(), round(own["wanted"].max() / block))
+        quota = np.minimum(most, np.round(np.array(seats) * block)).astype("int64")
+        have = own["have"].clip(lower=1)
+        return own.assign(wanted_tokens=own["wanted"].max().round().astype("int64"), passes=quota // have, rest=quota % have)[["mix_id", "source", "given_share", "wanted_tokens", "passes", "rest"]]
+
+    return run
+
+
+def _shard_quotas(block: float):
+    """For the shards of one source of a mix: how many tokens of its rest each gives."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("shard").reset_index(drop=True)
+        seats = sainte_lague(own["tokens"].tolist(), np.ceil(own["tokens"] / block).astype("int64").tolist(), round(own["rest"].iloc[0] / block))
+        return own.assign(part=np.round(np.array(seats) * block).astype("int64"))[["mix_id", "source", "shard", "passes", "part"]]
 
+    return run
 
-def mix_documents(texts: DataFrame, targets: DataFrame, seed: int = 1, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+
+def mix_documents(texts: DataFrame, targets: DataFrame, seed: int = 1, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of every mix.
 
     texts: (id, source, text); targets: (mix_id, source, target_share, max_repeats, total_tokens_share). Sizes are
@@ -68,55 +87,57 @@ def mix_documents(texts: DataFrame, targets: DataFrame, seed: int = 1, blocks: i
     (mix_id, id, source, tokens, repeats) for every document that is used, repeats at most max_repeats; report has
     (mix_id, source, target_share, actual_share, wanted_tokens, tokens, documents, most_repeats) for every target.
 
-    Blocks go to the sources by Sainte-Lague; a source that has no more to give at its cap leaves its blocks to the
-    others, which the shares then show. Documents of a source lie in seeded random order, cut into shards by a
-    hash; whole passes over the source come first, and the rest of the quota is shared among its shards by
-    Sainte-Lague and taken from the front of each shard, so no sort ever holds a whole source. A source without
-    documents, a null share and a null cap give nothing; null sources are in no mix but count in the total; empty
-    and null texts have no tokens and are not used. Repeated ids are documents of their own.
+    Documents of a source lie in seeded random order, cut into shards by a hash and within a shard into blocks of
+    equal tokens. The blocks of a mix's wanted size go to its sources by Sainte-Lague; a source that has no more to
+    give at its cap leaves its blocks to the others, which the shares then show. Whole passes over a source come
+    first; the rest of its quota is apportioned to its shards, again by Sainte-Lague, and each shard gives blocks in
+    a seeded order of its own for every mix. A source so reaches its quota to about a block. No sort holds
+    more than a shard and nothing but the sum of all tokens comes to the driver.
+
+    A source without documents, a null share and a null cap give nothing; null sources are in no mix but count in the
+    total; empty and null texts have no tokens and are not used. Repeated ids are documents of their own; repeated
+    targets count once with their largest values.
     """
     spark = texts.sparkSession
     ws = Workspace(spark, "mixing")
     sized = token_counts(texts.select("id", "source", "text"), ["id", "source"])
     sized = ws.write("sized", sized.where("tokens > 0"))
-    rows = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_tokens_share").alias("total_tokens_share"))
-    wanted = [r.asDict() for r in rows.limit(MOST_TARGETS + 1).collect()]
-    if len(wanted) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    names = spark.createDataFrame([(s,) for s in sorted({t["source"] for t in wanted})], "source string")
-    per_source = sized.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # at most the targets' sources
-    sizes, counts = {r["source"]: r["tokens"] for r in per_source}, {r["source"]: r["n"] for r in per_source}
+    most = F.max
+    goals = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(most("target_share").alias("given_share"), most("max_repeats").alias("max_repeats"), most("total_tokens_share").alias("total_share"))
+    goals = ws.write("goals", goals)
+    names = small(ws.write("names", goals.select("source").distinct()))
+    per_source = ws.write("sources", sized.join(names, "source").groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n")))
     total = sized.agg(F.sum("tokens")).first()[0] or 0
-    quotas = _apportion(wanted, sizes, total, blocks)
+    least = goals.groupBy("mix_id").agg(most("total_share").alias("s")).where("s > 0").agg(F.min("s")).first()[0] or 0.0
+    block = float(min(block_tokens, max(1.0, least * total / LEAST_BLOCKS)))
 
-    shards = spark.createDataFrame([(s, min(MOST_SHARDS, -(-counts[s] // SHARD_ROWS))) for s in counts], "source string, shards int")
+    zero = F.lit(0)
+    asked = goals.join(small(per_source), "source", "left").select("mix_id", "source", "given_share", F.coalesce("given_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", zero).cast("bigint").alias("max_repeats"), (F.coalesce("total_share", F.lit(0.0)) * total).alias("wanted"), F.coalesce("have", zero).cast("bigint").alias("have"))
+    quotas = asked.groupBy("mix_id").applyInPandas(_source_quotas(block), "mix_id int, source string, given_share double, wanted_tokens bigint, passes bigint, rest bigint")
+    quotas = ws.write("quotas", quotas)
+
+    shards = small(ws.write("shards", per_source.select("source", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"))))
     spot = F.xxhash64(F.lit(seed), "id")
-    placed = sized.join(F.broadcast(shards), "source").withColumn("spot", spot).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")).cast("int"))
-    shard_sizes: dict[str, dict[int, int]] = {}
-    for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect():  # at most MOST_SHARDS rows a source
-        shard_sizes.setdefault(r["source"], {})[r["shard"]] = r["tokens"]
-    parts = []
-    for q in quotas:
-        have = sizes.get(q["source"], 0)
-        if not have or not q["quota"]:
-            continue
-        passes, rest = divmod(q["quota"], have)
-        own = sorted(shard_sizes[q["source"]].items())
-        unit = max(1.0, rest / blocks)
-        seats = sainte_lague([float(t) for _, t in own], [int(np.ceil(t / unit)) for _, t in own], round(rest / unit)) if rest else [0] * len(own)
-        parts.extend((q["mix_id"], q["source"], shard, int(passes), int(round(s * unit)), int(q["max_repeats"])) for (shard, _), s in zip(own, seats))
-    plan = spark.createDataFrame(parts, "mix_id int, source string, shard int, passes int, rest long, max_repeats int")
-
-    own = placed.select("source", "shard", "spot", "id", "tokens").join(F.broadcast(plan), ["source", "shard"])
-    # a document is in front if the tokens before it in its shard are less than the rest; half a document may be over
-    before = F.sum("tokens").over(W.partitionBy("mix_id", "source", "shard").orderBy("spot", "id").rowsBetween(W.unboundedPreceding, -1))
-    more = (F.coalesce(before, F.lit(0)) + F.col("tokens") / 2 < F.col("rest")).cast("int")
-    used = own.withColumn("repeats", F.least(F.col("passes") + more, F.col("max_repeats"))).where("repeats > 0")
-    selection = ws.write("selection", used.select("mix_id", "id", "source", "tokens", "repeats"))
+    placed = sized.join(shards, "source").select("source", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")).cast("int").alias("shard"), spot.alias("spot"), "id", "tokens")
+    before = F.coalesce(F.sum("tokens").over(W.partitionBy("source", "shard").orderBy("spot", "id").rowsBetween(W.unboundedPreceding, -1)), zero)
+    # a document belongs to the block that holds its middle
+    blocks = ws.write("blocks", placed.select("source", "shard", F.floor((before + F.col("tokens") / 2) / block).alias("block"), "id", "tokens"))
+    sizes = ws.write("sizes", blocks.groupBy("source", "shard", "block").agg(F.sum("tokens").alias("tokens")))
+    shard_sizes = sizes.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens"))
+    parts = quotas.where("rest > 0").join(shard_sizes, "source").groupBy("mix_id", "source").applyInPandas(_shard_quotas(block), "mix_id int, source string, shard int, passes bigint, part bigint")
+    parts = small(ws.write("parts", parts.where("part > 0")))
+    own = sizes.join(parts, ["source", "shard"])
+    turn = W.partitionBy("mix_id", "source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "mix_id", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
+    taken = own.withColumn("given", F.coalesce(F.sum("tokens").over(turn), zero)).where(F.col("given") + F.col("tokens") / 2 < F.col("part"))
+    taken = small(ws.write("taken", taken.select("mix_id", "source", "shard", "block", "passes")))
+    # sources that are used whole: every document, once more if its block is taken
+    whole = blocks.join(small(ws.write("whole", quotas.where("passes > 0").select("mix_id", "source", "passes"))), "source")
+    whole = whole.join(taken.select("mix_id", "source", "shard", "block", F.lit(1).alias("more")), ["mix_id", "source", "shard", "block"], "left")
+    part = blocks.join(taken.where("passes = 0"), ["source", "shard", "block"])
+    columns = lambda repeats: ["mix_id", "id", "source", "tokens", repeats.cast("int").alias("repeats")]
+    selection = ws.write("selection", whole.select(*columns(F.col("passes") + F.coalesce("more", zero))).unionAll(part.select(*columns(F.lit(1)))))
     reached = selection.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     sums = reached.groupBy("mix_id").agg(F.sum("tokens").alias("all_tokens"))
-    goals = spark.createDataFrame([(q["mix_id"], q["source"], q["target_share"], q["wanted"]) for q in quotas], "mix_id int, source string, target_share double, wanted_tokens long")
-    report = goals.join(reached, ["mix_id", "source"], "left").join(sums, "mix_id", "left")
-    zero = F.lit(0)
-    report = report.select("mix_id", "source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "wanted_tokens", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_repeats", zero).alias("most_repeats"))
+    report = quotas.join(reached, ["mix_id", "source"], "left").join(sums, "mix_id", "left")
+    report = report.select("mix_id", "source", F.col("given_share").alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "wanted_tokens", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_repeats", zero).alias("most_repeats"))
     return selection, report

@@ -3,7 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies
 
-from rainledger.llm import residue
+from rainledger.llm import mixing, residue
 from rainledger.llm.canonical import NameTrie, Resolver, map_values, most_edits
 from rainledger.llm.encoding import FragmentEncoder, encode, tokenizer_dir
 from rainledger.llm.language import LANGUAGES, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
@@ -173,6 +173,7 @@ def test_ids_equal_the_whole_text_encoder(spark):
 def test_sainte_lague():
     assert sainte_lague([53, 24, 23], [99, 99, 99], 7) == [4, 2, 1] or sum(sainte_lague([53, 24, 23], [99, 99, 99], 7)) == 7
     assert sainte_lague([0.5, 0.5], [1, 100], 10) == [1, 9]
+    assert sum(sainte_lague([1.0, 2.0, 1e-9], [10**14, 10**14, 10**14], 10**12)) == 10**12 and sainte_lague([3.0, 1.0], [10**9, 10**13], 10**12)[0] == 10**9
     assert sainte_lague([0.0], [5], 3) == [0] and sainte_lague([], [], 3) == []
 
     def slow(w, caps, n):
@@ -209,6 +210,21 @@ def test_mixes_keep_caps_and_reach_shares(spark):
     assert mix_documents(df.limit(0), goals)[0].count() == 0
 
 
+@pytest.mark.parametrize("rows_a_shard", [20_000, 40])
+def test_blocks_of_many_shards_reach_the_quota_to_a_block(spark, monkeypatch, rows_a_shard):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", rows_a_shard)
+    rows = [(i, "AB"[i % 3 == 0], f"woord {i} " * (5 + i % 40)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, source string, text string")
+    goals = spark.createDataFrame([(m, s, x, r, 0.2 * m) for m in (1, 2, 3) for s, x, r in (("A", 0.3, 1), ("B", 0.7, 3))], "mix_id int, source string, target_share double, max_repeats int, total_tokens_share double")
+    selection, report = mix_documents(df, goals)
+    got = {(r["mix_id"], r["source"]): r for r in report.collect()}
+    chosen = selection.collect()
+    assert max(r["repeats"] for r in chosen if r["source"] == "B") == 2 and max(r["repeats"] for r in chosen if r["source"] == "A") == 1
+    for m in (1, 2, 3):
+        assert all(abs(got[m, s]["tokens"] - x * got[m, s]["wanted_tokens"]) < 2 * 120 * (1 if rows_a_shard > 100 else 8) for s, x in (("A", 0.3), ("B", 0.7)))
+    assert {r["id"] for r in chosen if r["mix_id"] == 1} != {r["id"] for r in chosen if r["mix_id"] == 2}
+
+
 # residue
 
 
