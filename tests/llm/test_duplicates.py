@@ -76,10 +76,15 @@ def test_groups_equal_brute_force(spark):
 
 def test_groups_of_hot_buckets_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(pairs, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 7)
     base = text(1)
     rows = [(i, edited(base, i, 1)) for i in range(30)] + [(100 + i, edited(edited(base, 5, 9), i, 1)) for i in range(20)]
     got = sorted(tuple(r) for r in near_duplicates.near_duplicate_groups(frame(spark, rows)).collect())
     assert got == groups_by_force(rows, 3, 0.7)
+    # chains that leave the first set's reach step by step, and sets that share a template but no group
+    rows = [(i, marked(text(2, 300), *range(5, 5 + 4 * i, 4))) for i in range(40)] + [(100 + i, text(3, 60) + " " + text(50 + i, 50)) for i in range(25)]
+    got = sorted(tuple(r) for r in near_duplicates.near_duplicate_groups(frame(spark, rows)).collect())
+    assert got == groups_by_force(rows, 3, 0.7) and len({g for g, _ in got}) >= 1
     assert near_duplicate_groups(frame(spark, [])).count() == 0
 
 
