@@ -22,6 +22,8 @@ SAMPLE = 500
 LEAST_LETTERS, SEGMENT_LETTERS = 40, 24
 #: A line judged against its label with less confidence still counts in the second pass of the fit.
 UNSURE = 0.2
+#: Share of its words that a segment has in some profile at least; with less it is in no language of the profiles.
+LEAST_KNOWN = 0.1
 _BITS = 6
 
 # Names of the languages in labels.
@@ -116,8 +118,9 @@ class _Table:
     def add(self, out: np.ndarray, owner: np.ndarray, gram: np.ndarray) -> None:
         """Adds the mean out-of-place distance (1: the n-gram isn't in the profile) of each owner's n-grams."""
         key, count = np.unique(owner << 16 | gram, return_counts=True)
-        key = np.sort(key >> 16 << 24 | (255 - np.minimum(count, 255)) << 16 | key & 0xFFFF)
-        owner, gram = key >> 24, key & 0xFFFF
+        most = (1 << 24) - 1  # no text of a batch has more n-grams
+        key = np.sort(key >> 16 << 40 | (most - count) << 16 | key & 0xFFFF)
+        owner, gram = key >> 40, key & 0xFFFF
         if not len(key):
             return
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -155,7 +158,8 @@ class Profiles:
         return self.lookup[n]
 
     def distances(self, segments: list[list[str]]) -> np.ndarray:
-        """Distance, 0 to 2, of each segment (a list of words) to each language."""
+        """Distance, 0 to 2, of each segment (a list of words) to each language; 2 to all for one of another language,
+        of whose words less than LEAST_KNOWN stand in any profile."""
         out = np.full((len(segments), len(self.languages)), 2.0)
         owners, grams = [], []
         for n, code, owner in _characters(segments):
@@ -168,6 +172,8 @@ class Profiles:
         get = self.words.at.get
         gram = np.array([get(c, -1) for c in code.tolist()], np.int64)
         self.words.add(out, owner[gram >= 0], gram[gram >= 0])
+        known = np.bincount(owner[gram >= 0], minlength=len(segments)) / np.maximum(1, np.bincount(owner, minlength=len(segments)))
+        out[known < LEAST_KNOWN] = 2.0
         return out
 
 
@@ -196,36 +202,61 @@ def judged_lines(profiles: Profiles, texts: list[str]):
     return [(*w, *r) for w, r in zip(where, judge(profiles, parts))]
 
 
-def judge(profiles: Profiles, parts: list[list[tuple[list[str], int]]]) -> list[tuple[str | None, float]]:
-    """(language, confidence) of each line, given as segments_of gives it: that of the segments that hold most
-    of its letters.
-
-    The confidence is the share of the letters in that language times the relative distance of those segments
-    to the next language, four times and at most 1.
-    """
-    flat = [words for p in parts for words, _ in p]
-    if not flat or not profiles.languages:
-        return [(None, 0.0)] * len(parts)
-    d = profiles.distances(flat)
-    best = d.argmin(axis=1).tolist()
+def _best(profiles: Profiles, segments: list[list[str]]) -> list[tuple[int, float]]:
+    """(number of the language, margin) of each segment, -1 where no language fits. The margin is the relative distance to the next language."""
+    if not segments or not profiles.languages:
+        return [(-1, 0.0)] * len(segments)
+    d = profiles.distances(segments)
+    best, near = d.argmin(axis=1), d.min(axis=1)
     if d.shape[1] > 1:
         two = np.partition(d, 1, axis=1)[:, :2]
-        margin = (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)).tolist()
+        margin = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
     else:
-        margin = [1.0] * len(flat)
-    out, at = [], 0
+        margin = np.ones(len(segments))
+    return list(zip(np.where(near < 2.0, best, -1).tolist(), margin.tolist()))
+
+
+def _verdict(profiles: Profiles, own: list[tuple[int, float, int]]) -> tuple[str | None, float]:
+    """(language, confidence) of what consists of segments (number of the language, margin, letters): the language that
+    holds most letters, and its share of all letters times the mean margin of its segments, four times and at most 1."""
+    weight, sure = [0] * (len(profiles.languages) + 1), [0.0] * (len(profiles.languages) + 1)
+    for i, margin, n in own:
+        weight[i] += n
+        sure[i] += n * margin
+    most = max(weight, default=0)
+    i = weight.index(most) if most else -1
+    if not most or i == len(profiles.languages):
+        return None, 0.0
+    return profiles.languages[i], most / sum(weight) * min(1.0, 4 * sure[i] / most)
+
+
+def judge(profiles: Profiles, parts: list[list[tuple[list[str], int]]]) -> list[tuple[str | None, float]]:
+    """(language, confidence) of each line, given as segments_of gives it; see _verdict."""
+    best, out, at = _best(profiles, [words for p in parts for words, _ in p]), [], 0
     for p in parts:
-        weight, sure = [0] * d.shape[1], [0.0] * d.shape[1]
-        for _, n in p:
-            weight[best[at]] += n
-            sure[best[at]] += n * margin[at]
-            at += 1
-        most = max(weight, default=0)
-        i = weight.index(most)
-        out.append((profiles.languages[i], most / sum(weight) * min(1.0, 4 * sure[i] / most)) if most else (None, 0.0))
+        out.append(_verdict(profiles, [(*best[at + i], n) for i, (_, n) in enumerate(p)]))
+        at += len(p)
     return out
 
 
+def judged_text(profiles: Profiles, texts: list[str | None]):
+    """For each text (language, confidence, segments); segments are runs of sentences of one language over line ends:
+    (first line, last line, letters, language, confidence). A text without letters has no language, confidence 0 and no segment."""
+    lines = [[(j, *s) for j, line in enumerate((t or "").split("\n")) for s in segments_of(line)] for t in texts]
+    best, at = _best(profiles, [words for own in lines for _, words, _ in own]), 0
+    for own in lines:
+        found = [(*best[at + i], n) for i, (_, _, n) in enumerate(own)]
+        at += len(own)
+        runs: list[list[int]] = []
+        for i, (lang, _, n) in enumerate(found):
+            # a run begins where the language changes; what is too short to be judged by itself goes with what is before it
+            if not runs or n >= SEGMENT_LETTERS and lang != found[runs[-1][0]][0]:
+                runs.append([])
+            runs[-1].append(i)
+        segments = [(own[r[0]][0], own[r[-1]][0], sum(found[i][2] for i in r), *_verdict(profiles, [found[i] for i in r])) for r in runs]
+        yield (*_verdict(profiles, found), segments)
+
+
 def fit_profiles(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from rows (id, lang, text) of at most `sample` ids per language, chosen by a hash of the id.
 
@@ -302,15 +333,35 @@ def mislabelled_lines(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     lines are cases. Of several labels for one id the smallest named one counts.
     """
     texts = texts.where("id is not null").select("id", "text")
-    named = labels.where("id is not null").groupBy("id").agg(F.min(named_language(F.col("lang_label"))).alias("lang"))
+    named = named_labels(labels)
     profiles = fit_profiles(texts.join(named.where("lang is not null"), "id"), sample)
     lines = line_languages(texts, profiles, ["id"]).where("lang is not null").distinct()
     return lines.join(named.withColumnRenamed("lang", "label"), "id", "left").where("label is null or label <> lang").select("id", "line_no", "lang", "confidence")
 
 
+def named_labels(labels: DataFrame) -> DataFrame:
+    """(id, lang) of labels (id, lang_label): the smallest named language of each id, null for none."""
+    return labels.where("id is not null").groupBy("id").agg(F.min(named_language(F.col("lang_label"))).alias("lang"))
+
+
 def document_languages(texts: DataFrame, profiles: Profiles) -> DataFrame:
-    """(id, lang, share, confidence): the language of most judged lines of each document."""
-    lines = line_languages(texts.select("id", "text"), profiles, ["id"]).where("lang is not null").distinct()
-    by = lines.groupBy("id", "lang").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
-    best = by.groupBy("id").agg(F.max(F.struct("n", F.col("confidence"), "lang")).alias("b"), F.sum("n").alias("all"))
-    return best.select("id", "b.lang", (F.col("b.n") / F.col("all")).alias("share"), "b.confidence")
+    """(id, lang, confidence, segments) of each text (id, text), segments as an array of structs (first_line, last_line,
+    letters, lang, confidence) in the order of the text.
+
+    Every text is judged as a whole, whatever the length of its lines. Null texts and texts without letters have a null
+    language, confidence 0 and no segment; so have texts in a language that has no profile, but with segments.
+    Narrow; repeated ids give repeated rows.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(profiles)
+    kind = pa.list_(pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("letters", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                made = list(judged_text(sent.value, part.column(1).to_pylist()))
+                rows = [[dict(zip(("first_line", "last_line", "letters", "lang", "confidence"), s)) for s in segments] for *_, segments in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array(rows, kind)], names=["id", "lang", "confidence", "segments"])
+
+    segment = "struct<first_line:int,last_line:int,letters:int,lang:string,confidence:double>"
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, lang string, confidence double, segments array<{segment}>")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rainledger.llm.canonical import map_values
 from rainledger.llm.encoding import encode
 from rainledger.llm.incremental import IncrementalDeduper, rejected_articles
-from rainledger.llm.language import mislabelled_lines
+from rainledger.llm.language import document_languages, fit_profiles, mislabelled_lines, named_labels
 from rainledger.llm.mixing import mix_documents
 from rainledger.llm.near_duplicates import near_duplicate_groups
 from rainledger.llm.page_lines import page_templates, repeated_lines
@@ -50,11 +50,32 @@ def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_templates(_sourced(spark, sf_dir))
 
 
+def _texts_and_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("text_content").alias("text"))
+    return texts, table(spark, sf_dir, "article_labels").select(F.col("article_id").alias("id"), "lang_label")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, line_no, lang): lines of text_content in another language than the article's label names."""
-    texts = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("id"), F.col("text_content").alias("text"))
-    labels = table(spark, sf_dir, "article_labels").select(F.col("article_id").alias("id"), "lang_label")
-    return mislabelled_lines(texts, labels).select(F.col("id").alias("article_id"), "line_no", "lang")
+    return mislabelled_lines(*_texts_and_labels(spark, sf_dir)).select(F.col("id").alias("article_id"), "line_no", "lang")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article once, judged as a whole and in segments."""
+    texts, labels = _texts_and_labels(spark, sf_dir)
+    profiles = fit_profiles(texts.join(named_labels(labels).where("lang is not null"), "id"))
+    return document_languages(texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text")), profiles)
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, lang, confidence) of every article."""
+    return _languages(spark, sf_dir).select(F.col("id").alias("article_id"), "lang", F.round("confidence", 4).alias("confidence"))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, segment_no, first_line, last_line, letters, lang, confidence) of the segments of mixed articles."""
+    rows = _languages(spark, sf_dir).where(F.size("segments") > 1).select(F.col("id").alias("article_id"), F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("article_id", "segment_no", "s.first_line", "s.last_line", "s.letters", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +116,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(texts).select(F.col("id").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_templates": p2_templates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_templates": p2_templates, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_documents": p5_documents, "p5_segments": p5_segments, "p8_ids": p8_ids, "p9_shares": p9_shares, "p9_selection": p9_selection, "p10_found": p10_found}
 
 ORACLES = {
     "p2_found": """

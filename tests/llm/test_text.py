@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies
 
-from rainledger.llm import mixing, residue
+from rainledger.llm import language, mixing, residue
 from rainledger.llm.canonical import NameTrie, Resolver, map_values, most_edits
 from rainledger.llm.encoding import FragmentEncoder, encode, tokenizer_dir
-from rainledger.llm.language import LANGUAGES, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
+from rainledger.llm.language import LANGUAGES, document_languages, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
 from rainledger.llm.mixing import mix_documents, sainte_lague
 from rainledger.llm.page_lines import TokenTrees, page_templates, repeated_lines, without_lines
 from rainledger.llm.residue import residue_documents, without_residue
@@ -134,6 +135,25 @@ def test_lines_segments_and_labels(spark):
     assert [n for _, n in segments_of("Ja. Nee. Dit is een langere zin van de schrijver.")]
 
 
+def test_documents_and_segments(spark):
+    profiles = fit_profiles(labelled(spark))
+    nl, en, fr = SENTENCES["nl"], SENTENCES["en"], SENTENCES["fr"]
+    other = "Zażółć gęślą jaźń, wczoraj wieczorem padał śnieg nad całym krajem i wszyscy zostali w domach przez tydzień."
+    rows = [(1, f"{nl[0]} {nl[1]}\n{nl[2]}\n\n{en[0]} {en[1]}\n{fr[0]}"), (2, "De boer\nwacht op\nregen en\nwater"), (3, None), (4, " \n12 "), (5, other)]
+    got = {r["id"]: r for r in document_languages(spark.createDataFrame(rows, "id int, text string"), profiles).collect()}
+    assert got[1]["lang"] == "nl" and [(x["first_line"], x["last_line"], x["lang"]) for x in got[1]["segments"]] == [(0, 1, "nl"), (3, 3, "en"), (4, 4, "fr")]
+    assert 0 < got[1]["confidence"] < 1 and got[2]["lang"] == "nl" and len(got[2]["segments"]) == 1
+    assert all(got[i]["lang"] is None and got[i]["confidence"] == 0 for i in (3, 4, 5)) and not got[3]["segments"] and len(got[5]["segments"]) == 1
+
+
+def test_counts_above_255_keep_their_rank():
+    table = language._Table([[1, 2, 3, 4], [4, 3, 2, 1]])
+    gram = np.array([0] * 900 + [2] * 700 + [1] * 500 + [3] * 300)  # numbered by their best rank
+    out = np.full((1, 2), 2.0)
+    table.add(out, np.zeros(len(gram), np.int64), gram)
+    assert out[0, 0] < out[0, 1]
+
+
 def test_mislabelled_lines(spark):
     base = labelled(spark)
     texts = base.select("id", "text").unionAll(spark.createDataFrame([(900, SENTENCES["de"][0] + "\nkort\n" + SENTENCES["nl"][1]), (901, SENTENCES["fr"][1]), (902, None), (None, "x"), (903, "")], "id int, text string"))
