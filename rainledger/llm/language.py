@@ -253,6 +253,8 @@ def judged_text(profiles: Profiles, texts: list[str | None]):
             if not runs or n >= SEGMENT_LETTERS and lang != found[runs[-1][0]][0]:
                 runs.append([])
             runs[-1].append(i)
+        if len(runs) > 1 and sum(found[i][2] for i in runs[0]) < SEGMENT_LETTERS:  # a short beginning goes with what follows
+            runs[:2] = [runs[0] + runs[1]]
         segments = [(own[r[0]][0], own[r[-1]][0], sum(found[i][2] for i in r), *_verdict(profiles, [found[i] for i in r])) for r in runs]
         yield (*_verdict(profiles, found), segments)
 
