@@ -54,3 +54,18 @@ def macro(scores: DataFrame, over: list[str]) -> DataFrame:
 
 def predictable(scores: DataFrame, skill: float = 0.15, ap: float = 0.25) -> DataFrame:
     return scores.withColumn("predictable", F.coalesce((F.col("skill") >= skill) & (F.col("ap") >= ap), F.lit(False)))
+
+
+def fold_stats(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, n_folds, mean, std): mean and sample deviation of defined fold scores; one fold has no deviation."""
+    return df.groupBy(*keys).agg(F.count(score).alias("n_folds"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"))
+
+
+def pruned_runs(df: DataFrame, run: str, step: str, score: str, warm_up: int = 1) -> DataFrame:
+    """Adds the mean over the steps so far of each run and whether a median pruner stops it: beyond the warm-up its mean
+    lies below the median of all runs' means at the same step (6 digits)."""
+    so_far = W.partitionBy(run).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
+    steps = df.withColumns({"running": F.avg(score).over(so_far), "__k": F.row_number().over(W.partitionBy(run).orderBy(step))})
+    middle = steps.groupBy("__k").agg(F.percentile("running", F.lit(0.5)).alias("__middle"))
+    below = (F.col("__k") > warm_up) & (F.round("running", 6) < F.round("__middle", 6))
+    return steps.join(F.broadcast(middle), "__k").withColumn("pruned", below).drop("__k", "__middle")

@@ -102,6 +102,56 @@ def top_and_bottom(df: DataFrame, within: list[str], score: str, tie: str, k: in
     return top.unionAll(ranked.where(F.col("__b") <= k).withColumns({"side": F.lit("bottom"), "place": F.col("__b")})).drop("__t", "__b")
 
 
+def seeded_order(key: Column, seed: int) -> Column:
+    """A place that depends on the key and the seed only, the same on every engine."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in an order that depends on the key and the seed only."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    """n rows in seeded order, ties by the key. Each task keeps its own n best, so no sort holds all rows."""
+    return df.orderBy(seeded_order(F.col(key), seed), key).limit(n)
+
+
+def seeded_fraction(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """About that share of the rows, chosen row by row (32 bits of the seeded order)."""
+    return df.where(F.conv(F.substring(seeded_order(F.col(key), seed), 1, 8), 16, 10).cast("bigint") < int(share * (1 << 32)))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, n_null, mean, std, low, q25, median, q75, high) of numeric columns from one pass; quartiles are exact."""
+    each = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        each.append(F.struct(F.lit(c).alias("column_name"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_null"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(v).alias("high")))
+    return df.agg(F.array(*each).alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equi-join in which null keys are equal; the keys come once, from a."""
+    right = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = None
+    for k in keys:
+        on = F.col(k).eqNullSafe(F.col(f"__{k}")) if on is None else on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return a.join(right, on, how).drop(*[f"__{k}" for k in keys])
+
+
+def restricted(df: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows of a fixed list of ids, by a semi-join with the list."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in ids], f"`{key}` {kind}").distinct()), key, "left_semi")
+
+
+def in_order(inputs: DataFrame, done: DataFrame, key: str, place: str, columns: list[str]) -> DataFrame:
+    """Every input with the columns of `done` (one row per key, null where it is still open) and its place in the input."""
+    return inputs.select(key, place).join(done.select(key, *columns), key, "left")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place in an order. For results of a bounded size (classes, regions): the window is one partition."""
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+
+
+def union_of(columns: list[Column], frame: DataFrame, name: str) -> DataFrame:
+    """Distinct values of several expressions of one table, nulls left out, in one pass."""
+    return frame.select(F.explode(F.array_distinct(F.array(*columns))).alias(name)).where(F.col(name).isNotNull()).distinct()

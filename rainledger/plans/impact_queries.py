@@ -55,10 +55,19 @@ def region_zero_fill(spark, sf_dir):
 def content_filter(spark, sf_dir):
     """Severity, class, recency (unknown included) and confidence filters in one conjunction."""
     rows = _impacts(spark, sf_dir)
-    low, high = domain.preset_range("0-6 months", 24)
+    low, high = domain.recency_bounds("0–6 months")
     return rows.where(rows.classification.isin("Irrigation Shortage", "Wildfire Occurrence") & rows.severity.between(2, 3) & domain.in_recency(F.col("recency_in_months"), low, high, True)).select("row_id", "classification", "severity", "recency_in_months")
 
 
+def recency_preset_counts(spark, sf_dir):
+    """Rows in each named range of recency, the range cut to the largest value; presets meet the counts by value."""
+    rows = _impacts(spark, sf_dir)
+    counts = rows.where("recency_in_months is not null").groupBy("recency_in_months").agg(F.count("*").alias("n"))
+    presets = domain.recency_presets(rows, F.col("recency_in_months"))
+    met = F.broadcast(presets).withColumn("recency_in_months", F.explode(F.sequence("low", "high"))).join(counts, "recency_in_months", "left")
+    return met.groupBy("preset", "low", "high").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def quality_counts(spark, sf_dir):
     """Rows in the content filter, and those of them that the geocode-quality filter drops, in one pass; an unknown
     rank passes."""
@@ -190,7 +199,7 @@ def name_index(spark, sf_dir):
     return index.select("name", "level", F.explode("targets").alias("nuts_id"), F.round(1.0 / F.size("targets"), 8).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (region_month_weighted, location_dominant, region_aggregate, region_zero_fill, content_filter, quality_counts, month_window_filter, class_share, theme_rollup, class_cooccurrence_article, class_cooccurrence_region_month, severity_histogram, yearly_volume, seasonality, top_regions, top_bottom_classes, missingness_profile, place_quality, place_rank_pick, location_cache_join, late_rows_last, pivot_class_month, category_fractions, mention_weights, name_index)}
+QUERIES = {f.__name__: f for f in (region_month_weighted, location_dominant, region_aggregate, region_zero_fill, content_filter, recency_preset_counts, quality_counts, month_window_filter, class_share, theme_rollup, class_cooccurrence_article, class_cooccurrence_region_month, severity_histogram, yearly_volume, seasonality, top_regions, top_bottom_classes, missingness_profile, place_quality, place_rank_pick, location_cache_join, late_rows_last, pivot_class_month, category_fractions, mention_weights, name_index)}
 
 _I = "impacts_geocoded_points"
 _THEME = "CASE " + " ".join(f"WHEN classification = '{c}' THEN '{t}'" for c, t in domain.THEMES.items()) + f" ELSE '{domain.DEFAULT_THEME}' END"
@@ -229,6 +238,9 @@ ORACLES = {
         FROM s LEFT JOIN c USING (nuts3_id), m""",
     "region_zero_fill": f"SELECT nuts_id, name, coalesce(n, 0) AS n FROM nuts_regions LEFT JOIN (SELECT nuts3_id AS nuts_id, count(*) AS n FROM {_I} GROUP BY 1) USING (nuts_id) WHERE level = 3",
     "content_filter": f"SELECT row_id, classification, severity, recency_in_months FROM {_I} WHERE classification IN ('Irrigation Shortage', 'Wildfire Occurrence') AND severity BETWEEN 2 AND 3 AND (recency_in_months BETWEEN 0 AND 6 OR recency_in_months IS NULL)",
+    "recency_preset_counts": f"""
+        WITH t AS (SELECT greatest(max(recency_in_months), 1) AS top FROM {_I}), p AS (SELECT preset, least(low, top) AS low, least(coalesce(high, top), top) AS high FROM (VALUES {", ".join(f"('{n}', {a}, {'NULL' if b is None else b})" for n, a, b in domain.RECENCY_PRESETS)}) v(preset, low, high), t)
+        SELECT preset, CAST(low AS INT) AS low, CAST(high AS INT) AS high, (SELECT count(*) FROM {_I} WHERE recency_in_months BETWEEN p.low AND p.high) AS n FROM p""",
     "quality_counts": f"SELECT count(*) AS n_content, count(*) FILTER (NOT (NOT coalesce(geocoded_is_low_quality, false) AND (geocoded_place_rank IS NULL OR geocoded_place_rank >= 40))) AS n_dropped FROM {_I} WHERE severity >= 2",
     "month_window_filter": f"SELECT CAST(date_trunc('month', publication_date) AS DATE) AS year_month, count(*) AS n FROM {_I} WHERE publication_date >= DATE '2024-04-01' AND publication_date < DATE '2024-09-01' GROUP BY 1",
     "class_share": f"SELECT classification, round(w, 6) AS weighted_count, round(100 * w / sum(w) OVER (), 6) AS share_pct FROM (SELECT classification, sum(mention_weight) AS w FROM {_I} WHERE classification IS NOT NULL GROUP BY 1)",
