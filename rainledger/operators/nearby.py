@@ -20,13 +20,15 @@ from rainledger.storage import Workspace
 EARTH_RADIUS_M = 6_371_008.8
 #: Quadtree levels at which cells are joined; level n has 2^n columns and rows.
 LEVELS = (8, 10, 12)
-#: Rows of a cell table up to which it is broadcast; above it the join shuffles on the cell.
-BROADCAST_ROWS = 200_000
+#: Rows and edges of a cell table up to which it is broadcast (64 MB); above it the join shuffles on the cell.
+BROADCAST_ROWS, BROADCAST_EDGES = 200_000, 1_500_000
 _CELL_SCHEMA = "region_id string, cell bigint, inside boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, edges: str | None = None) -> DataFrame:
+    """For a written table: broadcast if its counted rows and the edges they carry allow it."""
+    size = df.agg(F.count("*").alias("rows"), (F.sum(F.size(edges)) if edges else F.lit(0)).alias("edges")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and (size["edges"] or 0) <= BROADCAST_EDGES else df
 
 
 def _code(level: int, ix, iy):
@@ -113,18 +115,18 @@ def valid_point(lat: Column, lon: Column) -> Column:
     return lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, key: str, lat: str, lon: str, region_id: str, rings: str = "rings", levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(key, region_id) of each point strictly within a polygon by the even-odd rule over all its rings.
+def points_in_regions(points: DataFrame, regions: DataFrame, key: str, lat: str, lon: str, region_id: str, rings: str = "rings", levels: tuple[int, ...] = LEVELS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, region_id, *keep) of each point strictly within a polygon by the even-odd rule over all its rings.
 
     Points with a null, NaN or impossible coordinate match nothing. A point on an edge belongs to at
     most one side. Polygons may overlap: then a point has a row for each. Repeated keys give repeated rows.
     """
-    at = points.select(F.col(key).alias("__key"), F.col(lon).alias("__x"), F.col(lat).alias("__y")).where(valid_point(F.col("__y"), F.col("__x")))
+    at = points.select(F.col(key).alias("__key"), F.col(lon).alias("__x"), F.col(lat).alias("__y"), *[F.col(c).alias(f"__keep_{c}") for c in keep]).where(valid_point(F.col("__y"), F.col("__x")))
     at = at.withColumn("cell", F.explode(F.array(*[_cell_code(level, F.col("__x"), F.col("__y")) for level in levels])))
     e_crosses = lambda e: ((e["y1"] > F.col("__y")) != (e["y2"] > F.col("__y"))) & (F.col("__x") < (e["x2"] - e["x1"]) * (F.col("__y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
     covered = Workspace(points.sparkSession, "cover").write("cells", polygon_cells(regions, region_id, rings, levels))
     hit = F.col("inside") | (F.size(F.filter("edges", e_crosses)) % 2 == 1)
-    return at.join(_maybe_broadcast(covered), "cell").where(hit).select(F.col("__key").alias(key), F.col("region_id"))
+    return at.join(_maybe_broadcast(covered, "edges"), "cell").where(hit).select(F.col("__key").alias(key), F.col("region_id"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
 def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -148,7 +150,7 @@ def points_near_sites(points: DataFrame, sites: DataFrame, key: str, lat: str, l
     column = lambda v: F.floor((v + 180.0) / size)
     xs = F.when(polar | (spread >= 180), F.sequence(F.lit(0), F.lit(columns - 1))).otherwise(F.array_distinct(F.transform(F.sequence(column(F.col("__sx") - spread), column(F.col("__sx") + spread)), lambda c: F.pmod(c, F.lit(columns)))))
     ys = F.sequence(F.floor((F.col("__sy") - reach - 1e-9 + 90.0) / size), F.floor((F.col("__sy") + reach + 1e-9 + 90.0) / size))
-    cells = site.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
+    cells = Workspace(points.sparkSession, "sites").write("cells", site.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys)))
     at = points.select(F.col(key).alias("__key"), F.col(lat).alias("__y"), F.col(lon).alias("__x")).where(valid_point(F.col("__y"), F.col("__x")))
     at = at.withColumns({"__cx": F.pmod(column(F.col("__x")), F.lit(columns)), "__cy": F.floor((F.col("__y") + 90.0) / size)})
     apart = great_circle_m(F.col("__y"), F.col("__x"), F.col("__sy"), F.col("__sx"))
@@ -169,6 +171,7 @@ def nearest_region(points: DataFrame, regions: DataFrame, key: str, lat: str, lo
     reach_x = F.lit(reach_y) / F.cos(F.radians(F.least(F.greatest(F.abs("y1"), F.abs("y2")) + reach_y, F.lit(89.0))))
     steps = lambda low, high: F.sequence(F.floor(low / size), F.floor(high / size))
     cells = edge.withColumn("__cx", F.explode(steps(F.least("x1", "x2") - reach_x, F.greatest("x1", "x2") + reach_x))).withColumn("__cy", F.explode(steps(F.least("y1", "y2") - reach_y, F.greatest("y1", "y2") + reach_y)))
+    cells = Workspace(points.sparkSession, "outlines").write("cells", cells)
     at = points.select(F.col(key).alias("__key"), F.col(lat).alias("__y"), F.col(lon).alias("__x")).where(valid_point(F.col("__y"), F.col("__x")))
     at = at.withColumns({"__cx": F.floor(F.col("__x") / size), "__cy": F.floor(F.col("__y") / size)})
     k = math.radians(1) * EARTH_RADIUS_M
@@ -182,6 +185,14 @@ def nearest_region(points: DataFrame, regions: DataFrame, key: str, lat: str, lo
     return near.groupBy("__key").agg(F.min(F.struct("metres", F.col("__r").alias("r"))).alias("m")).select(F.col("__key").alias(key), F.col("m.r").alias("region_id"), F.col("m.metres").alias("metres"))
 
 
+def zonal(points: DataFrame, regions: DataFrame, key: str, lat: str, lon: str, value: str, region_id: str, rings: str = "rings") -> DataFrame:
+    """(region_id, mean, low, high, std, n) of the values of the points (cell centres of a raster) in each region; std is
+    that of the population, null and NaN values don't count."""
+    inside = points_in_regions(points, regions, key, lat, lon, region_id, rings, keep=(value,))
+    v = F.col(value)
+    return inside.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy("region_id").agg(F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_pop(v).alias("std"), F.count("*").alias("n"))
+
+
 def overlay_areas(a: DataFrame, b: DataFrame, a_id: str, b_id: str, rings: str = "rings", step: float = 0.01) -> DataFrame:
     """(a_id, b_id, area_km2, share): area of each meeting of two polygon layers and its share of all meetings of the a.
 

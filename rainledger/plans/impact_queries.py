@@ -208,6 +208,11 @@ _LEVEL = "CASE " + " ".join(f"WHEN lower(coalesce(geocoded_place_type, '')) = '{
 _NAME = "trim(regexp_replace(regexp_replace(translate(lower(trim({0})), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '^(in de|in het|de|het|den)\\s+', ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def name_of_sql(column: str) -> str:
+    """SQL of functions.text.plain_name."""
+    return _NAME.format(column)
+
+
 def _lead(keys: str, source: str) -> str:
     return f"(SELECT {keys}, classification AS lead_class FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, classification) AS k FROM (SELECT {keys}, classification, count(*) AS n FROM {source} WHERE classification IS NOT NULL GROUP BY ALL)) WHERE k = 1)"
 

@@ -141,28 +141,6 @@ def quartile_dominance(spark, sf_dir):
     return relations.dominant(banded, ["band"], "p_type").select("band", F.col("dominant").alias("leading_type"), "dominant_count", "total")
 
 
-def zonal_stats(spark, sf_dir):
-    """Mean, extremes, population deviation and count of the confidences of points in each region by containment."""
-    points = table(spark, sf_dir, "impacts_geocoded_points")
-    inside = nearby.points_in_regions(points, table(spark, sf_dir, "nuts_regions").where("level = 3"), "row_id", "geocoded_latitude", "geocoded_longitude", "nuts_id")
-    return inside.join(points.select("row_id", "confidence"), "row_id").where("confidence is not null").groupBy("region_id").agg(*[F.round(f("confidence"), 6).alias(n) for f, n in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"), (F.stddev_pop, "std"))], F.count("*").alias("n"))
-
-
-def region_cascade(spark, sf_dir):
-    """Branch, region and weight of each impact: name before point, inside before near (25 km)."""
-    points = table(spark, sf_dir, "impacts_geocoded_points")
-    regions = table(spark, sf_dir, "nuts_regions")
-    level3 = regions.where("level = 3")
-    inside = nearby.points_in_regions(points, level3, "row_id", "geocoded_latitude", "geocoded_longitude", "nuts_id").withColumn("how", F.lit("inside"))
-    outside = points.join(inside.select("row_id"), "row_id", "left_anti")
-    near = nearby.nearest_region(outside, level3, "row_id", "geocoded_latitude", "geocoded_longitude", "nuts_id", "rings", 25_000.0)
-    located = inside.unionByName(near.select("row_id", "region_id", F.lit("near").alias("how")))
-    aliases = table(spark, sf_dir, "place_list").where("kind = 'region'").select(F.col("ref_id").alias("nuts_id"), F.explode("aliases").alias("alias"))
-    mentions = points.select("row_id", "location", F.col("geocoded_latitude").alias("latitude"), F.col("geocoded_longitude").alias("longitude"), F.col("geocoded_country_code").alias("country_code"), F.col("geocoded_place_level").alias("place_level"), F.lit("nl").alias("home"))
-    out = places.assign_regions(mentions, places.name_index(regions, aliases), located)
-    return out.select("row_id", "branch", "region_id", F.round("weight", 8).alias("weight"))
-
-
 def metric_points(spark, sf_dir):
     """Stations on the metric grid."""
     x, y = metric_grid(F.col("latitude"), F.col("longitude"))
@@ -181,7 +159,7 @@ def logit_binary_relevance(spark, sf_dir):
     return learning.fit_and_score(rows, ["has_impact_lag1", "class_0_lag1", "month_sin", "month_cos"], ["class_0", "class_1", "class_2"])
 
 
-QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_all_classes, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, zonal_stats, region_cascade, metric_points, bbox_clip, logit_binary_relevance)}
+QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_all_classes, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, metric_points, bbox_clip, logit_binary_relevance)}
 
 _GRID = f"""
     e AS (SELECT nuts3_id, CAST(date_trunc('month', publication_date) AS DATE) AS year_month, max(CASE WHEN classification = 'Irrigation Shortage' THEN 1 ELSE 0 END) AS c0, max(CASE WHEN classification = 'Wildfire Occurrence' THEN 1 ELSE 0 END) AS c1,

@@ -223,8 +223,8 @@ def fold_means(spark, sf_dir):
 
 def running_fold_means(spark, sf_dir):
     """Mean over the folds so far of each class, and whether a median pruner stops it there."""
-    by = _impacts(spark, sf_dir).where("classification is not null and publication_date is not null and confidence between 0 and 1 and year(publication_date) between 2018 and 2023").groupBy("classification", F.year("publication_date").alias("fold")).agg(F.round(F.avg("confidence"), 6).alias("score"))
-    return metrics.pruned_runs(by, "classification", "fold", "score", warm_up=1).select("classification", "fold", F.round("running", 6).alias("running"), "pruned")
+    by = _impacts(spark, sf_dir).where("classification is not null and publication_date is not null and confidence between 0 and 1 and year(publication_date) between 2018 and 2023").groupBy("classification", F.year("publication_date").alias("fold")).agg(F.avg("confidence").alias("score"))
+    return metrics.pruned_runs(by, "classification", "fold", "score", warm_up=1).select("classification", "fold", F.round("running", 5).alias("running"), "pruned")
 
 
 QUERIES = {f.__name__: f for f in (dataset_summary, recall_by_model, adjusted_counts, usage_totals, best_class_per_model, numeric_describe, ranged_total, step_counters, rank_table, bins_in_order, region_rank, article_prefix, sample_rows, sample_tenth, title_order, extreme_regions, meteo_divergence, review_filter, shared_articles, country_class_filter, nested_class_filter, null_safe_class_join, review_join, resume_in_order, batch_filter, record_shaping, month_union, fold_means, running_fold_means)}
@@ -303,8 +303,8 @@ ORACLES = {
     "month_union": f"SELECT DISTINCT m AS year_month FROM (SELECT CAST(date_trunc('month', publication_date) AS DATE) AS m FROM {_I} UNION ALL SELECT CAST(date_trunc('month', loaded_at) AS DATE) FROM {_I}) WHERE m IS NOT NULL",
     "fold_means": f"WITH s AS (SELECT classification, avg(confidence) AS s FROM {_I} WHERE classification IS NOT NULL AND publication_date IS NOT NULL AND confidence BETWEEN 0 AND 1 GROUP BY classification, year(publication_date)) SELECT classification, count(*) AS n_folds, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std FROM s GROUP BY 1",
     "running_fold_means": f"""
-        WITH s AS (SELECT classification, CAST(year(publication_date) AS INT) AS fold, round(avg(confidence), 6) AS s FROM {_I} WHERE classification IS NOT NULL AND publication_date IS NOT NULL AND confidence BETWEEN 0 AND 1 AND year(publication_date) BETWEEN 2018 AND 2023 GROUP BY 1, 2),
+        WITH s AS (SELECT classification, CAST(year(publication_date) AS INT) AS fold, avg(confidence) AS s FROM {_I} WHERE classification IS NOT NULL AND publication_date IS NOT NULL AND confidence BETWEEN 0 AND 1 AND year(publication_date) BETWEEN 2018 AND 2023 GROUP BY 1, 2),
         r AS (SELECT classification, fold, avg(s) OVER w AS running, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY classification ORDER BY fold)),
         m AS (SELECT k, median(running) AS middle FROM r GROUP BY 1)
-        SELECT classification, fold, round(running, 6) AS running, k > 1 AND round(running, 6) < round(middle, 6) AS pruned FROM r JOIN m USING (k)""",
+        SELECT classification, fold, round(running, 5) AS running, k > 1 AND round(running, 6) < round(middle, 6) AS pruned FROM r JOIN m USING (k)""",
 }
