@@ -69,3 +69,14 @@ def pruned_runs(df: DataFrame, run: str, step: str, score: str, warm_up: int = 1
     middle = steps.groupBy("__k").agg(F.percentile("running", F.lit(0.5)).alias("__middle"))
     below = (F.col("__k") > warm_up) & (F.round("running", 6) < F.round("__middle", 6))
     return steps.join(F.broadcast(middle), "__k").withColumn("pruned", below).drop("__k", "__middle")
+
+
+def evaluated(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
+    """(keys, ap, auc, precision, recall, f1, brier, n, n_pos, prevalence) of each group."""
+    out = point_scores(df, keys, y, score).join(average_precision(df, keys, y, score), keys).join(roc_auc(df, keys, y, score), keys)
+    return out.select(*keys, "ap", "auc", "precision", "recall", "f1", "brier", "n", "n_pos", "prevalence")
+
+
+def macro_means(scores: DataFrame, over: list[str]) -> DataFrame:
+    """(over, n_classes, macro_<metric>): means of seven metrics, undefined ones left out."""
+    return scores.groupBy(*over).agg(F.count("*").alias("n_classes"), *[F.avg(m).alias(f"macro_{m}") for m in ("ap", "auc", "precision", "recall", "f1", "brier", "prevalence")])

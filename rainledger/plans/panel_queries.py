@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from rainledger.functions import domain
 from rainledger.functions.dates import month_of, month_wave
 from rainledger.functions.projection import metric_grid
-from rainledger.operators import learning, metrics, nearby, panel, places, relations
+from rainledger.operators import metrics, panel, relations
 from rainledger.storage import table
 
-START, END = "2018-01-01", "2023-12-01"
-CLASSES = ["Irrigation Shortage", "Wildfire Occurrence", "Social Impacts"]
-#: The months of the whole panel; those it is made over, for the first lag and the last targets.
+#: The months of the panel; those it is made over, for the first lag and the last targets.
 FIRST, LAST = "2018-01-01", "2025-12-01"
 BEFORE, AFTER = "2017-12-01", "2026-03-01"
 
@@ -23,14 +21,15 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("nuts3_id", month_of(F.col("publication_date")).alias("year_month"), "classification")
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every level-3 region in every month of the panel."""
     regions = table(spark, sf_dir, "nuts_regions").where("level = 3").select(F.col("nuts_id").alias("nuts3_id"))
-    return panel.with_lag_and_targets(panel.labelled(panel.grid(regions, "nuts3_id", START, END), _events(spark, sf_dir), "nuts3_id", CLASSES), "nuts3_id", ["has_impact", "class_0"])
+    return panel.grid(regions, "nuts3_id", FIRST, LAST)
 
 
 def panel_lag_lead(spark, sf_dir):
-    """Region x month grid with flags, lag and forward targets."""
-    return _panel(spark, sf_dir)
+    """Region x month grid with the flag, lag and forward targets of any impact."""
+    return panel_all_classes(spark, sf_dir).select("nuts3_id", "year_month", "has_impact", "has_impact_lag1", *[f"has_impact_h{h}" for h in range(4)])
 
 
 def panel_all_classes(spark, sf_dir):
@@ -45,35 +44,35 @@ def panel_all_classes(spark, sf_dir):
 
 def panel_complete(spark, sf_dir):
     """Complete rows of the panel by year."""
-    whole = panel.complete(_panel(spark, sf_dir), ["has_impact_lag1", *[f"has_impact_h{h}" for h in range(4)]])
+    whole = panel.complete(panel_all_classes(spark, sf_dir), [f"{c}{x}" for c in _ALL for x in ("_lag1", "_h0", "_h1", "_h2", "_h3")])
     return whole.groupBy(F.year("year_month").alias("year")).agg(F.count("*").alias("n"), F.sum(F.col("has_impact").cast("bigint")).alias("n_impact"))
 
 
 def panel_waves(spark, sf_dir):
     """Months with their sine and cosine."""
     s, c = month_wave(F.month("year_month"))
-    return _panel(spark, sf_dir).select("year_month").distinct().select("year_month", (F.round(s, 8) + 0.0).alias("month_sin"), (F.round(c, 8) + 0.0).alias("month_cos"))
+    return _months(spark, sf_dir).select("year_month").distinct().select("year_month", (F.round(s, 8) + 0.0).alias("month_sin"), (F.round(c, 8) + 0.0).alias("month_cos"))
 
 
 def expanding_folds(spark, sf_dir):
     """Rows of each fold's parts at a horizon of one month."""
-    folds = panel.expanding_folds(_panel(spark, sf_dir).select("nuts3_id", "year_month"), 1, [2020, 2021, 2022, 2023])
+    folds = panel.expanding_folds(_months(spark, sf_dir), 1, [2020, 2021, 2022, 2023])
     return folds.groupBy("fold", "valid_year", "part").agg(F.count("*").alias("n"), F.min("year_month").alias("first_month"), F.max("year_month").alias("last_month"))
 
 
 def target_year_split(spark, sf_dir):
     """Rows by train and test part at each horizon."""
-    rows = _panel(spark, sf_dir).select("year_month")
+    rows = _months(spark, sf_dir).select("year_month")
     parts = None
     for h in range(4):
-        one = rows.select(F.lit(h).alias("horizon"), panel.split_of(h, 2021, [2022, 2023]).alias("part"))
+        one = rows.select(F.lit(h).alias("horizon"), panel.split_of(h, 2023, [2024, 2025]).alias("part"))
         parts = one if parts is None else parts.unionAll(one)
     return parts.where("part is not null").groupBy("horizon", "part").agg(F.count("*").alias("n"))
 
 
 def fold_leaks(spark, sf_dir):
     """Leaking rows of the folds: none."""
-    return panel.leaks(panel.expanding_folds(_panel(spark, sf_dir).select("nuts3_id", "year_month"), 1, [2020, 2021])).select("nuts3_id", "year_month", "fold")
+    return panel.leaks(panel.expanding_folds(_months(spark, sf_dir), 1, [2020, 2021, 2022, 2023])).select("nuts3_id", "year_month", "fold")
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +111,30 @@ def season_vs_all(spark, sf_dir):
 
 
 def prediction_long(spark, sf_dir):
-    """Wide flags of the panel as (region, month, class, y), counted per class."""
-    wide = _panel(spark, sf_dir).select("nuts3_id", "year_month", "class_0", "class_1", "class_2")
-    return wide.unpivot(["nuts3_id", "year_month"], ["class_0", "class_1", "class_2"], "class", "y_true").groupBy("class").agg(F.count("*").alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("n_pos"))
+    """Wide flags of the panel as (region, month, class, y), counted per class, all classes."""
+    names = [f"class_{i}" for i in range(len(domain.THEMES))]
+    wide = panel_all_classes(spark, sf_dir).select("nuts3_id", "year_month", *names)
+    return wide.unpivot(["nuts3_id", "year_month"], names, "class", "y_true").groupBy("class").agg(F.count("*").alias("n"), F.sum(F.col("y_true").cast("bigint")).alias("n_pos"))
+
+
+def _slices(keys: list[str]):
+    def query(spark, sf_dir):
+        out = metrics.slices(_predictions(spark, sf_dir).where("nuts3_id is not null and month is not null"), keys, "y_true", "y_score")
+        return out.select(*keys, "n", "n_pos", *[F.round(c, 8).alias(c) for c in ("prevalence", "mean_pred", "brier", "ap", "skill")])
+
+    query.__name__, query.__doc__ = "slices_by_" + "_".join(keys), f"Slice metrics by {', '.join(keys)}."
+    return query
+
+
+#: Key lists of the slice diagnostics.
+SLICES = [["month"], ["drought_bin"], ["nuts3_id"], ["class", "month"], ["class", "drought_bin"], ["class", "nuts3_id"]]
+SLICE_QUERIES = [_slices(keys) for keys in SLICES]
+
+
+def macro_by_month(spark, sf_dir):
+    """Macro means over classes in each calendar month."""
+    out = metrics.macro(metrics.slices(_predictions(spark, sf_dir).where("month is not null"), ["class", "month"], "y_true", "y_score"), ["month"])
+    return out.select("month", "n", "n_pos", "n_classes", "n_scored", *[F.round(c, 8).alias(c) for c in ("macro_ap", "macro_skill", "macro_brier")])
 
 
 def month_spine_fill(spark, sf_dir):
@@ -152,24 +172,11 @@ def bbox_clip(spark, sf_dir):
     return table(spark, sf_dir, "impacts_geocoded_points").where(F.col("geocoded_latitude").between(50.75, 53.55) & F.col("geocoded_longitude").between(3.35, 7.25)).select("row_id")
 
 
-def logit_binary_relevance(spark, sf_dir):
-    """Training scores of one regularised logistic model per class on the panel's lag and season."""
-    s, c = month_wave(F.month("year_month"))
-    rows = panel.complete(_panel(spark, sf_dir), ["has_impact_lag1", "class_0_lag1", "has_impact_h1"]).withColumns({"month_sin": s, "month_cos": c})
-    return learning.fit_and_score(rows, ["has_impact_lag1", "class_0_lag1", "month_sin", "month_cos"], ["class_0", "class_1", "class_2"])
-
-
-QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_all_classes, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, metric_points, bbox_clip, logit_binary_relevance)}
+QUERIES = {f.__name__: f for f in (panel_lag_lead, panel_all_classes, panel_complete, panel_waves, expanding_folds, target_year_split, fold_leaks, avg_precision_by_class, roc_auc_by_class, brier_skill, macro_by_bin, season_vs_all, prediction_long, month_spine_fill, series_corr, season_end_value, quartile_dominance, metric_points, bbox_clip, macro_by_month, *SLICE_QUERIES)}
 
-_GRID = f"""
-    e AS (SELECT nuts3_id, CAST(date_trunc('month', publication_date) AS DATE) AS year_month, max(CASE WHEN classification = 'Irrigation Shortage' THEN 1 ELSE 0 END) AS c0, max(CASE WHEN classification = 'Wildfire Occurrence' THEN 1 ELSE 0 END) AS c1,
-                 max(CASE WHEN classification = 'Social Impacts' THEN 1 ELSE 0 END) AS c2 FROM impacts_geocoded_points WHERE nuts3_id IS NOT NULL AND publication_date IS NOT NULL AND recency_in_months = 0 GROUP BY ALL),
-    m AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS year_month),
-    g AS (SELECT nuts_id AS nuts3_id, m.year_month FROM nuts_regions, m WHERE level = 3),
-    p AS (SELECT g.nuts3_id, g.year_month, CASE WHEN c0 IS NULL THEN 0 ELSE 1 END AS has_impact, coalesce(c0, 0) AS class_0, coalesce(c1, 0) AS class_1, coalesce(c2, 0) AS class_2 FROM g LEFT JOIN e USING (nuts3_id, year_month)),
-    f AS (SELECT *, """ + ", ".join([f"lag({c}) OVER w AS {c}_lag1" for c in ("has_impact", "class_0")] + [f"lead({c}, {h}) OVER w AS {c}_h{h}" for c in ("has_impact", "class_0") for h in range(4)]) + " FROM p WINDOW w AS (PARTITION BY nuts3_id ORDER BY year_month))"
+_MONTHS = f"""m AS (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 MONTH)) AS DATE) AS year_month), g AS (SELECT DISTINCT nuts_id AS nuts3_id, m.year_month FROM nuts_regions, m WHERE level = 3)"""
 _P = """p AS (SELECT classification AS class, CASE WHEN severity >= 2 THEN 1 ELSE 0 END AS y, (row_id * 7919 + severity * 211) % 1000 / 1000.0::DOUBLE AS s, month(publication_date) AS month,
-    CASE WHEN confidence * 4 - 2 <= -1 THEN 'dry' WHEN confidence * 4 - 2 >= 1 THEN 'wet' ELSE 'near_normal' END AS drought_bin FROM impacts_geocoded_points WHERE severity IS NOT NULL AND classification IS NOT NULL)"""
+    CASE WHEN confidence * 4 - 2 <= -1 THEN 'dry' WHEN confidence * 4 - 2 >= 1 THEN 'wet' ELSE 'near_normal' END AS drought_bin, nuts3_id FROM impacts_geocoded_points WHERE severity IS NOT NULL AND classification IS NOT NULL)"""
 
 
 def _ap(keys: str, source: str, name: str) -> str:
@@ -178,8 +185,8 @@ def _ap(keys: str, source: str, name: str) -> str:
     {name} AS (SELECT {keys}, CASE WHEN max(pos) > 0 AND max(pos) < max(al) THEN sum(tp / pos * ctp / cn) END AS ap, sum((ctp - tp) * (n - tp) + tp * (n - tp) / 2) / nullif(max(pos) * (max(al) - max(pos)), 0) AS auc FROM {name}_c GROUP BY ALL)"""
 
 
-def _scores(keys: str) -> str:
-    return f"""q AS (SELECT {keys}, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, avg(y) AS prevalence, avg(s) AS mean_pred, avg((s - y) * (s - y)) AS brier, CAST(count(*) FILTER (s >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (s >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (s < 0.5 AND y = 1) AS DOUBLE) AS fn FROM p GROUP BY ALL),
+def _scores(keys: str, source: str = "p") -> str:
+    return f"""q AS (SELECT {keys}, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, avg(y) AS prevalence, avg(s) AS mean_pred, avg((s - y) * (s - y)) AS brier, CAST(count(*) FILTER (s >= 0.5 AND y = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (s >= 0.5 AND y = 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (s < 0.5 AND y = 1) AS DOUBLE) AS fn FROM {source} GROUP BY ALL),
     r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM q),
     z AS (SELECT r.*, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, CASE WHEN n_pos >= 5 THEN a.ap END AS ap, CASE WHEN n_pos >= 5 THEN a.ap END - prevalence AS skill FROM r JOIN a USING ({keys}))"""
 
@@ -202,22 +209,24 @@ def _all_classes() -> str:
 
 ORACLES = {
     "panel_all_classes": _all_classes(),
-    "panel_lag_lead": f"WITH {_GRID} SELECT * FROM f",
-    "panel_complete": f"WITH {_GRID} SELECT CAST(year(year_month) AS INT) AS year, count(*) AS n, CAST(sum(has_impact) AS BIGINT) AS n_impact FROM f WHERE has_impact_lag1 IS NOT NULL AND has_impact_h0 IS NOT NULL AND has_impact_h1 IS NOT NULL AND has_impact_h2 IS NOT NULL AND has_impact_h3 IS NOT NULL GROUP BY 1",
-    "panel_waves": f"WITH m AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS year_month) SELECT year_month, round(sin(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_sin, round(cos(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_cos FROM m",
+    "panel_lag_lead": "SELECT nuts3_id, year_month, has_impact, has_impact_lag1, has_impact_h0, has_impact_h1, has_impact_h2, has_impact_h3 FROM (" + _all_classes() + ")",
+    "panel_complete": "SELECT CAST(year(year_month) AS INT) AS year, count(*) AS n, CAST(sum(has_impact) AS BIGINT) AS n_impact FROM (" + _all_classes() + ") GROUP BY 1",
+    "panel_waves": f"WITH {_MONTHS} SELECT year_month, round(sin(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_sin, round(cos(month(year_month) * 2 * pi() / 12), 8) + 0.0 AS month_cos FROM m",
     "expanding_folds": f"""
-        WITH {_GRID}, t AS (SELECT year_month, year(year_month + INTERVAL 1 MONTH) AS ty FROM g), k AS (SELECT CAST(i AS INT) AS fold, CAST(2020 + i AS INT) AS valid_year FROM range(4) r(i))
+        WITH {_MONTHS}, t AS (SELECT year_month, year(year_month + INTERVAL 1 MONTH) AS ty FROM g), k AS (SELECT CAST(i AS INT) AS fold, CAST(2020 + i AS INT) AS valid_year FROM range(4) r(i))
         SELECT fold, valid_year, CASE WHEN ty = valid_year THEN 'valid' ELSE 'train' END AS part, count(*) AS n, min(year_month) AS first_month, max(year_month) AS last_month FROM t JOIN k ON ty <= valid_year GROUP BY ALL""",
     "target_year_split": f"""
-        WITH {_GRID}, h AS (SELECT CAST(i AS INT) AS horizon FROM range(4) r(i)), t AS (SELECT horizon, year(year_month + to_months(horizon)) AS ty FROM g, h)
-        SELECT horizon, CASE WHEN ty <= 2021 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM t WHERE ty <= 2023 GROUP BY ALL""",
+        WITH {_MONTHS}, h AS (SELECT CAST(i AS INT) AS horizon FROM range(4) r(i)), t AS (SELECT horizon, year(year_month + to_months(horizon)) AS ty FROM g, h)
+        SELECT horizon, CASE WHEN ty <= 2023 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM t WHERE ty <= 2025 GROUP BY ALL""",
     "fold_leaks": "SELECT CAST(NULL AS VARCHAR) AS nuts3_id, CAST(NULL AS DATE) AS year_month, CAST(NULL AS INT) AS fold WHERE false",
     "avg_precision_by_class": f"WITH {_P}, {_ap('class', 'p', 'a')} SELECT class, round(ap, 8) AS ap FROM a",
     "roc_auc_by_class": f"WITH {_P}, {_ap('class', 'p', 'a')} SELECT class, round(auc, 8) AS auc FROM a",
     "brier_skill": f"WITH {_P}, {_ap('class', 'p', 'a')}, {_scores('class')} SELECT class, n, n_pos, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("prevalence", "mean_pred", "brier", "precision", "recall", "f1", "ap", "skill")) + ", coalesce(skill >= 0.15 AND ap >= 0.25, false) AS predictable FROM z",
     "macro_by_bin": f"WITH {_P}, {_ap('class, drought_bin', 'p', 'a')}, {_scores('class, drought_bin')} SELECT drought_bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_pos) AS BIGINT) AS n_pos, count(*) AS n_classes, count(ap) AS n_scored, round(avg(ap), 8) AS macro_ap, round(avg(skill), 8) AS macro_skill, round(avg(brier), 8) AS macro_brier FROM z GROUP BY 1",
     "season_vs_all": f"WITH {_P}, j AS (SELECT * FROM p WHERE month IN (6, 7, 8)), {_ap('class', 'p', 'a')}, {_ap('class', 'j', 'b')} SELECT coalesce(a.class, b.class) AS class, round(a.ap, 8) AS ap_all, round(b.ap, 8) AS ap_jja, round(b.ap - a.ap, 8) AS delta FROM a FULL JOIN b ON a.class = b.class",
-    "prediction_long": f"WITH {_GRID} SELECT class, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM (SELECT 'class_0' AS class, class_0 AS y FROM p UNION ALL SELECT 'class_1', class_1 FROM p UNION ALL SELECT 'class_2', class_2 FROM p) GROUP BY 1",
+    "prediction_long": " UNION ALL ".join(f"SELECT 'class_{i}' AS class, count(*) AS n, CAST(sum(class_{i}) AS BIGINT) AS n_pos FROM ({_all_classes()})" for i in range(len(domain.THEMES))),
+    "macro_by_month": f"WITH {_P}, pm AS (SELECT * FROM p WHERE month IS NOT NULL), {_ap('class, month', 'pm', 'a')}, {_scores('class, month', 'pm')} SELECT CAST(month AS INT) AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_pos) AS BIGINT) AS n_pos, count(*) AS n_classes, count(ap) AS n_scored, round(avg(ap), 8) AS macro_ap, round(avg(skill), 8) AS macro_skill, round(avg(brier), 8) AS macro_brier FROM z GROUP BY 1",
+    **{f"slices_by_{'_'.join(k)}": f"WITH {_P}, pm AS (SELECT * FROM p WHERE month IS NOT NULL AND nuts3_id IS NOT NULL), {_ap(', '.join(k), 'pm', 'a')}, {_scores(', '.join(k), 'pm')} SELECT {', '.join(k)}, n, n_pos, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("prevalence", "mean_pred", "brier", "ap", "skill")) + " FROM z" for k in SLICES},
     "month_spine_fill": """
         WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
         s AS (SELECT month, coalesce(n, 0) AS n FROM m LEFT JOIN o USING (month)) SELECT month, n, round(CASE WHEN max(n) OVER () <> min(n) OVER () THEN (n - min(n) OVER ()) / CAST(max(n) OVER () - min(n) OVER () AS DOUBLE) ELSE 0 END, 8) AS scaled FROM s""",

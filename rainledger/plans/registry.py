@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rainledger.plans import article_queries, impact_queries, panel_queries, place_queries, record_queries, report_queries
+from rainledger.plans import article_queries, impact_queries, model_queries, panel_queries, place_queries, record_queries, report_queries
 
-_MODULES = [impact_queries, article_queries, panel_queries, place_queries, record_queries, report_queries]
+_MODULES = [impact_queries, article_queries, panel_queries, model_queries, place_queries, record_queries, report_queries]
 
 flagship = impact_queries.region_month_weighted
 
