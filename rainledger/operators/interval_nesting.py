@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
     "answer_id bigint, kind string, pre int, post int, parent_pre int, pos int, reasoning string, location string, recency_in_months string,"
-    " classification string, severity string, evidence string, confidence string"
+    " classification string, severity string, evidence string, confidence string, evidence_found_verbatim string"
 )
 _EVENT_FIELDS = ("reasoning", "location", "recency_in_months")
-_IMPACT_FIELDS = ("classification", "severity", "evidence", "confidence")
+_IMPACT_FIELDS = ("classification", "severity", "evidence", "confidence", "evidence_found_verbatim")
 _OPENING = re.compile(r"[{\[]")
 _FENCE = re.compile(r"```[A-Za-z]*\s*(.*?)```", re.S)
 _INVALID = object()
@@ -66,25 +67,23 @@ def _has(node: dict, names: tuple[str, ...]) -> bool:
     return any(k.lower() in names for k in node)
 
 
-def _find_events(value, depth: int = 0):
-    """The array of events of an answer, through strings of JSON, wrappers and single objects; None if there is none."""
-    if depth > 50:
-        return None
+def _find_events(value):
+    """The array of events of an answer, through strings of JSON, wrappers and single objects of any depth; None if there is none."""
     if isinstance(value, str):
         inner = _decode(value) if _OPENING.search(value) else _INVALID
-        return None if inner is _INVALID else _find_events(inner, depth + 1)
+        return None if inner is _INVALID else _find_events(inner)
     if isinstance(value, list):
         if len(value) == 1 and isinstance(value[0], (dict, str)) and not (isinstance(value[0], dict) and _has(value[0], _EVENT_FIELDS + _IMPACT_FIELDS + ("impacts",))):
-            return _find_events(value[0], depth + 1)
+            return _find_events(value[0])
         return value
     if isinstance(value, dict):
         if _has(value, ("events",)):
             events = _field(value, "events")
-            return _find_events(events, depth + 1) if isinstance(events, str) else _items(events)
+            return _find_events(events) if isinstance(events, str) else _items(events)
         if _has(value, _EVENT_FIELDS + _IMPACT_FIELDS + ("impacts",)):
             return [value]
         for inner in value.values():
-            if isinstance(inner, (dict, list, str)) and (found := _find_events(inner, depth + 1)) is not None and not (isinstance(inner, list) and not any(isinstance(x, dict) for x in inner)):
+            if isinstance(inner, (dict, list, str)) and (found := _find_events(inner)) is not None and not (isinstance(inner, list) and not any(isinstance(x, dict) for x in inner)):
                 return found
     return None
 
@@ -128,12 +127,13 @@ def label_answer(answer_id: int, events: list):
 def answer_nodes(answers: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """Node table of all answers (see NODE_SCHEMA), made in one pass without a shuffle.
 
-    A null, empty, invalid or cut-off payload has no nodes at all; a valid one without events has its
+    A null, empty, invalid or cut-off payload, or one nested deeper than the JSON parser reads, has no nodes at all; a valid one without events has its
     answer node alone. Null array entries keep their position but are no nodes. A field whose value is
     no string is given as JSON text. Repeated ids give repeated nodes.
     """
 
     def run(batches):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
         schema = pa.schema([(name, {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())) for name, kind in (part.split() for part in NODE_SCHEMA.split(","))])
         for batch in batches:
             rows = []

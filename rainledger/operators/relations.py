@@ -50,12 +50,12 @@ def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def multiset_match(gold: DataFrame, predicted: DataFrame, keys: list[str], within: str) -> DataFrame:
+def multiset_match(gold: DataFrame, predicted: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
     """(within, n_gold, n_predicted, n_match): matches of two bags, each row at most once. Bags are compared by counts."""
-    cols = [within, *keys]
+    cols = [*within, *keys]
     bag = gold.select(*cols, F.lit(1).alias("g"), F.lit(0).alias("p")).unionAll(predicted.select(*cols, F.lit(0), F.lit(1)))
     both = bag.groupBy(*cols).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))  # null keys are equal in a group
-    return both.groupBy(within).agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"), F.sum(F.least("g", "p")).alias("n_match"))
+    return both.groupBy(*within).agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_predicted"), F.sum(F.least("g", "p")).alias("n_match"))
 
 
 def cooccurrence(df: DataFrame, keys: list[str], item: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainledger.functions import articles, text
+from rainledger.functions import articles, domain, text
 from rainledger.operators import extraction, relations, similarity
 from rainledger.operators.graph import components
 from rainledger.storage import Workspace, table
@@ -14,7 +14,7 @@ from rainledger.storage import Workspace, table
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per article: the nested record flattened, the smallest row of each id."""
     rows = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("article_id"), "id", F.col("meta.source").alias("source"), F.col("meta.original_filename").alias("filename"), F.col("features.title").alias("title"), "text_content", F.col("features.clean_text").alias("clean_text"), F.col("features.source_zip").alias("source_zip"), F.col("features.publication_date").alias("publication_date"))
-    return rows.dropDuplicates(["article_id"])
+    return relations.first_by(rows, ["article_id"], [F.col("id"), F.col("source_zip"), F.col("filename"), F.col("source")], [c for c in rows.columns if c != "article_id"])
 
 
 def text_clean_features(spark, sf_dir):
@@ -48,9 +48,9 @@ def near_dup_pairs(spark, sf_dir):
 
 
 def near_dup_greedy(spark, sf_dir):
-    """Documents dropped for a kept one before them."""
+    """Documents dropped for a kept one before them, and those without a word."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return similarity.keep_greedily(similarity.similar_pairs(rows), rows.select("id")).where("kept_id is not null").select("id", "kept_id", F.round("sim", 4).alias("sim"))
+    return similarity.removal_report(rows, similarity.similar_pairs(rows)).select("id", "kept_id", F.round("sim", 4).alias("sim"), "reason")
 
 
 def title_clusters(spark, sf_dir):
@@ -75,6 +75,12 @@ def answer_validation(spark, sf_dir):
     return rows.select("extraction_id", F.when(F.col("error").startswith("Error:"), "error").otherwise(F.coalesce("error", F.lit("valid"))).alias("outcome"), F.size("events").alias("n_events"))
 
 
+def good_articles(spark, sf_dir):
+    """Articles whose body is at least 0.30 of their text."""
+    rows = articles.enrich_articles(_articles(spark, sf_dir).select("article_id", "text_content"), "text_content")
+    return articles.good_articles(rows).select("article_id", "clean_text_ratio")
+
+
 def evidence_check(spark, sf_dir):
     """Impacts per article and those whose evidence stands in the title or text."""
     rows = table(spark, sf_dir, "sample_impacts").where("features.llm_drought_impacts is not null").select(F.col("features.article_id").alias("article_id"), "model_name", F.col("features.title").alias("title"), "text_content", F.col("features.llm_drought_impacts").alias("events")).distinct()
@@ -91,12 +97,16 @@ def extraction_totals(spark, sf_dir):
 
 
 def multiset_prf(spark, sf_dir):
-    """Precision, recall and F1 of one model's (location, class) bag against another's, per article of both."""
-    rows = table(spark, sf_dir, "impacts_geocoded_points").where("article_id is not null").select("article_id", "model_name", "location", "classification")
-    gold, predicted = rows.where("model_name = 'aurora/reader-large'"), rows.where("model_name = 'polder/news-7'")
-    m = relations.multiset_match(gold, predicted, ["location", "classification"], "article_id")
+    """Precision, recall and F1 of each model's (location, class) bag against the largest model's, per article of either."""
+    rows = table(spark, sf_dir, "impacts_geocoded_points").where("article_id is not null and model_name is not null").select("article_id", "model_name", "location", "classification")
+    reference = F.broadcast(relations.first_by(rows.groupBy("model_name").agg(F.count("*").alias("n")).withColumn("one", F.lit(1)), ["one"], [-F.col("n"), F.col("model_name")], [F.col("model_name").alias("reference")]).select("reference"))
+    # the bag of the reference stands beside each other model: counted first, so it is small
+    others = F.broadcast(rows.select("model_name").distinct().join(reference, F.col("model_name") != F.col("reference")).select("model_name"))
+    gold = rows.join(reference, F.col("model_name") == F.col("reference"), "left_semi").drop("model_name").crossJoin(others)
+    predicted = rows.join(others, "model_name", "left_semi")
+    m = relations.multiset_match(gold, predicted, ["location", "classification"], ["model_name", "article_id"])
     p, r = F.col("n_match") / F.nullif(F.col("n_predicted"), F.lit(0)), F.col("n_match") / F.nullif(F.col("n_gold"), F.lit(0))
-    return m.select("article_id", "n_gold", "n_predicted", "n_match", F.round(p, 8).alias("precision"), F.round(r, 8).alias("recall"))
+    return m.select("model_name", "article_id", "n_gold", "n_predicted", "n_match", F.round(p, 8).alias("precision"), F.round(r, 8).alias("recall"), F.round(domain.f1(p, r), 8).alias("f1"))
 
 
 def model_precision(spark, sf_dir):
@@ -151,7 +161,7 @@ def set_difference(spark, sf_dir):
     return a.exceptAll(b).withColumn("kind", F.lit("only")).unionAll(a.intersect(b).withColumn("kind", F.lit("both")))
 
 
-QUERIES = {f.__name__: f for f in (text_clean_features, shingle_counts, article_enrichment, exact_dedup, near_dup_pairs, near_dup_greedy, title_clusters, medoid_dedup, answer_validation, evidence_check, extraction_totals, multiset_prf, model_precision, corpus_text, title_lookup, batch_manifest, semi_anti_pending, label_upsert, union_by_name, set_difference)}
+QUERIES = {f.__name__: f for f in (text_clean_features, shingle_counts, article_enrichment, exact_dedup, near_dup_pairs, near_dup_greedy, title_clusters, medoid_dedup, answer_validation, good_articles, evidence_check, extraction_totals, multiset_prf, model_precision, corpus_text, title_lookup, batch_manifest, semi_anti_pending, label_upsert, union_by_name, set_difference)}
 
 _A = "(SELECT DISTINCT features.article_id AS article_id, id, meta.original_filename AS filename, features.title AS title, text_content, features.clean_text AS clean_text, features.source_zip AS source_zip, features.publication_date AS publication_date FROM sample_impacts)"
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
@@ -186,12 +196,13 @@ ORACLES = {
         SELECT model_name, count(*) AS n, count(features.llm_drought_impact_error) AS n_errors, CAST(sum(coalesce(len(features.llm_drought_impacts), 0)) AS BIGINT) AS n_events,
                CAST(sum(coalesce(list_sum(list_transform(features.llm_drought_impacts, lambda e: coalesce(len(e.impacts), 0))), 0)) AS BIGINT) AS n_impacts FROM sample_impacts GROUP BY 1""",
     "multiset_prf": """
-        WITH r AS (SELECT article_id, model_name, location, classification FROM impacts_geocoded_points WHERE article_id IS NOT NULL),
-        g AS (SELECT article_id, location, classification, count(*) AS g FROM r WHERE model_name = 'aurora/reader-large' GROUP BY ALL),
-        p AS (SELECT article_id, location, classification, count(*) AS p FROM r WHERE model_name = 'polder/news-7' GROUP BY ALL),
-        b AS (SELECT coalesce(g.article_id, p.article_id) AS article_id, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p ON g.article_id = p.article_id AND g.location IS NOT DISTINCT FROM p.location AND g.classification IS NOT DISTINCT FROM p.classification),
-        s AS (SELECT article_id, CAST(sum(g) AS BIGINT) AS n_gold, CAST(sum(p) AS BIGINT) AS n_predicted, CAST(sum(least(g, p)) AS BIGINT) AS n_match FROM b GROUP BY 1)
-        SELECT *, round(n_match / nullif(n_predicted, 0), 8) AS precision, round(n_match / nullif(n_gold, 0), 8) AS recall FROM s""",
+        WITH r AS (SELECT article_id, model_name, location, classification FROM impacts_geocoded_points WHERE article_id IS NOT NULL AND model_name IS NOT NULL),
+        f AS (SELECT model_name FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), m AS (SELECT DISTINCT model_name FROM r WHERE model_name NOT IN (FROM f)),
+        g AS (SELECT m.model_name, article_id, location, classification, count(*) AS g FROM r, m WHERE r.model_name IN (FROM f) GROUP BY ALL),
+        p AS (SELECT model_name, article_id, location, classification, count(*) AS p FROM r WHERE model_name IN (FROM m) GROUP BY ALL),
+        b AS (SELECT coalesce(g.model_name, p.model_name) AS model_name, coalesce(g.article_id, p.article_id) AS article_id, coalesce(g, 0) AS g, coalesce(p, 0) AS p FROM g FULL JOIN p ON g.model_name = p.model_name AND g.article_id = p.article_id AND g.location IS NOT DISTINCT FROM p.location AND g.classification IS NOT DISTINCT FROM p.classification),
+        s AS (SELECT model_name, article_id, CAST(sum(g) AS BIGINT) AS n_gold, CAST(sum(p) AS BIGINT) AS n_predicted, CAST(sum(least(g, p)) AS BIGINT) AS n_match FROM b GROUP BY 1, 2)
+        SELECT *, round(n_match / nullif(n_predicted, 0), 8) AS precision, round(n_match / nullif(n_gold, 0), 8) AS recall, round(2.0::DOUBLE * n_match / nullif(CASE WHEN n_match > 0 THEN n_gold + n_predicted END, 0), 8) AS f1 FROM s""",
     "model_precision": """
         WITH m AS (SELECT unnest(['aurora/reader-large', 'aurora/reader-mini', 'delta/extract-2', 'polder/news-7', 'none/absent']) AS model_name),
         s AS (SELECT model_name, count(*) FILTER (confidence >= 0.5) AS tp, count(*) FILTER (confidence < 0.5) AS fp FROM impacts_geocoded_points GROUP BY 1)
@@ -204,3 +215,18 @@ ORACLES = {
     "union_by_name": "SELECT s_name AS name, s_acctbal AS balance, CAST(NULL AS INT) AS region FROM supplier UNION ALL SELECT n_name, NULL, n_regionkey FROM nation",
     "set_difference": "WITH a AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), b AS (SELECT DISTINCT meta.source AS source FROM sample_impacts WHERE meta.source IS NOT NULL) SELECT source, CASE WHEN b.source IS NULL THEN 'only' ELSE 'both' END AS kind FROM a LEFT JOIN b USING (source)",
 }
+
+_TITLE = "trim(regexp_replace(lower(coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: regexp_replace(x, '^[\\s\\x0b\\x85\\p{Z}]+|[\\s\\x0b\\x85\\p{Z}]+$', '', 'g')), lambda x: x <> '')[1], '')), '[\\s\\x0b\\x85\\p{Z}]+', ' ', 'g'))"
+ORACLES["near_dup_greedy"] = f"""
+        WITH RECURSIVE p AS ({ORACLES["near_dup_pairs"]}),
+        o AS (SELECT id, coalesce(list(a) FILTER (a IS NOT NULL), []) AS prev, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p)) LEFT JOIN p ON b = id GROUP BY id),
+        w(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.k, CASE WHEN len(list_intersect(w.kept, o.prev)) > 0 THEN w.kept ELSE list_append(w.kept, o.id) END FROM w JOIN o ON o.k = w.k + 1),
+        s AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM w ORDER BY k DESC LIMIT 1)),
+        d AS (SELECT b AS id, a AS kept_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY sim DESC, a) AS n FROM p WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s)) WHERE n = 1)
+        SELECT id, kept_id, round(sim, 4) AS sim, 'near_duplicate' AS reason FROM d UNION ALL SELECT doc_id, NULL, NULL, 'empty_text' FROM documents WHERE text IS NULL OR len({_W}) = 0"""
+ORACLES["title_clusters"] = f"""
+        WITH RECURSIVE t AS (SELECT doc_id AS id, {_TITLE} AS title FROM documents WHERE text IS NOT NULL), f AS (SELECT title, min(id) AS rep, count(*) AS n, string_split(title, ' ') AS w FROM t WHERE title <> '' GROUP BY title),
+        g AS (SELECT rep, n, w[1] AS word, list_distinct(CASE WHEN len(w) < 3 THEN [title] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM f),
+        e AS (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.word = b.word AND a.rep <> b.rep WHERE len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) >= 0.85),
+        r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a), m AS (SELECT id AS rep, least(id, min(other)) AS root FROM r GROUP BY id)
+        SELECT coalesce(root, f.rep) AS cluster, t.id FROM t JOIN f USING (title) LEFT JOIN m ON m.rep = f.rep WHERE root IS NOT NULL OR n > 1"""

@@ -163,7 +163,7 @@ def location_cache_join(spark, sf_dir):
 def late_rows_last(spark, sf_dir):
     """Of rows delivered again the last loaded one, per article, model and impact."""
     keys = ["article_id", "model_name", "impact_index"]
-    return relations.first_by(_impacts(spark, sf_dir).where("model_name is not null"), keys, [-F.unix_micros(F.col("loaded_at").cast("timestamp")), F.col("row_id")], ["row_id"])
+    return relations.first_by(_impacts(spark, sf_dir), keys, [-F.unix_micros(F.col("loaded_at").cast("timestamp")), F.col("row_id")], ["row_id"])
 
 
 def pivot_class_month(spark, sf_dir):
@@ -269,7 +269,7 @@ ORACLES = {
         WITH r AS (SELECT location AS mention, row_id, geocoded_osm_id AS osm_id, geocoded_place_type AS place_type, CASE WHEN trim(geocoded_place_type) <> '' THEN {_RANK} ELSE 50 END AS place_rank FROM {_I} WHERE location IS NOT NULL)
         SELECT mention, osm_id, place_type, place_rank FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY place_rank DESC, row_id) AS k FROM r) WHERE k = 1""",
     "location_cache_join": f"SELECT location, count(*) AS n, count(*) FILTER (geocoded_latitude IS DISTINCT FROM f) AS n_other FROM (SELECT location, geocoded_latitude, first_value(geocoded_latitude) OVER (PARTITION BY location ORDER BY row_id) AS f FROM {_I} WHERE location IS NOT NULL) GROUP BY 1",
-    "late_rows_last": f"SELECT article_id, model_name, impact_index, row_id FROM (SELECT *, row_number() OVER (PARTITION BY article_id, model_name, impact_index ORDER BY loaded_at DESC NULLS LAST, row_id) AS k FROM {_I} WHERE model_name IS NOT NULL) WHERE k = 1",
+    "late_rows_last": f"SELECT article_id, model_name, impact_index, row_id FROM (SELECT *, row_number() OVER (PARTITION BY article_id, model_name, impact_index ORDER BY loaded_at DESC NULLS LAST, row_id) AS k FROM {_I}) WHERE k = 1",
     "pivot_class_month": f"SELECT CAST(month(publication_date) AS INT) AS month, " + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c.lower().replace(' ', '_')}" for c in ("Irrigation Shortage", "Wildfire Occurrence", "Social Impacts")) + f" FROM {_I} WHERE publication_date IS NOT NULL AND classification IN ('Irrigation Shortage', 'Wildfire Occurrence', 'Social Impacts') GROUP BY 1",
     "category_fractions": "SELECT nuts3_id, " + ", ".join(f"round(CAST(count(*) FILTER (nuts_level = '{x}') AS DOUBLE) / count(*), 8) AS {x}_fraction" for x in ("nuts3", "nuts2", "country", "non_nl", "none")) + f" FROM {_I} WHERE nuts3_id IS NOT NULL AND nuts_level IN ('nuts3', 'nuts2', 'country', 'non_nl', 'none') GROUP BY 1",
     "mention_weights": f"""

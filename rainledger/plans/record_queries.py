@@ -40,29 +40,44 @@ def p7_answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes_of(nodes, "event").withColumnRenamed("answer_id", "extraction_id").withColumnRenamed("pos", "event_pos")
 
 
-def p7_article_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested column of sample_impacts as a flat impact table; an event without impacts keeps one row (-1)."""
+def _article_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Node table of the nested column of sample_impacts and the answers (answer_id, article_id, model_name) it belongs to."""
     rows = table(spark, sf_dir, "sample_impacts").select(F.col("features.article_id").alias("article_id"), "model_name", F.col("features.llm_drought_impacts").alias("events")).distinct()
-    events = rows.select("article_id", "model_name", F.posexplode("events").alias("event_pos", "event")).where("event is not null")
-    flat = events.select("article_id", "model_name", "event_pos", F.col("event.location").alias("location"), F.posexplode_outer("event.impacts").alias("impact_pos", "impact"))
-    return flat.select(
-        "article_id", "model_name", "event_pos", "location", F.coalesce("impact_pos", F.lit(-1)).alias("impact_pos"),
-        F.col("impact.classification").alias("classification"), F.col("impact.severity").alias("severity"), F.col("impact.confidence").alias("confidence"),
+    ws = Workspace(spark, "article-answers")
+    rows = ws.write("rows", rows.select(F.monotonically_increasing_id().alias("answer_id"), "article_id", "model_name", F.to_json(F.struct("events")).alias("payload")))
+    return ws.write("nodes", answer_nodes(rows, "answer_id", "payload")), rows.drop("payload")
+
+
+def p7_article_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested column of sample_impacts as a flat impact table, linked by intervals; an event without impacts keeps one row (-1)."""
+    nodes, answers = _article_nodes(spark, sf_dir)
+    linked = within(nodes_of(nodes, "impact"), nodes_of(nodes, "event"), "right").join(answers, "answer_id")
+    return linked.select(
+        "article_id", "model_name", F.col("outer_pos").alias("event_pos"), F.coalesce("pos", F.lit(-1)).alias("impact_pos"), "classification", F.col("severity").cast("int").alias("severity"), "evidence",
+        F.col("confidence").cast("double").alias("confidence"), F.col("evidence_found_verbatim").cast("boolean").alias("evidence_found_verbatim"),
     )
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_answer_events": p7_answer_events, "p7_article_impacts": p7_article_impacts}
+def p7_article_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the nested column of sample_impacts with all their fields."""
+    nodes, answers = _article_nodes(spark, sf_dir)
+    rows = nodes_of(nodes, "event").join(answers, "answer_id")
+    return rows.select("article_id", "model_name", F.col("pos").alias("event_pos"), "reasoning", "location", F.col("recency_in_months").cast("int").alias("recency_in_months"))
 
-ORACLES = {
-    "p7_article_impacts": """
+
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found, "p7_answer_events": p7_answer_events, "p7_article_impacts": p7_article_impacts, "p7_article_events": p7_article_events}
+
+_ARTICLE_EVENTS = """
         WITH r AS (SELECT DISTINCT features.article_id AS article_id, model_name, features.llm_drought_impacts AS events FROM sample_impacts),
         e AS (SELECT article_id, model_name, CAST(i - 1 AS INT) AS event_pos, events[i] AS event FROM (SELECT *, unnest(range(1, len(events) + 1)) AS i FROM r)),
-        k AS (SELECT * FROM e WHERE event IS NOT NULL),
-        x AS (SELECT article_id, model_name, event_pos, event.location AS location, CAST(j - 1 AS INT) AS impact_pos, event.impacts[j] AS impact
-              FROM (SELECT *, unnest(range(1, len(event.impacts) + 1)) AS j FROM k))
-        SELECT article_id, model_name, event_pos, location, impact_pos, impact.classification AS classification, impact.severity AS severity, impact.confidence AS confidence FROM x
+        k AS (SELECT * FROM e WHERE event IS NOT NULL)"""
+ORACLES = {
+    "p7_article_events": _ARTICLE_EVENTS + " SELECT article_id, model_name, event_pos, event.reasoning AS reasoning, event.location AS location, event.recency_in_months AS recency_in_months FROM k",
+    "p7_article_impacts": _ARTICLE_EVENTS + """,
+        x AS (SELECT article_id, model_name, event_pos, CAST(j - 1 AS INT) AS impact_pos, event.impacts[j] AS impact FROM (SELECT *, unnest(range(1, len(event.impacts) + 1)) AS j FROM k))
+        SELECT article_id, model_name, event_pos, impact_pos, impact.classification AS classification, impact.severity AS severity, impact.evidence AS evidence, impact.confidence AS confidence, impact.evidence_found_verbatim AS evidence_found_verbatim FROM x WHERE impact IS NOT NULL
         UNION ALL
-        SELECT article_id, model_name, event_pos, event.location, -1, NULL, NULL, NULL FROM k WHERE event.impacts IS NULL OR len(event.impacts) = 0""",
+        SELECT article_id, model_name, event_pos, -1, NULL, NULL, NULL, NULL, NULL FROM k WHERE len(list_filter(coalesce(event.impacts, []), lambda i: i IS NOT NULL)) = 0""",
     "p6_found": """
         WITH p AS (SELECT row_id, geocoded_latitude AS y, geocoded_longitude AS x FROM impacts_geocoded_points WHERE geocoded_latitude BETWEEN -90 AND 90 AND geocoded_longitude BETWEEN -180 AND 180),
         r AS (SELECT nuts_id, unnest(rings) AS ring FROM nuts_regions WHERE level = 3),
