@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries up to which the list is sent to all workers; a longer one is refused.
+from rainledger.storage import Workspace
+
+#: Entries that are sent to the workers at once; a longer list is searched part by part.
 MOST_ENTRIES = 200_000
 #: Resolved values that a worker keeps.
 MEMO = 300_000
@@ -159,47 +161,54 @@ class Resolver:
 
     def resolve(self, value: str, regions: bool = False) -> str:
         """The ref_id, or NONE. With `regions` only entries of kind region can be meant."""
+        found = self.ranked(value, regions)
+        return found[-1] if found else NONE
+
+    def ranked(self, value: str, regions: bool = False) -> tuple | None:
+        """(step, fuzzy, less words, no place, distance, ref_id) of the entry that a value means, None if it means none.
+
+        The smallest of the ranks that parts of a list give is the rank that the whole list gives: steps follow each
+        other only where all before found nothing.
+        """
         value = _repair(value)
         whole = tokens_of(value)
         pieces = [t for p in _SPLIT.split(value) if (t := tokens_of(p))]
         plain = _stripped(whole)
         tries = [whole, plain, [t for t in plain if t not in _AMID]]
-        for tokens in tries:
-            if tokens and (hit := self._whole(tokens, regions, False)):
-                return hit[2]
-        for tokens in tries:
-            if tokens and (hit := self._whole(tokens, regions, True)):
-                return hit[2]
+        for fuzzy in (False, True):
+            for i, tokens in enumerate(tries):
+                if tokens and (hit := self._whole(tokens, regions, fuzzy)):
+                    return (3 * fuzzy + i, 0, 0, hit[1] != "place", hit[0], hit[2])
         hits = []
         for fuzzy in (False, True):
             for piece in pieces if len(pieces) > 1 else ():
                 for tokens in (piece, _stripped(piece)):
                     if tokens and (hit := self._whole(tokens, regions, fuzzy)):
-                        hits.append(hit)
-            if any(h[1] == "place" for h in hits):
+                        hits.append((6, 0, 0, hit[1] != "place", hit[0], hit[2]))
+            if any(not h[3] for h in hits):
                 break
-        if not hits:
-            # a name within other words: the longest run of tokens that is a name, then one that is nearly a name
-            for fuzzy in (False, True):
-                for size in range(min(len(whole) - 1, self.longest), 0, -1):
-                    for i in range(len(whole) - size + 1):
-                        run = whole[i : i + size]
-                        if (not fuzzy or len(" ".join(run)) >= 8) and (hit := self._whole(run, regions, fuzzy)):
-                            hits.append(hit)
-                    if hits:
-                        break
+        if hits:
+            return min(hits)
+        # a name within other words: the longest run of tokens that is a name, then one that is nearly a name
+        for fuzzy in (False, True):
+            for size in range(min(len(whole) - 1, self.longest), 0, -1):
+                for i in range(len(whole) - size + 1):
+                    run = whole[i : i + size]
+                    if (not fuzzy or len(" ".join(run)) >= 8) and (hit := self._whole(run, regions, fuzzy)):
+                        hits.append((7, int(fuzzy), -size, hit[1] != "place", hit[0], hit[2]))
                 if hits:
-                    break
-        best = min(hits, key=lambda h: (h[1] != "place", h[0], h[2]), default=None)
-        return best[2] if best else NONE
+                    return min(hits)
+        return None
 
 
-def entries_of(reference: DataFrame) -> list[tuple[str, str, str, list[str] | None]]:
-    """The reference list (ref_id, kind, name, aliases) on the driver, refused beyond MOST_ENTRIES."""
-    rows = reference.where("ref_id is not null and name is not null").select("ref_id", "kind", "name", "aliases").limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    return [tuple(r) for r in rows]
+def _parts(reference: DataFrame) -> list[DataFrame]:
+    """The reference list (ref_id, kind, name, aliases), cut by a hash into parts of about MOST_ENTRIES at most."""
+    rows = reference.where("ref_id is not null and name is not null").select("ref_id", "kind", "name", "aliases")
+    n = rows.count()
+    if n <= MOST_ENTRIES:
+        return [rows]
+    parts = 2 * -(-n // MOST_ENTRIES)
+    return [rows.where(F.pmod(F.xxhash64("ref_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 _WORKER: dict = {}
@@ -211,16 +220,39 @@ def map_values(values: DataFrame, key: str, fields: dict[str, bool], reference:
     fields: column name -> whether only regions can be meant. ref_id is NONE for a value that names no entry.
     Values are resolved where they are read: each batch resolves its distinct values, each worker keeps what it
     has resolved, and nothing is shuffled, so a value that holds a third of all rows costs no more than another.
-    Repeated keys give repeated rows.
+    A list of more than MOST_ENTRIES is searched part by part: its distinct values meet each part, the best of the
+    parts' answers counts, and answers are joined back to the rows. Repeated keys give repeated rows.
     """
-    spark: SparkSession = values.sparkSession
-    entries = spark.sparkContext.broadcast(entries_of(reference))
-    names = list(fields)
-    schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("ref_id", pa.string())])
+    rows = values.where(F.col(key).isNotNull())
+    parts = _parts(reference)
+    if len(parts) == 1:
+        return _resolved(rows.select(F.col(key).cast("bigint").alias("key"), *fields), list(fields), fields, parts[0].collect(), False).withColumnRenamed("key", key)
+    ws = Workspace(values.sparkSession, "canonical")
+    long = rows.select(F.col(key).cast("bigint").alias(key), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in fields])).alias("v")).select(key, "v.*")
+    long = ws.write("values", long.where(F.col("value").rlike(r"(?U)\S")))
+    names = reference.where("ref_id is not null and name is not null").select(F.col("name").alias("value")).distinct()
+    open_ = ws.write("open", long.join(names, "value", "left_anti").select("field", "value").distinct().select(F.monotonically_increasing_id().alias("key"), "field", "value"))
+    found = None
+    for i, part in enumerate(parts):
+        wide = open_.select("key", *[F.when(F.col("field") == n, F.col("value")).alias(n) for n in fields])
+        one = ws.write(f"part_{i}", _resolved(wide, list(fields), fields, part.collect(), True))
+        found = one if found is None else found.unionAll(one)
+    best = found.groupBy("key").agg(F.min("rank").alias("rank"))
+    meant = open_.join(best, "key").select("field", "value", F.coalesce("rank.ref_id", F.lit(NONE)).alias("ref_id"))
+    return long.join(meant, ["field", "value"]).select(key, "field", "ref_id")
+
+
+def _resolved(rows: DataFrame, names: list[str], fields: dict[str, bool], entries: list, ranks: bool) -> DataFrame:
+    """(key, field, ref_id), or (key, field, rank) for a part of a list, of the values in columns `names` of rows (key, *names)."""
+    spark: SparkSession = rows.sparkSession
+    entries = spark.sparkContext.broadcast([tuple(e) for e in entries])
+    rank = pa.struct([("step", pa.int32()), ("fuzzy", pa.int32()), ("size", pa.int32()), ("no_place", pa.bool_()), ("distance", pa.int32()), ("ref_id", pa.string())])
+    last = (99, 0, 0, True, 0, None)
+    schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("rank", rank) if ranks else ("ref_id", pa.string())])
 
     def run(batches):
-        listed = frozenset(e[2] for e in entries.value)
-        mark = hash(tuple((e[0], e[2]) for e in entries.value))
+        listed = frozenset() if ranks else frozenset(e[2] for e in entries.value)
+        mark = hash((ranks, *((e[0], e[2]) for e in entries.value)))
         if _WORKER.get("mark") != mark:
             _WORKER.clear()
             _WORKER.update(mark=mark, resolver=Resolver(entries.value), memo={})
@@ -237,11 +269,12 @@ def map_values(values: DataFrame, key: str, fields: dict[str, bool], reference:
                     if ref is None:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        ref = memo[v, fields[name]] = resolver.resolve(v, fields[name])
+                        ref = memo[v, fields[name]] = dict(zip(rank.names, resolver.ranked(v, fields[name]) or last)) if ranks else resolver.resolve(v, fields[name])
                     meant.append(ref)
-                refs = pa.array(meant, pa.string()).take(encoded.indices)
+                refs = pa.array(meant, schema.types[2]).take(encoded.indices)
                 keep = refs.is_valid()
                 out = refs.filter(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([name] * len(out), pa.string()), out], schema=schema)
 
-    return values.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), *names).mapInArrow(run, "key bigint, field string, ref_id string").withColumnRenamed("key", key)
+    kind = "rank struct<step:int,fuzzy:int,size:int,no_place:boolean,distance:int,ref_id:string>" if ranks else "ref_id string"
+    return rows.mapInArrow(run, f"key bigint, field string, {kind}")

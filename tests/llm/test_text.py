@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies
 
-from rainledger.llm import language, mixing, residue
+from rainledger.llm import canonical, language, mixing, residue
 from rainledger.llm.canonical import NameTrie, Resolver, map_values, most_edits
 from rainledger.llm.encoding import FragmentEncoder, encode, tokenizer_dir
 from rainledger.llm.language import LANGUAGES, document_languages, fit_profiles, judged_lines, mislabelled_lines, named_language, segments_of
@@ -103,6 +103,16 @@ def test_map_values(spark):
     assert {r["ref_id"] for r in map_values(rows, "row_id", {"location": False}, ref.limit(0)).collect()} == {"-"}
 
 
+def test_a_long_list_is_searched_in_parts(spark, monkeypatch):
+    ref = spark.createDataFrame(ENTRIES, "ref_id string, kind string, name string, aliases array<string>")
+    typed = ["OEVERHOVEN", "Oeverhovn", "omgeving Oeverhoven", "Oud Uiverlo", "Zandwijk, 't", "Lommerdal, West", "Oeverhoven, Noord-Lommerdal", "Lissel a/d Swalk", "de oever van Oeverhoven", "Montiheim", "Uiverloo", " ", None, "OEVERHOVEN"]
+    rows = spark.createDataFrame([(i, v, v, 1) for i, v in enumerate(typed)], "row_id long, location string, nuts3_name string, key int")
+    find = lambda: sorted(tuple(r) for r in map_values(rows, "row_id", {"location": False, "nuts3_name": True}, ref).collect())
+    whole = find()
+    monkeypatch.setattr(canonical, "MOST_ENTRIES", 3)
+    assert find() == whole and len(whole) == 22
+
+
 # languages
 
 
