@@ -1,7 +1,11 @@
-"""Text expressions. All are built-in column expressions, so they stay in the JVM."""
+"""Text expressions. All but the last two are built-in column expressions, so they stay in the JVM."""
 
 from __future__ import annotations
 
+import html
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +100,23 @@ def contains_quote(haystack: Column, quote: Column) -> Column:
     """Whether a quote stands in a text after both are folded, squashed and unquoted; false for an empty quote."""
     needle = F.trim(unquote(squash(fold(quote))))
     return F.coalesce((needle != "") & F.contains(squash(fold(haystack)), needle), F.lit(False))
+
+
+def unescape_all(c: Column) -> Column:
+    """All named and numbered HTML entities, in Arrow batches (for distinct titles)."""
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else html.unescape(x))
+
+    return run(c)
+
+
+def plain_names(c: Column) -> Column:
+    """plain_name for letters of any script with marks (compatibility decomposition), in Arrow batches (for distinct names)."""
+
+    @F.pandas_udf("string")
+    def bare(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else "".join(s for s in unicodedata.normalize("NFKD", x) if not unicodedata.combining(s)))
+
+    return plain_name(bare(c))

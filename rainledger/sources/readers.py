@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rainledger.functions.dates import degrees_of
+from rainledger.operators.places import quality_fields
+from rainledger.storage import Workspace
 
 _IMPACT = "struct<classification:string,severity:int,evidence:string,confidence:double,evidence_found_verbatim:boolean>"
 ARTICLE_SCHEMA = (
@@ -53,7 +55,8 @@ def read_docx_archives(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["source_zip", "source_file", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "content").mapInPandas(run, "source_zip string, source_file string, text string")
+    # written once: archives are not opened again for the numbers
+    rows = Workspace(spark, "archives").write("files", files.select("path", "content").mapInPandas(run, "source_zip string, source_file string, text string"))
     counts = rows.groupBy("source_zip").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("source_zip").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("start", before).select("source_zip", "start")
@@ -73,16 +76,21 @@ def _fields(schema: str) -> str:
     return StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
-def normalised_corpus(articles: DataFrame) -> DataFrame:
-    """(id, title, date, text) with each field from the first place that fills it."""
+def normalised_corpus(articles: DataFrame, cleaned_first: bool = False) -> DataFrame:
+    """(id, title, date, text) with each field from the first place that fills it; the text from text_content, else
+    clean_text, or the other way round with `cleaned_first`, as extraction wants it."""
+    texts = ("features.clean_text", "text_content") if cleaned_first else ("text_content", "features.clean_text")
     first = lambda *cs: F.coalesce(*[F.when(F.trim(F.col(c)) != "", F.col(c)) for c in cs])
-    return articles.select(F.coalesce(first("id"), F.col("features.article_id").cast("string")).alias("id"), first("features.title", "meta.original_filename").alias("title"), first("features.publication_date", "meta.date", "features.top_date").alias("date"), first("text_content", "features.clean_text").alias("text"))
+    return articles.select(F.coalesce(first("id"), F.col("features.article_id").cast("string")).alias("id"), first("features.title", "meta.original_filename").alias("title"), first("features.publication_date", "meta.date", "features.top_date").alias("date"), first(*texts).alias("text"))
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines of an append-only checkpoint: blank and damaged lines are skipped, the last line of a key wins."""
+    """JSON lines of an append-only checkpoint: blank and damaged lines are skipped, the last line of a key wins. Files
+    follow each other by time of change, then name; lines by their place in the file."""
     lines = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    kept = lines.where(f"_bad is null and {key} is not null").drop("_bad").withColumn("_at", F.monotonically_increasing_id())
+    m = F.col("_metadata")
+    at = F.struct(m["file_modification_time"].alias("t"), m["file_path"].alias("p"), m["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("i"))
+    kept = lines.withColumn("_at", at).where(f"_bad is null and {key} is not null").drop("_bad")
     return kept.groupBy(key).agg(F.max_by(F.struct(*[c for c in kept.columns if c not in (key, "_at")]), "_at").alias("r")).select(key, "r.*")
 
 
@@ -94,7 +102,28 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({
         "article_id": number("article_id", "int"), "impact_index": number("impact_index", "int"), "publication_date": date, "year_month": F.trunc(date, "MM"), "severity": F.coalesce(number("severity", "int"), F.lit(1)),
         "confidence": F.round(number("confidence", "double"), 2), "recency_in_months": number("recency_in_months", "int"), "geocoded_latitude": number("geocoded_latitude", "double"), "geocoded_longitude": number("geocoded_longitude", "double"),
-    }).where("geocoded_latitude is not null and geocoded_longitude is not null")
+    }).where("geocoded_latitude is not null and geocoded_longitude is not null").transform(_with_rank)
+
+
+def _with_rank(df: DataFrame) -> DataFrame:
+    """Rank and low-quality flag computed anew from the place type and the forced names."""
+    out = quality_fields(df.drop("geocoded_place_rank", "geocoded_is_low_quality"), "geocoded_place_type", "location")
+    return out.withColumnsRenamed({"place_rank": "geocoded_place_rank", "low_quality": "geocoded_is_low_quality"}).drop("place_level", "is_broad")
+
+
+REGION_COLUMNS = POINT_COLUMNS + ", nuts_level string, nuts2_id string, nuts2_name string, nuts3_id string, nuts3_name string, nuts_match_distance_m string, source_nuts_level string, mention_weight string"
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """Typed region impacts from CSV: severity and mention_weight default to 1, ids and names are trimmed and never null,
+    what else can't be read is null; rows without coordinates stay."""
+    raw = spark.read.schema(REGION_COLUMNS).csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
+    number = lambda c, kind: F.col(c).try_cast(kind)
+    date = F.try_to_timestamp(F.col("publication_date"), F.lit("yyyy-MM-dd")).cast("date")
+    named = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("nuts_level", "nuts2_id", "nuts2_name", "nuts3_id", "nuts3_name", "source_nuts_level")}
+    typed = {c: number(c, kind) for kind, cs in {"int": ("article_id", "impact_index", "recency_in_months", "nuts_match_distance_m"), "double": ("geocoded_latitude", "geocoded_longitude")}.items() for c in cs}
+    defaults = {"severity": F.coalesce(number("severity", "int"), F.lit(1)), "mention_weight": F.coalesce(number("mention_weight", "double"), F.lit(1.0)), "confidence": F.round(number("confidence", "double"), 2)}
+    return _with_rank(raw.withColumns({"publication_date": date, "year_month": F.trunc(date, "MM")} | named | typed | defaults))
 
 
 def read_grid(spark: SparkSession, path: str, columns: list[str], value: str = "wildfires_sum") -> DataFrame:
@@ -146,14 +175,48 @@ def read_station_files(spark: SparkSession, path: str, country: str | None = Non
     return head.drop("value"), series
 
 
-def read_xml_areas(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+def read_xml_areas(spark: SparkSession, path: str, row_tag: str, schema: str | StructType) -> DataFrame:
     """Rows of a large XML file, streamed tag by tag by Spark's own reader."""
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+def rings_of_pos_lists(lists: Column) -> Column:
+    """Rings of (x, y) from lists of numbers in text, one a ring (outline first)."""
+
+    def ring(c: Column) -> Column:
+        v = F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.try_cast("double"))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(v) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get(v, 2 * i).alias("x"), F.get(v, 2 * i + 1).alias("y")))
+
+    return F.transform(F.filter(lists, lambda c: F.coalesce(F.trim(c) != "", F.lit(False))), ring)
+
+
+def planar_area(rings: Column) -> Column:
+    """Area of rings in the unit of their coordinates squared: the outline less its holes."""
+    one = lambda r: F.abs(F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda a, i: a + F.get(r, i - 1)["x"] * F.get(r, i)["y"] - F.get(r, i)["x"] * F.get(r, i - 1)["y"])) / 2
+    areas = F.transform(F.filter(rings, lambda r: F.size(r) > 2), one)
+    return F.when(F.size(areas) > 0, 2 * F.get(areas, F.lit(0)) - F.aggregate(areas, F.lit(0.0), lambda a, x: a + x))
+
+
+def read_xml_polygons(spark: SparkSession, path: str, row_tag: str, class_field: str, outline: str, holes: str | None = None) -> DataFrame:
+    """(class, rings, area_km2) of features in metres, streamed tag by tag; the fields are paths of tags below the row tag, down to
+    the position lists. Features without an outline are left out."""
+
+    def nested(fields: list[tuple[list[str], str]]) -> str:
+        heads: dict[str, list] = {}
+        for path_, kind in fields:
+            heads.setdefault(path_[0], []).append((path_[1:], kind))
+        return "struct<" + ",".join(f"`{h}`:{kids[0][1] if not kids[0][0] else nested(kids)}" for h, kids in heads.items()) + ">"
+
+    wanted = [(class_field.split("."), "string"), (outline.split("."), "string")] + ([(holes.split("."), "array<string>")] if holes else [])
+    rows = read_xml_areas(spark, path, row_tag, StructType.fromDDL(f"r {nested(wanted)}")["r"].dataType)
+    lists = F.array(F.col(outline)) if holes is None else F.concat(F.array(F.col(outline)), F.coalesce(F.col(holes), F.array().cast("array<string>")))
+    rings = rings_of_pos_lists(lists)
+    return rows.where(F.col(outline).isNotNull()).select(F.col(class_field).alias("class"), rings.alias("rings")).withColumn("area_km2", planar_area(F.col("rings")) / 1e6)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Feature groups of a manifest (group, feature), `year` left out; a manifest has tens of rows."""
-    rows = spark.read.schema("group string, feature string").csv(path, header=True).where("feature <> 'year'").limit(10_000).collect()
+    """Feature groups of a manifest (group, feature), `year` left out: one row a feature, whatever their number."""
+    rows = spark.read.schema("group string, feature string").csv(path, header=True).where("feature <> 'year'").collect()
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r["group"], []).append(r["feature"])
@@ -178,3 +241,23 @@ def mask(value: Column, nodata: float | None = None) -> Column:
     if nodata is not None:
         bad = bad | (value == nodata)
     return F.when(~bad, value)
+
+
+def read_raster_archives(spark: SparkSession, path: str, decode, nodata: float | None = None, ending: str = ".tif") -> DataFrame:
+    """(path, x, y, time, value) of the rasters in ZIP archives; see read_raster. The path is archive/member."""
+
+    def run(frames):
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(m for m in z.namelist() if m.lower().endswith(ending)):
+                        yield pd.DataFrame([(f"{name}/{member}", *cell) for cell in decode(z.read(member))], columns=["path", "x", "y", "time", "value"])
+
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, x double, y double, time timestamp, value double")
+    return cells.withColumn("value", mask(F.col("value"), nodata))
+
+
+def clipped(cells: DataFrame, south: float, north: float, west: float, east: float, first_year: int | None = None) -> DataFrame:
+    """Cells (x, y, time, ...) in a box, its edges included, from a year on."""
+    out = cells.where(F.col("y").between(south, north) & F.col("x").between(west, east))
+    return out if first_year is None else out.where(F.year("time") >= first_year)

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from rainledger.functions import articles, dates, domain, text
+from rainledger.functions import articles, dates, domain, geometry, text
 
 
 def one(spark, column, value, kind="string"):
@@ -58,6 +58,23 @@ def test_jaccard_conventions(spark):
 def test_domain(spark):
     assert len(domain.THEMES) == 20 and one(spark, domain.theme_of, "?") == "economy" and one(spark, domain.theme_of, None) == "economy"
     assert one(spark, domain.place_rank, "City") == 60 and one(spark, domain.place_rank, "moon") == 50 and one(spark, domain.place_rank, " ") is None
-    assert domain.preset_range("24+ months", 12) == (12, 12) and domain.preset_of(0, 6, 24) == "0-6 months" and domain.preset_of(1, 2, 24) == "Custom"
+    rows = spark.createDataFrame([(3,), (12,), (None,)], "m int")
+    assert {r["preset"]: (r["low"], r["high"]) for r in domain.recency_presets(rows, F.col("m")).collect()} == {"All": (0, 12), "0 months only": (0, 0), "0–1 months": (0, 1), "0–6 months": (0, 6), "6–12 months": (6, 12), "12–24 months": (12, 12), "24+ months": (12, 12)}
+    assert domain.recency_bounds("24+ months") == (24, None) and rows.where(domain.in_recency(F.col("m"), 6, None, True)).count() == 2
+    assert spark.range(1).select(domain.token_cost(F.lit(2_000_000), F.lit(1_000_000), F.lit(1.5), F.lit(9.0), F.lit(True)).alias("c")).first()["c"] == 6.0
     assert one(spark, domain.drought_bin, float("nan"), "double") == "near_normal" and one(spark, domain.drought_bin, -1.0, "double") == "dry" and one(spark, domain.drought_bin, 1.0, "double") == "wet"
     assert one(spark, domain.backoff_seconds, 3, "int") == 4.0
+
+
+def test_names_and_entities_of_any_script(spark):
+    assert one(spark, text.plain_names, "Het Čáslav-Ångström") == "caslav angstrom" and one(spark, text.plain_names, None) is None
+    assert one(spark, text.unescape_all, "Caf&eacute; &#8364; &amp;amp;") == "Café € &amp;" and one(spark, text.unescape_all, None) is None
+
+
+def test_areas_and_interior_points(spark):
+    square = [(5.0, 52.0), (5.1, 52.0), (5.1, 52.1), (5.0, 52.1), (5.0, 52.0)]
+    hole = [(5.02, 52.02), (5.08, 52.02), (5.08, 52.08), (5.02, 52.08), (5.02, 52.02)]
+    rows = spark.createDataFrame([(1, [square]), (2, [square, hole]), (3, []), (4, None)], "i int, rings array<array<struct<x:double,y:double>>>")
+    got = {r["i"]: r for r in rows.select("i", geometry.polygon_area_km2(F.col("rings")).alias("a"), geometry.interior_point(F.col("rings")).alias("p")).collect()}
+    assert abs(got[1]["a"] - 76.2) < 0.3 and abs(got[2]["a"] / got[1]["a"] - 0.64) < 0.001 and got[3]["a"] == 0 and got[4]["a"] is None
+    assert abs(got[1]["p"]["x"] - 5.05) < 1e-9 and not 5.02 < got[2]["p"]["x"] < 5.08 and got[3]["p"] is None and got[4]["p"] is None

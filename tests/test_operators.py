@@ -1,10 +1,10 @@
 import random
 
+import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
-from rainledger.operators import graph, learning, metrics, panel, places, relations, similarity
+from rainledger.operators import evaluation, graph, learning, metrics, panel, places, relations, similarity
 from rainledger.operators.extraction import parse_answers
 from rainledger.operators.graph import components
 from rainledger.storage import Workspace
@@ -89,15 +89,117 @@ def test_validation_is_all_or_nothing(spark):
 def test_multisets_and_upsert(spark):
     g = spark.createDataFrame([(1, "a"), (1, "a"), (1, None)], "k int, v string")
     p = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "k int, v string")
-    assert {tuple(r) for r in relations.multiset_match(g, p, ["v"], "k").collect()} == {(1, 3, 2, 2), (2, 0, 1, 0)}
+    assert {tuple(r) for r in relations.multiset_match(g, p, ["v"], ["k"]).collect()} == {(1, 3, 2, 2), (2, 0, 1, 0)}
     assert sorted(map(tuple, relations.upsert(g.distinct(), spark.createDataFrame([(1, "z")], "k int, v string"), ["k"]).collect())) == [(1, "z")]
 
 
-def test_search_and_attribution(spark):
+def _panel(spark, n=240):
     rng = random.Random(2)
-    rows = [(2018 + i % 3, x, rng.random(), int(x + rng.gauss(0, 0.2) > 0.5)) for i in range(240) for x in [rng.random()]]
-    df = spark.createDataFrame(rows, "target_year int, x double, z double, y int")
-    best = learning.search(df, ["x", "z"], "y", [2019, 2020], [{"c": 1.0}, {"c": 0.01, "l1_ratio": 0.5}])
-    assert best[0]["folds"] == 2 and best[0]["score"] > 0.8
-    weights = learning.linear_attribution(["x", "z"], learning.fit_logistic(df, ["x", "z"], "y"))
-    assert abs(weights["x"]) > abs(weights["z"])
+    rows = [(i, c, 2018 + i % 4, x, rng.random(), 1.0, int(x + rng.gauss(0, 0.2) > 0.5) if c == "a" else 0) for i in range(n) for c in "ab" for x in [rng.random()]]
+    return spark.createDataFrame(rows, "i int, class string, target_year int, x double, z double, one double, y int")
+
+
+def test_models_learn_on_held_out_rows_and_skip_single_labels(spark):
+    rows = _panel(spark)
+    split = rows.withColumn("part", F.when(F.col("target_year") < 2021, "train").otherwise("valid"))
+    held = learning.fit_predict(split, ["x", "z", "one"], ["class"], ["i"], 1.0)
+    scores = metrics.evaluated(held, ["class"], "y", "y_score").collect()
+    assert [r["class"] for r in scores] == ["a"] and scores[0]["auc"] > 0.9 and scores[0]["n"] == 60
+    macro = metrics.macro_means(metrics.evaluated(held, ["class"], "y", "y_score"), []).first()
+    assert macro["n_classes"] == 1 and macro["macro_auc"] == scores[0]["auc"]
+    parts = {r["feature"]: r["mean_attribution"] for r in learning.attribution_summary(learning.attributions(rows, ["x", "z", "one"])).collect()}
+    assert parts["x"] > 3 * parts["z"] and parts["one"] == 0
+
+
+def test_logistic_is_a_minimum():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0.3).astype(int)
+    m = learning.Logistic(0.5).fit(x, y)
+    z, w = (x - m.mean) / m.scale, np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
+    p = m.score(x)
+    assert np.abs(z.T @ (w * (p - y)) + m.coefficients / 0.5).max() < 1e-3 and abs((w * (p - y)).sum()) < 1e-3
+
+
+def test_trials_prune_and_pick(spark):
+    found = learning.trials(_panel(spark), ["x", "z"], [2019, 2020, 2021], [{"c": 1.0}, {"c": 1e-6}]).cache()
+    table = {r["trial"]: r for r in learning.trial_table(found).collect()}
+    assert table[0]["n_folds"] == 3 and table[0]["score"] > 0.8 and sorted(r["place"] for r in table.values()) == [1, 2]
+    assert [r["class"] for r in learning.best_per_class(found).collect()] == ["a"]
+    prevalence = {r["class"]: r["prevalence"] for r in learning.class_prevalence(_panel(spark), [2019, 2020]).collect()}
+    assert prevalence["b"] == 0 and 0.3 < prevalence["a"] < 0.7
+    steps = spark.createDataFrame([("p", 1, 0.1), ("p", 2, 0.2), ("q", 1, 0.5), ("q", 2, 0.6), ("r", 1, 0.4), ("r", 2, 0.5)], "r string, k int, s double")
+    assert {(r["r"], r["k"]) for r in metrics.pruned_runs(steps, "r", "k", "s").where("pruned").collect()} == {("p", 2)}
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_trees_learn_on_held_out_rows(spark, kind):
+    rows = _panel(spark, 400).where("class = 'a'")
+    held = learning.fit_trees(rows.where("target_year < 2021"), rows.where("target_year = 2021"), ["x", "z"], "y", kind)
+    assert metrics.roc_auc(held.withColumn("k", F.lit(1)), ["k"], "y", "y_score").first()["auc"] > 0.85
+
+
+def test_feature_subsets():
+    m = {"a": ["x", "y"], "b": ["z"]}
+    assert learning.subsets(m, {"a": ["y"], "b": True}) == ["y", "z"] and learning.subsets(m, {"a": False}) == []
+    with pytest.raises(ValueError):
+        learning.subsets(m, {"a": ["q"]})
+
+
+def medoids_by_force(rows, at_least=0.44, shortest=200):
+    out = set()
+    for cluster in {c for c, _, _ in rows}:
+        own = sorted({(i, t) for c, i, t in rows if c == cluster})
+        sets = {i: {" ".join(t.lower().split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))} if len(t or "") >= shortest else set() for i, t in own}
+        sim = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] and sets[j] else 0.0  # noqa: E731, B023
+        left, used = [i for i, _ in own], set()
+        while len(left) > 1 and (free := [i for i in left if i not in used]):
+            best = max(free, key=lambda i: (round(sum(sim(i, j) for j in left if j != i) / (len(left) - 1), 12), -i))
+            gone = [j for j in left if j != best and sim(best, j) >= at_least]
+            if not gone:
+                break
+            out |= {(cluster, j, best) for j in gone}
+            left, used = [j for j in left if j not in gone], used | {best}
+    return out
+
+
+def test_medoids_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("water droogte boer rivier peil regen dijk sloot".split()) + str(rng.randrange(40))
+    rows = []
+    for c in range(4):
+        bases = [[word() for _ in range(60)] for _ in range(3)]
+        for k in range(14):
+            t = list(rng.choice(bases))
+            for _ in range(rng.randrange(0, 9)):
+                t[rng.randrange(60)] = word()
+            rows.append((c, 100 * c + k, " ".join(t)))
+        rows += [(c, 100 * c + 50 + k, rows[-1][2]) for k in range(3)] + [(c, 100 * c + 60, "kort"), (c, 100 * c + 61, "kort"), (c, 100 * c + 62, "")]
+    df = spark.createDataFrame(rows, "cluster long, id long, text string")
+    assert {tuple(r) for r in similarity.medoid_duplicates(df).collect()} == medoids_by_force(rows)
+    assert similarity.medoid_duplicates(df.limit(0)).count() == 0
+
+
+def test_points_match_by_stages(spark):
+    box = lambda x, y, w, h: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]
+    regions = spark.createDataFrame([("P", 2, "p", None, box(5.0, 52.0, 0.4, 0.2)), ("A", 3, "a", "P", box(5.0, 52.0, 0.2, 0.2)), ("Q", 2, "q", None, box(7.0, 52.0, 0.2, 0.2))], "nuts_id string, level int, name string, parent_id string, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(1, 52.1, 5.1), (2, 52.1, 5.3), (3, 52.1, 4.9), (4, 52.1, 7.3), (5, 40.0, 5.0), (6, None, 5.0)], "k long, lat double, lon double")
+    got = {r["k"]: tuple(r)[1:] for r in places.match_points(points, regions, "k", "lat", "lon").collect()}
+    assert got[1] == ("inside", "A", "P", 0) and got[2] == ("inside_parent", None, "P", 0)
+    assert got[3][:3] == ("near", "A", "P") and 6000 < got[3][3] < 7000 and got[4][:3] == ("near_parent", None, "Q") and set(got) == {1, 2, 3, 4}
+
+
+def test_removal_report_names_empty_texts(spark):
+    rows = spark.createDataFrame([(1, "een twee drie vier vijf zes"), (2, "een twee drie vier vijf zes"), (3, " "), (4, None)], "id long, text string")
+    assert {tuple(r) for r in similarity.removal_report(rows, similarity.similar_pairs(rows)).collect()} == {(2, 1, 1.0, "near_duplicate"), (3, None, None, "empty_text"), (4, None, None, "empty_text")}
+
+
+def test_small_tables_of_a_report(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 3.0), (None, 5.0)], "k string, v double")
+    d = relations.describe(rows, ["v"]).first()
+    assert (d["n"], d["n_null"], d["mean"], d["median"]) == (3, 1, 3.0, 3.0)
+    both = relations.null_safe_join(rows.groupBy("k").count(), rows.groupBy("k").agg(F.max("v").alias("m")), ["k"])
+    assert {r["k"]: r["m"] for r in both.collect()} == {"a": 1.0, "b": 3.0, None: 5.0}
+    assert relations.seeded_sample(spark.range(100), "id", 10, 1).count() == 10 and 5 < relations.seeded_fraction(spark.range(200), "id", 0.1, 1).count() < 40
+    r = evaluation.recalls(spark.createDataFrame([("m", 1, 1, 0, 0)], "m string, a_tp int, a_fn int, b_tp int, b_fn int"), "m", ["a", "b"]).first()
+    assert r["a_recall"] == 0.5 and r["b_recall"] is None and r["overall_recall"] == 0.5

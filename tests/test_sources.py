@@ -116,3 +116,64 @@ def test_asking_retries_and_resumes(spark):
     out = answers.resume(rows, done, ask, base=0.0)
     assert {tuple(r) for r in out.collect()} == {(1, "A"), (2, "Error: nee"), (3, None), (4, "klaar")}
     assert tuple(answers.usage_totals(out).first()) == (4, 1, 6)
+
+
+def test_a_later_checkpoint_file_wins(spark, tmp_path):
+    import os
+
+    for name, value, at in (("b.jsonl", "oud", 1_000_000), ("a.jsonl", "nieuw", 2_000_000)):
+        (tmp_path / name).write_text(json.dumps({"k": 1, "v": value}) + "\n")
+        os.utime(tmp_path / name, (at, at))
+    assert [tuple(r) for r in readers.read_checkpoint(spark, str(tmp_path), "k int, v string", "k").collect()] == [(1, "nieuw")]
+
+
+def test_text_preference(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "text_content": "heel", "features": {"clean_text": "schoon"}}]))
+    rows = readers.read_articles(spark, str(tmp_path))
+    assert [readers.normalised_corpus(rows, c).first()["text"] for c in (False, True)] == ["heel", "schoon"]
+
+
+def test_regions_csv(spark, tmp_path):
+    head = [c.split()[0] for c in readers.REGION_COLUMNS.split(", ")]
+    line = ["i", "1", "m", "2020-02-03", "f", "0", "De Jordaan", "c", "3", "0.5", "e", "x", "", "", "city", "nuts3", " NX1 ", "", "NX11", "", "12", "", ""]
+    (tmp_path / "r.csv").write_text(",".join(head) + "\n" + ",".join(line) + "\n")
+    r = readers.read_regions(spark, str(tmp_path)).first()
+    assert (r["mention_weight"], r["nuts2_id"], r["nuts2_name"], r["nuts_match_distance_m"], r["severity"], str(r["year_month"])) == (1.0, "NX1", "", 12, 3, "2020-02-01")
+    assert r["geocoded_place_rank"] == 1 and r["geocoded_is_low_quality"] and r["geocoded_latitude"] is None
+
+
+def test_long_manifest(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("group,feature\n" + "".join(f"g,f{i}\n" for i in range(10_050)))
+    assert len(readers.read_manifest(spark, str(tmp_path / "m.csv"))["g"]) == 10_050
+
+
+def test_xml_polygons(spark, tmp_path):
+    part = "<soil><code>{}</code><geom><out><posList>{}</posList></out>{}</geom></soil>"
+    hole = "<in><posList>10 10 20 10 20 20 10 20 10 10</posList></in>"
+    (tmp_path / "s.xml").write_text("<all>" + part.format("v", "0 0 1000 0 1000 1000 0 1000 0 0", hole) + part.format("z", "0 0 10 0 10 10 0 0", "") + "</all>")
+    got = {r["class"]: (len(r["rings"]), r["area_km2"]) for r in readers.read_xml_polygons(spark, str(tmp_path / "s.xml"), "soil", "code", "geom.out.posList", "geom.in.posList").collect()}
+    assert got["v"][0] == 2 and abs(got["v"][1] - 0.9999) < 1e-9 and got["z"][0] == 1 and abs(got["z"][1] - 5e-5) < 1e-12
+
+
+def test_raster_archives_and_clip(spark, tmp_path):
+    import datetime
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("b.tif", b"2")
+        z.writestr("a.tif", b"1")
+        z.writestr("x.txt", b"")
+    t = datetime.datetime(2003, 1, 1)
+    cells = readers.read_raster_archives(spark, str(tmp_path / "r.zip"), lambda b: [(4.0, 51.0, t, float(b)), (9.0, 51.0, t, 7.0)])
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["value"]) for r in readers.clipped(cells, 50.75, 53.55, 3.35, 7.25).collect()) == [("a.tif", 1.0), ("b.tif", 2.0)]
+    assert readers.clipped(cells, 50.75, 53.55, 3.35, 7.25, 2004).count() == 0
+
+
+def test_documents_and_region_rows(spark, tmp_path):
+    sinks.write_document(spark, f"file://{tmp_path}/best.json", {"c": 0.01, "naam": "é"})
+    sinks.write_document(spark, f"file://{tmp_path}/best.json", {"c": 0.1})
+    assert sinks.read_document(spark, f"file://{tmp_path}/best.json") == {"c": 0.1}
+    regions = spark.createDataFrame([("A1", "een", "A"), ("B1", "twee", "B"), ("A", "groot", None), ("B", "ander", None)], "nuts_id string, name string, parent_id string")
+    impacts, found = spark.createDataFrame([(1,), (2,)], "row_id long"), spark.createDataFrame([(1, "A1", 0.5), (1, "B1", 0.5), (2, None, 1.0)], "row_id long, region_id string, weight double")
+    for first, parents in ((False, {"A1": "A", "B1": "B"}), (True, {"A1": "A", "B1": "A"})):
+        rows = sinks.region_rows(impacts, found, regions, first).collect()
+        assert {r["nuts3_id"]: r["nuts2_id"] for r in rows if r["nuts3_id"]} == parents and len(rows) == 3
