@@ -25,12 +25,17 @@ def _valid_event(e: Column) -> Column:
 
 def parse_answers(answers: DataFrame, payload: str) -> DataFrame:
     """Adds events and error: all or nothing, so one invalid impact rejects the answer. An answer that reports an
-    error keeps its message; missing events are an empty list."""
+    error keeps its message; missing events are an empty list. Anything that is not one whole JSON object is an error, and
+    so are events that are no array."""
     tree = F.from_json(F.col(payload), EXTRACTION)
-    out = answers.withColumn("__tree", tree).withColumn("__events", F.coalesce(F.col("__tree.events"), F.array().cast(_EVENTS)))
+    json = F.try_parse_json(F.col(payload))
+    kinds = F.struct(F.schema_of_variant(json).alias("whole"), F.schema_of_variant(F.try_variant_get(json, "$.events", "variant")).alias("events"))
+    out = answers.withColumns({"__tree": tree, "__kinds": kinds}).withColumn("__events", F.coalesce(F.col("__tree.events"), F.array().cast(_EVENTS)))
     blank = F.coalesce(F.trim(F.col(payload)) == "", F.lit(True))
-    error = F.when(blank, "empty").when(F.col(payload).startswith("Error:"), F.col(payload)).when(F.col("__tree").isNull() | ~F.col(payload).rlike(r"^\s*\{"), "not an extraction object").when(~F.forall("__events", _valid_event), "invalid value")
-    return out.withColumn("error", error).withColumn("events", F.when(F.col("error").isNull(), F.col("__events")).otherwise(F.array().cast(_EVENTS))).drop("__tree", "__events")
+    whole = F.coalesce(F.col("__kinds.whole").startswith("OBJECT"), F.lit(False))
+    listed = F.coalesce(F.col("__kinds.events").rlike("^(ARRAY|VOID)"), F.lit(True))
+    error = F.when(blank, "empty").when(F.col(payload).startswith("Error:"), F.col(payload)).when(~whole, "not an extraction object").when(~listed | ~F.forall("__events", _valid_event), "invalid value")
+    return out.withColumn("error", error).withColumn("events", F.when(F.col("error").isNull(), F.col("__events")).otherwise(F.array().cast(_EVENTS))).drop("__tree", "__kinds", "__events")
 
 
 def verbatim(events: Column, title: Column, text: Column) -> Column:

@@ -230,3 +230,14 @@ ORACLES["title_clusters"] = f"""
         e AS (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.word = b.word AND a.rep <> b.rep WHERE len(list_intersect(a.s, b.s)) / CAST(len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS DOUBLE) >= 0.85),
         r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a), m AS (SELECT id AS rep, least(id, min(other)) AS root FROM r GROUP BY id)
         SELECT coalesce(root, f.rep) AS cluster, t.id FROM t JOIN f USING (title) LEFT JOIN m ON m.rep = f.rep WHERE root IS NOT NULL OR n > 1"""
+_IN = lambda values: ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v) for v in values)
+ORACLES["answer_validation"] = f"""
+        WITH j AS (SELECT extraction_id, payload, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN CAST(payload AS JSON) END AS j FROM drought_extractions),
+        k AS (SELECT *, json_type(j, '$.events') AS t, coalesce(TRY_CAST(json_extract(j, '$.events') AS JSON[]), []) AS events FROM j),
+        e AS (SELECT extraction_id, unnest(events) AS e FROM k WHERE t = 'ARRAY'),
+        i AS (SELECT extraction_id, unnest(CAST(json_extract(e, '$.impacts') AS JSON[])) AS i FROM e WHERE json_type(e, '$.impacts') = 'ARRAY'),
+        b AS (SELECT extraction_id FROM e WHERE NOT coalesce(json_type(e) = 'OBJECT' AND trim(json_extract_string(e, '$.location')) <> '' AND json_type(e, '$.recency_in_months') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract_string(e, '$.recency_in_months') AS INT) IN ({_IN(domain.RECENCIES)}) AND json_type(e, '$.impacts') = 'ARRAY', false)
+              UNION SELECT extraction_id FROM i WHERE NOT coalesce(json_type(i) = 'OBJECT' AND json_extract_string(i, '$.classification') IN ({_IN(domain.THEMES)}) AND json_type(i, '$.severity') IN ('UBIGINT', 'BIGINT') AND CAST(json_extract_string(i, '$.severity') AS INT) IN ({_IN(domain.SEVERITIES)})
+                AND json_type(i, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(i, '$.confidence') AS DOUBLE) IN ({_IN(domain.CONFIDENCES)}) AND length(trim(json_extract_string(i, '$.evidence'))) BETWEEN 1 AND {domain.LONGEST_EVIDENCE}, false)),
+        o AS (SELECT *, CASE WHEN coalesce(trim(payload) = '', true) THEN 'empty' WHEN starts_with(payload, 'Error:') THEN 'error' WHEN j IS NULL THEN 'not an extraction object' WHEN coalesce(t NOT IN ('ARRAY', 'NULL'), false) OR extraction_id IN (SELECT extraction_id FROM b) THEN 'invalid value' ELSE 'valid' END AS outcome FROM k)
+        SELECT extraction_id, outcome, CAST(CASE WHEN outcome = 'valid' THEN len(events) ELSE 0 END AS INT) AS n_events FROM o"""

@@ -226,7 +226,7 @@ ORACLES = {
     "season_vs_all": f"WITH {_P}, j AS (SELECT * FROM p WHERE month IN (6, 7, 8)), {_ap('class', 'p', 'a')}, {_ap('class', 'j', 'b')} SELECT coalesce(a.class, b.class) AS class, round(a.ap, 8) AS ap_all, round(b.ap, 8) AS ap_jja, round(b.ap - a.ap, 8) AS delta FROM a FULL JOIN b ON a.class = b.class",
     "prediction_long": " UNION ALL ".join(f"SELECT 'class_{i}' AS class, count(*) AS n, CAST(sum(class_{i}) AS BIGINT) AS n_pos FROM ({_all_classes()})" for i in range(len(domain.THEMES))),
     "macro_by_month": f"WITH {_P}, pm AS (SELECT * FROM p WHERE month IS NOT NULL), {_ap('class, month', 'pm', 'a')}, {_scores('class, month', 'pm')} SELECT CAST(month AS INT) AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_pos) AS BIGINT) AS n_pos, count(*) AS n_classes, count(ap) AS n_scored, round(avg(ap), 8) AS macro_ap, round(avg(skill), 8) AS macro_skill, round(avg(brier), 8) AS macro_brier FROM z GROUP BY 1",
-    **{f"slices_by_{'_'.join(k)}": f"WITH {_P}, pm AS (SELECT * FROM p WHERE month IS NOT NULL AND nuts3_id IS NOT NULL), {_ap(', '.join(k), 'pm', 'a')}, {_scores(', '.join(k), 'pm')} SELECT {', '.join(k)}, n, n_pos, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("prevalence", "mean_pred", "brier", "ap", "skill")) + " FROM z" for k in SLICES},
+    **{f"slices_by_{'_'.join(k)}": f"WITH {_P}, pm AS (SELECT * FROM p WHERE month IS NOT NULL AND nuts3_id IS NOT NULL), {_ap(', '.join(k), 'pm', 'a')}, {_scores(', '.join(k), 'pm')} SELECT {', '.join('CAST(month AS INT) AS month' if x == 'month' else x for x in k)}, n, n_pos, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("prevalence", "mean_pred", "brier", "ap", "skill")) + " FROM z" for k in SLICES},
     "month_spine_fill": """
         WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT CAST(unnest(generate_series(DATE '1994-01-01', DATE '2002-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
         s AS (SELECT month, coalesce(n, 0) AS n FROM m LEFT JOIN o USING (month)) SELECT month, n, round(CASE WHEN max(n) OVER () <> min(n) OVER () THEN (n - min(n) OVER ()) / CAST(max(n) OVER () - min(n) OVER () AS DOUBLE) ELSE 0 END, 8) AS scaled FROM s""",

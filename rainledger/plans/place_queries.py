@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rainledger.functions import domain
 from rainledger.functions import projection as grid
 from rainledger.functions.geometry import polygon_area_km2
-from rainledger.operators import nearby, places
+from rainledger.operators import nearby, outlines, places
 from rainledger.plans.impact_queries import ORACLES as _IMPACTS
 from rainledger.plans.impact_queries import name_of_sql
 from rainledger.storage import Workspace, table
@@ -138,7 +138,16 @@ def grid_round_trip(spark, sf_dir):
     return rows.select("staid", F.round(lat, 4).alias("latitude"), F.round(lon, 4).alias("longitude"))
 
 
-QUERIES = {f.__name__: f for f in (zonal_stats, zonal_raster, region_cascade, point_match, parents_by_point, name_index_macro, name_index_parents, geocode_format, field_completion, overlay_fractions, class_count_area, spatial_summary, land_fractions, grid_round_trip)}
+def prepared_regions(spark, sf_dir):
+    """Points of the outlines before and after simplification by 250 m, and the change of area."""
+    rows = _regions(spark, sf_dir)
+    area = lambda: polygon_area_km2(F.col("rings"))
+    after = outlines.prepared(rows, "NX").select("nuts_id", F.size(F.flatten("rings")).alias("points_after"), area().alias("after"))
+    both = rows.select("nuts_id", F.size(F.flatten("rings")).alias("points_before"), area().alias("before")).join(after, "nuts_id")
+    return both.select("nuts_id", "points_before", "points_after", F.round(F.abs(F.col("after") / F.col("before") - 1), 4).alias("area_change"))
+
+
+QUERIES = {f.__name__: f for f in (zonal_stats, zonal_raster, region_cascade, point_match, parents_by_point, name_index_macro, name_index_parents, geocode_format, field_completion, overlay_fractions, class_count_area, spatial_summary, land_fractions, grid_round_trip, prepared_regions)}
 
 _I = "impacts_geocoded_points"
 _EDGES = """e AS (SELECT nuts_id, level, ring[i].x AS x1, ring[i].y AS y1, ring[i + 1].x AS x2, ring[i + 1].y AS y2 FROM (SELECT nuts_id, level, ring, unnest(range(1, len(ring))) AS i FROM (SELECT nuts_id, level, unnest(rings) AS ring FROM nuts_regions)))"""

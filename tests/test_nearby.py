@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 
@@ -74,3 +75,18 @@ def test_overlay_areas(spark):
     k = math.radians(1) * 6371.0088
     assert abs(got["R"]["area_km2"] - 0.5 * k * k * math.cos(math.radians(51.5))) < 20 and abs(got["L"]["share"] + got["R"]["share"] - 1) < 1e-9
     assert abs(got["L"]["area_km2"] - 0.5 * k * k * math.cos(math.radians(51.5))) < 3200
+
+
+def test_outlines_are_repaired_and_simplified(spark):
+    from rainledger.operators import outlines
+
+    square = [(5.0, 52.0), (5.05, 52.00001), (5.1, 52.0), (5.1, 52.0), (5.1, 52.1), (5.0, 52.1)]
+    assert outlines.repaired_ring(square) == [*square[:3], *square[4:], square[0]] and outlines.repaired_ring([(0, 0), (1, 1), (0, 0)]) == []
+    assert outlines.simplified_ring(square, 250) == [(5.0, 52.0), (5.1, 52.0), (5.1, 52.1), (5.0, 52.1), (5.0, 52.0)]
+    tiny = [(5.0, 52.0), (5.0001, 52.0), (5.0001, 52.0001), (5.0, 52.0001), (5.0, 52.0)]
+    assert outlines.simplified_ring(tiny, 250) == tiny
+    rows = spark.createDataFrame([("A", 1, [square, [(0.0, 0.0)]]), ("B", 1, None), ("C", 1, [])], "nuts_id string, level int, rings array<array<struct<x:double,y:double>>>")
+    got = {r["nuts_id"]: r["rings"] for r in outlines.simplified(rows, 250.0).collect()}
+    assert len(got["A"]) == 1 and len(got["A"][0]) == 5 and got["B"] is None and got["C"] == []
+    with pytest.raises(ValueError):
+        outlines.prepared(rows)
