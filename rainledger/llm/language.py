@@ -20,6 +20,8 @@ PROFILE, LONGEST = 2000, 4
 SAMPLE = 500
 #: Letters that a line needs to be judged, and a segment to stand by itself.
 LEAST_LETTERS, SEGMENT_LETTERS = 40, 24
+#: Letters that a segment in no known language needs to stand by itself.
+UNKNOWN_LETTERS = 80
 #: A line judged against its label with less confidence still counts in the second pass of the fit.
 UNSURE = 0.2
 #: Share of its words that a segment has in some profile at least; with less it is in no language of the profiles.
@@ -253,8 +255,19 @@ def judged_text(profiles: Profiles, texts: list[str | None]):
             if not runs or n >= SEGMENT_LETTERS and lang != found[runs[-1][0]][0]:
                 runs.append([])
             runs[-1].append(i)
-        if len(runs) > 1 and sum(found[i][2] for i in runs[0]) < SEGMENT_LETTERS:  # a short beginning goes with what follows
-            runs[:2] = [runs[0] + runs[1]]
+        # what is short and of no language (headings, dates) goes with what is before it, at the beginning with what follows
+        joined: list[list[int]] = []
+        for r in runs:
+            letters = sum(found[i][2] for i in r)
+            if joined and letters < UNKNOWN_LETTERS and _verdict(profiles, [found[i] for i in r])[0] is None:
+                joined[-1] += r
+            elif joined and len(joined) == 1 and sum(found[i][2] for i in joined[0]) < UNKNOWN_LETTERS and _verdict(profiles, [found[i] for i in joined[0]])[0] is None:
+                joined[0] += r
+            elif joined and _verdict(profiles, [found[i] for i in joined[-1]])[0] == _verdict(profiles, [found[i] for i in r])[0]:
+                joined[-1] += r
+            else:
+                joined.append(r)
+        runs = joined
         segments = [(own[r[0]][0], own[r[-1]][0], sum(found[i][2] for i in r), *_verdict(profiles, [found[i] for i in r])) for r in runs]
         yield (*_verdict(profiles, found), segments)
 
@@ -263,7 +276,8 @@ def fit_profiles(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from rows (id, lang, text) of at most `sample` ids per language, chosen by a hash of the id.
 
     Two passes: the second counts only the lines that the first pass gives the language of their label, so
-    wrong labels and mixed texts do not blur the profiles. n-grams are counted where the texts are and only
+    wrong labels and mixed texts do not blur the profiles. Lines that stand in articles
+    of several labels are left out: they belong to the page or to copies. n-grams are counted where the texts are and only
     the PROFILE most frequent of each language come to the driver.
     """
     ws = Workspace(labelled.sparkSession, "profiles")
@@ -272,7 +286,12 @@ def fit_profiles(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     for lang in LANGUAGES:
         some = rows.where(F.col("lang") == lang).select("id", "lang").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = some if picked is None else picked.unionAll(some)
-    chosen = ws.write("sample", rows.join(picked, ["id", "lang"], "left_semi").dropDuplicates(["id"]).repartition(4, "id"))
+    texts = rows.join(picked, ["id", "lang"], "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.*")
+    # a line that stands under labels of several languages is the page's and says nothing of them
+    lines = texts.select("id", "lang", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("text")).withColumn("form", F.regexp_replace(F.lower(F.trim("text")), r"[\s\d]+", " "))
+    lines = ws.write("lines", lines)
+    own = lines.groupBy("form").agg(F.count_distinct("lang").alias("n")).where("n = 1").select("form")
+    chosen = ws.write("sample", lines.join(own, "form", "left_semi").select("lang", "text").repartition(4, F.xxhash64("text")))
     profiles = None
     for _ in range(2):
         profiles = Profiles(_count(chosen, profiles))
