@@ -91,6 +91,7 @@ class IncrementalDeduper:
         self.spark, self.store = spark, Folder(spark, path)
         self.k_words, self.at_least = k_words, at_least
         self.patterns: dict[tuple[int, int, int], list[int]] = {}
+        self.pool = ThreadPoolExecutor(3)  # for jobs that don't wait for each other
         done = [int(n) for n in self.store.names("commits") if n.isdigit()]
         self.turn = max(done, default=-1) + 1
         if done:
@@ -135,20 +136,19 @@ class IncrementalDeduper:
         scored = at.write("scored", self._candidates(pairs, firsts))
         texts = rows.select("id", "text")
         links = at.write("links", self._links(scored, texts))
-        with ThreadPoolExecutor(4) as pool:  # jobs that don't wait for each other
-            counted = pool.submit(self._count, scored, links)
-            verdicts, every = self._decide(at, copies, sketches, links.drop("pattern"), hot, texts)
-            out = self._add("rejected", self._matches(sketches, copies, verdicts, every))
-            kept = firsts.join(out.select("id"), "id", "left_anti")
-            one = rows.join(kept.select("id"), "id", "left_semi").groupBy("id").agg(F.min("source_zip").alias("source_zip"), F.min("text").alias("text"))
-            parts = {
-                "keys": bands_of(kept, "words", "zip").select("key", "id", "words", "zip"),
-                "docs": one.select("id", (F.col("id") % _SHIFT).alias("article"), "source_zip", "text"),
-            }
-            done = [pool.submit(self._add, name, part) for name, part in parts.items()]
-            self._add("mapping", self._mapping(at, out, every))
-            for job in [counted, *done]:
-                job.result()
+        counted = self.pool.submit(self._count, scored, links)
+        verdicts, every = self._decide(at, copies, sketches, links.drop("pattern"), hot, texts)
+        out = self._add("rejected", self._matches(sketches, copies, verdicts, every))
+        kept = firsts.join(out.select("id"), "id", "left_anti")
+        one = rows.join(kept.select("id"), "id", "left_semi").groupBy("id").agg(F.min("source_zip").alias("source_zip"), F.min("text").alias("text"))
+        parts = {
+            "keys": bands_of(kept, "words", "zip").select("key", "id", "words", "zip"),
+            "docs": one.select("id", (F.col("id") % _SHIFT).alias("article"), "source_zip", "text"),
+        }
+        done = [self.pool.submit(self._add, name, part) for name, part in parts.items()]
+        self._add("mapping", self._mapping(at, out, every))
+        for job in [counted, *done]:
+            job.result()
         state = {"k_words": self.k_words, "at_least": self.at_least, "patterns": [[list(p), *n] for p, n in sorted(self.patterns.items())]}
         self.store.write_text(f"commits/{self.turn}", json.dumps(state))
         self.turn += 1
@@ -346,7 +346,7 @@ class IncrementalDeduper:
         return out.distinct()
 
 
-def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 15) -> DataFrame:
+def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 30) -> DataFrame:
     """(id, article, match, sim, score) over a whole archive: its batches go in by batch_no, `archives` of them an ingest.
 
     articles: (id, source_zip, text); batches: (source_zip, batch_no), one row per archive; path: the store. The
