@@ -276,8 +276,8 @@ def fit_profiles(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     """Profiles from rows (id, lang, text) of at most `sample` ids per language, chosen by a hash of the id.
 
     Two passes: the second counts only the lines that the first pass gives the language of their label, so
-    wrong labels and mixed texts do not blur the profiles. Lines that stand in articles
-    of several labels are left out: they belong to the page or to copies. n-grams are counted where the texts are and only
+    wrong labels and mixed texts do not blur the profiles. A line that stands in articles
+    of several labels (a page line, a copy) counts for the label of most of them only. n-grams are counted where the texts are and only
     the PROFILE most frequent of each language come to the driver.
     """
     ws = Workspace(labelled.sparkSession, "profiles")
@@ -287,11 +287,11 @@ def fit_profiles(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
         some = rows.where(F.col("lang") == lang).select("id", "lang").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = some if picked is None else picked.unionAll(some)
     texts = rows.join(picked, ["id", "lang"], "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("id", "r.*")
-    # a line that stands under labels of several languages is the page's and says nothing of them
+    # a line that stands under labels of several languages is the page's: it speaks for the one most of its articles name
     lines = texts.select("id", "lang", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("text")).withColumn("form", F.regexp_replace(F.lower(F.trim("text")), r"[\s\d]+", " "))
     lines = ws.write("lines", lines)
-    own = lines.groupBy("form").agg(F.count_distinct("lang").alias("n")).where("n = 1").select("form")
-    chosen = ws.write("sample", lines.join(own, "form", "left_semi").select("lang", "text").repartition(4, F.xxhash64("text")))
+    own = lines.groupBy("form", "lang").agg(F.count_distinct("id").alias("n")).groupBy("form").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"))
+    chosen = ws.write("sample", lines.join(own, ["form", "lang"], "left_semi").select("lang", "text").repartition(4, F.xxhash64("text")))
     profiles = None
     for _ in range(2):
         profiles = Profiles(_count(chosen, profiles))
