@@ -177,3 +177,11 @@ def test_documents_and_region_rows(spark, tmp_path):
     for first, parents in ((False, {"A1": "A", "B1": "B"}), (True, {"A1": "A", "B1": "A"})):
         rows = sinks.region_rows(impacts, found, regions, first).collect()
         assert {r["nuts3_id"]: r["nuts2_id"] for r in rows if r["nuts3_id"]} == parents and len(rows) == 3
+
+
+def test_first_seen_drops_repeats_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00")], "k string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    runs.run_available(runs.first_seen(stream, "t", "k"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
