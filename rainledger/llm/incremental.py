@@ -4,13 +4,13 @@ A store is a folder. Each ingest adds one part (turn=N) to its tables and then a
 be opened again by another session, and an ingest that died halfway is not seen:
 
 * `keys` (key, id, words, zip): blocking keys of accepted texts, with the fields that pairs are scored on;
-* `docs` (id, article, source_zip, text): accepted texts, partitioned by ingest, so a check reads only parts that were hit;
+* `docs` (id, article, source_zip, text): accepted texts;
 * `rejected` (id, article, match, sim, score) and `mapping` (id, representative): changed rows only;
 * `commits/N`: parameters and pattern counts from which the field weights are learned.
 
-An ingest sketches its own texts only. Its keys are sent to the stored ones (the history is scanned in two narrow
-columns, never sketched, paired or shuffled again), pairs that the learned weights leave in doubt get the exact
-check, and only clusters that the batch touched get new mapping rows.
+An ingest sketches its own texts only; the history is never sketched or paired again. The batch's keys meet the stored
+ones where these are scanned (beyond PROBE_KEYS keys both are shuffled), pairs that the learned weights do not rule out
+get the exact check against the stored texts that were hit, and only clusters that the batch touched get new mapping rows.
 """
 
 from __future__ import annotations
