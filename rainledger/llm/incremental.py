@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rainledger.llm import pairs as buckets
 from rainledger.llm.pairs import bands_of, bucket_pairs, first_of_copies, small
 from rainledger.llm.shingles import sketch, verify
 from rainledger.operators.graph import components
@@ -38,6 +39,8 @@ _LEVELS = (len(_BAND_STEPS) + 1, len(_RATIO_STEPS) + 1, 2)
 LOSS = 1e-6
 #: Keys of a batch up to which they are broadcast to the stored ones.
 PROBE_KEYS = 150_000
+#: Comparisons that a round may always spend on a hot bucket, in squares of the largest bucket that is not hot.
+LEAD_SQUARES = 4
 _SHIFT = 1 << 32
 _LAST = 0x7FFFFFFF
 _TABLES = {
@@ -235,9 +238,9 @@ class IncrementalDeduper:
         In each round a set is accepted if no earlier undecided or accepted set is linked to it, and
         rejected if an accepted one is. Rounds go on until all are decided: the first undecided set always
         can be. Within a hot bucket the first undecided sets not yet compared with the rest are, one in
-        the first round and twice as many in each further one: a family of near copies costs one
-        comparison each, and sets that are all accepted take as many rounds as the logarithm of their
-        number. Beyond that the rounds are those of the longest alternating chain; where no bucket is hot, two of
+        the first round and twice as many in each further one, or as many as LEAD_SQUARES allows: a large family of
+        near copies costs one comparison each, sets that are all accepted take as many rounds as the logarithm of their
+        number, and a bucket that is hardly hot is through in one or two. Beyond that the rounds are those of the longest alternating chain; where no bucket is hot, two of
         them are one job. What is rejected before an accepted set of its bucket has been compared with it is compared
         afterwards.
         """
@@ -257,7 +260,8 @@ class IncrementalDeduper:
                 open_ = state.where("state = 0").select("id")
                 live = hot.join(open_, "id", "left_semi")
                 place = F.row_number().over(W.partitionBy("key").orderBy("id"))
-                block = live.where("led = 0").withColumn("place", place).where(F.col("place") <= 1 << min(turn - 1, 20))
+                cheap = F.floor(F.lit(LEAD_SQUARES * buckets.SMALL_BUCKET**2) / F.col("n"))
+                block = live.where("led = 0").withColumn("place", place).join(live.groupBy("key").agg(F.count("*").alias("n")), "key").where(F.col("place") <= F.greatest(F.lit(1 << min(turn - 1, 20)), cheap))
                 block = at.write(f"block_{turn}", block.select("key", F.col("id").alias("a")))
                 if block.limit(1).count():
                     star = live.select("key", F.col("id").alias("b")).join(small(block), "key").where("a < b").select("a", "b")
@@ -347,7 +351,9 @@ class IncrementalDeduper:
 
 
 def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archives: int = 30) -> DataFrame:
-    """(id, article, match, sim, score) over a whole archive: its batches go in by batch_no, `archives` of them an ingest.
+    """(id, article, match, sim, score) over a whole archive: its batches go in by batch_no, `archives` of them in the first
+    ingest and in each further one as many as have gone in before, so the stored keys are scanned as often as the logarithm
+    of the number of archives and all ingests together read a few times what is stored.
 
     articles: (id, source_zip, text); batches: (source_zip, batch_no), one row per archive; path: the store. The
     result is the same for any number of archives an ingest. Articles of no listed archive come last.
@@ -355,7 +361,9 @@ def rejected_articles(articles: DataFrame, batches: DataFrame, path: str, archiv
     spark, at = articles.sparkSession, Workspace(articles.sparkSession, "arrivals")
     numbers = batches.where("source_zip is not null").groupBy("source_zip").agg(F.min("batch_no").alias("batch_no"))
     # a manifest has one row per archive; equal numbers fall into one ingest
-    place = F.floor((F.dense_rank().over(W.orderBy(F.col("batch_no").asc_nulls_last())) - 1) / archives).cast("int")
+    part = F.floor((F.dense_rank().over(W.orderBy(F.col("batch_no").asc_nulls_last())) - 1) / archives).cast("bigint")
+    # parts 0, 1, 2-3, 4-7 and so on: the number of binary digits
+    place = F.when(part > 0, F.length(F.bin(part))).otherwise(0)
     numbers = at.write("numbers", numbers.withColumn("run", F.when(F.col("batch_no").isNotNull(), place)))
     runs = numbers.agg(F.max("run")).first()[0]
     runs = 1 if runs is None else runs + 1

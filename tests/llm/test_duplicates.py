@@ -116,6 +116,26 @@ def test_rejections_equal_a_walk_for_any_number_of_ingests(spark, monkeypatch):
         assert got == want, (archives, bucket)
 
 
+def test_ingests_of_an_archive_follow_the_logarithm_of_its_batches(spark, monkeypatch):
+    taken, ingest = [], IncrementalDeduper.ingest
+    monkeypatch.setattr(IncrementalDeduper, "ingest", lambda self, batch: taken.append(sorted(r["id"] for r in batch.select("id").collect())) or ingest(self, batch))
+    rows = [(i, f"z{i}", text(i % 8)) for i in range(1, 10)]
+    articles, batches = spark.createDataFrame(rows, "id int, source_zip string, text string"), spark.createDataFrame([(z, i) for i, z, _ in rows], "source_zip string, batch_no int")
+    got = {r["article"]: r["match"] % 2**32 for r in rejected_articles(articles, batches, fresh(spark), 1).collect()}
+    assert got == {9: 1} and taken == [[1], [2], [3, 4], [5, 6, 7, 8], [9]]
+
+
+def test_a_hardly_hot_bucket_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SMALL_BUCKET", 8)
+    base, names, write = text(6, 1000), [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, name, *a: names.append(name) or write(self, name, *a))
+    rows = [(i, edited(base, i, 15)) for i in range(16)]
+    batch = spark.createDataFrame([(i, 1, "z", x) for i, x in rows], "id int, batch_no int, source_zip string, text string")
+    got = {r["id"] % 2**32: r["match"] % 2**32 for r in deduper(spark).ingest(batch).collect()}
+    assert got == rejected_by_force([(i, "z", x) for i, x in rows], {"z": 1}) and "hot" in names
+    assert sum(n.startswith("block_") for n in names) <= 2
+
+
 def marked(base, *places):
     """The text with the words at these places replaced."""
     words = base.split()
