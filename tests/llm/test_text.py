@@ -11,6 +11,7 @@ from rainledger.llm.language import LANGUAGES, document_languages, fit_profiles,
 from rainledger.llm.mixing import mix_documents, sainte_lague
 from rainledger.llm.page_lines import TokenTrees, page_templates, repeated_lines, without_lines
 from rainledger.llm.residue import residue_documents, without_residue
+from rainledger.storage import Workspace
 
 
 # page lines
@@ -33,6 +34,22 @@ def test_a_tenth_of_the_source_is_needed(spark):
     assert repeated_lines(spark.createDataFrame(rows, "id int, source string, text string")).count() == 0
 
 
+def test_lines_are_counted_in_covering_leaves_only(spark, monkeypatch):
+    written, write = {}, Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, name, df, *a: written.setdefault(name, write(self, name, df, *a)))
+    rng, words = random.Random(4), "de het een boer dijk sluis water".split()
+    # the note stands in 10 of 40 documents; so does a leaf of lines that are all different
+    rows = [(i, "A", "\n".join([*(" ".join(rng.choices(words, k=rng.randrange(3, 9))) for _ in range(3)), f"op de {chr(97 + i // 26)}{chr(97 + i % 26)} akker", "Lees ook 7 artikelen" if i % 4 == 0 else ""])) for i in range(40)]
+    forms = [(i, n, x.lower().replace("7", "#")) for i, _, t in rows for n, x in enumerate(t.split("\n")) if x]
+    path = lambda x: (len(x.split(" ")), *x.split(" ")[:2])
+    least = lambda keys: {k for k in keys if len({i for i, _, x in forms if k in (x, path(x))}) >= 5}
+    got = repeated_lines(spark.createDataFrame(rows, "id int, source string, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, n) for i, n, x in forms if x in least({x for _, _, x in forms}))
+    leaves = least({path(x) for _, _, x in forms})
+    assert {(3, "op", "de"), (4, "op", "de"), (4, "lees", "ook")} & leaves == {(4, "op", "de"), (4, "lees", "ook")}
+    assert written["leaves"].count() == len(leaves) < len({path(x) for _, _, x in forms}) and "forms" not in written
+
+
 def test_trees_give_back_every_form_and_learn_word_slots():
     lines = ["a", "a b", "a b c", "a b c d", "x \u0001", "x \u0001 y", "een bericht van anna bij de krant", "een bericht van piet bij de krant", "een bericht van anna bij de krant", "een bericht uit een heel ander dorp"]
     trees = TokenTrees()
